@@ -5,7 +5,7 @@ longer gives full sequences of its own; what remains of it, and every shorter do
 about ``BLOCK_ROWS`` (dealt by a hash, so a hot source or a long document fills no block), each block in
 decreasing order: an item goes to the open bin that it fits best; where none has room, a bin is opened. The permitted
 lengths are optimised jointly: each block is packed once for every opening policy (the least-cost length for the item,
-by cost a token, among the lengths up to a limit, for each limit), every bin is finally downsized to the least length
+by cost a token, among the lengths up to a limit; or always the same length), every bin is finally downsized to the least length
 that holds its contents, and the packing of least total cost stays.
 
 The default cost of a sequence of length c is c + OVERHEAD + c * c / QUADRATIC: tokens, a fixed part for each sequence, attention.
@@ -38,8 +38,8 @@ def cost(length: int) -> float:
 def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, price: Callable[[int], float] = cost) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """For items in decreasing order: bin of each, offset in it, length of each bin, total cost. The cheapest of all opening policies."""
     best = None
-    for limit in lengths:
-        found = _pack(sizes, tuple(x for x in lengths if x <= limit), lengths, price)
+    for opens in dict.fromkeys([*((x,) for x in lengths), *(lengths[: k + 1] for k in range(len(lengths)))]):
+        found = _pack(sizes, opens, lengths, price)
         if best is None or found[3] < best[3]:
             best = found
     return best
