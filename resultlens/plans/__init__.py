@@ -1,0 +1,3 @@
+"""Queries: bindings of operators to tables, with SQL to hold them against."""
+
+from . import evaluation, memory_text, sqlsurface  # noqa: F401  (registers the queries)
