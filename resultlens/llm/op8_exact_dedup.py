@@ -6,8 +6,8 @@ against that filter: where not both positions were set twice, the text is surely
 only the possibly repeated rows shuffle, by their SHA-256, which decides. What Bloom errors let through is found
 unique there, so the result is exact.
 
-The filter has at least 16 bits a row up to ``MAX_BITS``; up to ``SENT_BITS`` its words (a proven bound of 1/64 of the bits)
-are broadcast, beyond that they are joined by shuffling the hashes alone. More rows mean more Bloom errors, never other results.
+The filter has 16 bits a row, up to ``SENT_BITS`` while that is at least a bit a row; its words (a proven bound of 1/64 of the bits)
+are broadcast. For still more rows it has up to ``MAX_BITS`` and is joined by shuffling the hashes. More rows mean more Bloom errors, never other results.
 
 Null text counts as empty. Texts are equal when identical after lower-casing A-Z. Of equal texts the row with the
 largest doc_id stays; of rows that also share that doc_id, one. A null doc_id is the smallest. Empty tables give
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, settle, table
 
-MIN_BITS, MAX_BITS, SENT_BITS = 1 << 16, 1 << 36, 1 << 24
+MIN_BITS, MAX_BITS, SENT_BITS = 1 << 16, 1 << 36, 1 << 26
 
 
 def text_key(text: Column) -> Column:
@@ -33,19 +33,20 @@ def _positions(key: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in (1, 2)]
 
 
-def possibly_repeated(hashed: DataFrame, key: str = "sha") -> DataFrame:
-    """The rows with a boolean column `maybe`: false where `key` surely occurs once."""
-    bits = MIN_BITS
-    while bits < min(16 * hashed.count(), MAX_BITS):
+def possibly_repeated(hashed: DataFrame, rows: DataFrame | None = None, key: str = "sha") -> DataFrame:
+    """`rows` (or the hashed rows themselves) with a boolean column `maybe`: false where their `key` surely occurs once among the hashed rows."""
+    n, bits = hashed.count(), MIN_BITS
+    while bits < min(16 * n, SENT_BITS if n <= SENT_BITS else MAX_BITS):
         bits *= 2
     twice = hashed.select(F.explode(F.array(*_positions(F.col(key), bits))).alias("at")).groupBy("at").count().where("count > 1")
     filled = twice.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set"))
-    out = hashed.withColumns({f"at{k}": p for k, p in enumerate(_positions(F.col(key), bits))})
+    rows = hashed if rows is None else rows
+    out = rows.withColumns({f"at{k}": p for k, p in enumerate(_positions(F.col(key), bits))})
     for k in (0, 1):
         part = filled.select(F.col("word").alias(f"word{k}"), F.col("set").alias(f"set{k}"))
         out = out.withColumn(f"word{k}", F.expr(f"at{k} div 64")).join(F.broadcast(part) if bits <= SENT_BITS else part, f"word{k}", "left")
     hit = [F.coalesce(F.expr(f"shiftright(set{k}, cast(at{k} % 64 as int)) & 1L"), F.lit(0)) == 1 for k in (0, 1)]
-    return out.withColumn("maybe", hit[0] & hit[1]).select(*hashed.columns, "maybe")
+    return out.withColumn("maybe", hit[0] & hit[1]).select(*rows.columns, "maybe")
 
 
 def decide(docs: DataFrame) -> DataFrame:
@@ -73,14 +74,13 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns. Texts of rows that surely are unique do not move."""
     added = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], text_key(docs["text"]).alias("sha"))
     hashed = settle(added.select(F.col(f"c{docs.columns.index('doc_id')}").alias("doc_id"), "sha"), "hashes")
-    tested = possibly_repeated(hashed)
-    repeated = tested.where("maybe").groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "keep_id")
-    repeated = settle(repeated, "repeated")
-    out = added.join(repeated, "sha", "left")
-    top = F.col(f"c{docs.columns.index('doc_id')}").eqNullSafe(F.col("keep_id"))
-    alone = F.col("keep_id").isNull()
-    group = out.where(~alone & top).withColumn("nth", F.row_number().over(Window.partitionBy("sha").orderBy(F.lit(1)))).where("nth = 1")
-    stay = out.where(alone).unionByName(group.drop("nth"))
+    tested = possibly_repeated(hashed, added)
+    top = F.col(f"c{docs.columns.index('doc_id')}")
+    # only possibly repeated rows shuffle; of a hash the row of the largest doc_id stays
+    keep = possibly_repeated(hashed).where("maybe").groupBy("sha").agg(F.max("doc_id").alias("keep_id")).withColumnRenamed("sha", "keep_sha")
+    group = tested.where("maybe").join(keep, (F.col("sha") == F.col("keep_sha")) & top.eqNullSafe(F.col("keep_id"))).drop("keep_sha", "keep_id")
+    group = group.withColumn("nth", F.row_number().over(Window.partitionBy("sha").orderBy(F.lit(1)))).where("nth = 1")
+    stay = tested.where("NOT maybe").unionByName(group.drop("nth"))
     return stay.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
