@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import settle, table, word_count
 
-WEIGHTS, PASSES, RANGE, SLOTS = (5, 2, 1), 3, 20_000, 4096
+WEIGHTS, PASSES, RANGE, SLOTS = (5, 2, 1), 3, 4000, 4096
 
 
 def targets(sizes: DataFrame) -> DataFrame:
