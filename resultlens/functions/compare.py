@@ -14,8 +14,8 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 
 
 def float_text(c: Column) -> Column:
-    """One spelling of a number for all engines."""
-    return F.format_string("%.6f", c.cast("double"))
+    """One spelling of a number for all engines; null stays null."""
+    return F.when(c.isNotNull(), F.format_string("%.6f", c.cast("double")))
 
 
 def _typed(c: Column, kind: T.DataType) -> Column:
