@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import threading
 import time
 import uuid
@@ -64,21 +63,20 @@ def selects(sql: str) -> bool:
     return sql.lstrip().lower().startswith(("select", "with", "explain"))
 
 
-def plan(spark: SparkSession, catalog: Catalog, dataset: str, db: str, sql: str) -> DataFrame:
-    """The statement as a DataFrame over the database's tables, which are views of a session of their own. Raises on commands, and on SQL that does not parse."""
-    own = spark.newSession()
-    for name, path in catalog.tables(spark, dataset, db).items():
+def plan(own: SparkSession, catalog: Catalog, dataset: str, db: str, sql: str) -> DataFrame:
+    """The statement as a DataFrame over the database's tables, as views of the session (which should be one of its own). Raises on commands, and on SQL that does not parse."""
+    for name, path in catalog.tables(own, dataset, db).items():
         own.read.parquet(path).createOrReplaceTempView(name)
     text = to_spark(sql)
     parsed = own._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    if _is_command(parsed):
+    if kind_of(sql) != "EXPLAIN" and _is_command(own, parsed):
         raise ValueError("only queries run in read-only mode")
     return keep_last_names(own.sql(text))
 
 
-def _is_command(parsed: Any) -> bool:
-    name = parsed.getClass().getSimpleName()
-    return bool(re.search(r"Command|^(Create|Drop|Insert|Update|Delete|Merge|Set|Alter|Truncate|Replace|Overwrite|Append)", name)) and name != "SetOperation"
+def _is_command(own: SparkSession, parsed: Any) -> bool:
+    command = own._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    return command.isInstance(parsed) or parsed.getClass().getSimpleName().endswith("Statement")
 
 
 def execute(spark: SparkSession, catalog: Catalog, request: Request) -> Envelope:
@@ -89,23 +87,25 @@ def execute(spark: SparkSession, catalog: Catalog, request: Request) -> Envelope
             return Envelope(False, kind, error=f"{kind} is not allowed in read-only mode")
         if request.mode == "sandbox_rollback" and not selects(request.sql):
             return Envelope(True, kind, notice="statements other than queries are not run")
+        own, jobs = spark.newSession(), spark.sparkContext
         tag, late = f"execute-{uuid.uuid4().hex}", threading.Event()
 
         def stop() -> None:
             late.set()
-            spark.interruptTag(tag)
+            jobs.cancelJobsWithTag(tag)
 
         timer = threading.Timer(request.timeout_ms / 1000, stop)
-        spark.addTag(tag)
+        jobs.setInterruptOnCancel(True)
+        jobs.addJobTag(tag)
         timer.start()
         try:
-            found = plan(spark, catalog, request.dataset, request.db, request.sql).limit(request.max_rows).toPandas()
+            found = plan(own, catalog, request.dataset, request.db, request.sql).limit(request.max_rows).toPandas()
         except Exception as e:  # every failure of user SQL is an outcome
             text = str(e).split("\n\nJVM stacktrace")[0]
             return Envelope(False, kind, error="interrupted" if late.is_set() else text, timed_out=late.is_set())
         finally:
             timer.cancel()
-            spark.removeTag(tag)
+            jobs.removeJobTag(tag)
         rows = found.to_dict("records")
         return Envelope(True, kind, rows, len(rows), found.to_string(index=False) if rows else "Empty result set")
 
