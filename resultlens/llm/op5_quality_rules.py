@@ -181,8 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").mapInArrow(part, f"doc_id {kind}, good long, level array<short>")
-    rows = rows.where(F.size("level").between(1, FIT_LINES * FEATURES)).toPandas()
-    rows["text"] = [x.tobytes() for x in rows["level"]]
+    rows = rows.where(F.size("level").between(1, FIT_LINES * FEATURES)).toArrow().to_pandas()
+    rows["text"] = [np.asarray(x, np.int16).tobytes() for x in rows["level"]]
     rows = rows.sort_values(["doc_id", "text"])
     if rows["good"].nunique() < 2:
         return None
