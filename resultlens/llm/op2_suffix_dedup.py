@@ -5,7 +5,7 @@
    number of rows): any such text of SIZE bytes or more is removed whole, and it takes part in the rest once.
 2. Shards. The stretches of candidate windows are dealt by their text's least shared anchor, so near copies meet (large such groups are split), and cut into shards
    of about ``SHARD`` bytes. Each shard gets a suffix array (Larsson-Sadakane) and common prefixes (Kasai): neighbours that share SIZE bytes repeat.
-3. Across shards. Each shard sends one fingerprint (128 bits, sorted) of each distinct window, by range of the anchor's hash; in each range the shards' sorted lists are merged by
+3. Across shards. Each shard sends one fingerprint (128 bits, sorted) of each distinct window whose anchor is in more texts than the shard holds, by range of the anchor's hash; in each range the shards' sorted lists are merged by
    binary search, and windows found in two shards repeat.
 4. The covered bytes of each candidate text are joined to spans; all other texts stay as they are and never shuffle again.
 
@@ -27,7 +27,7 @@ from .common import settle, table
 from .suffix import anchors, common_prefixes, fingerprints, stretches, suffix_array
 from .textbytes import U, blocks, mix
 
-SIZE, GRAM, SHARD, RANGE = 400, 100, 2_000_000, 1_000_000
+SIZE, GRAM, SHARD, RANGE = 400, 100, 1_500_000, 1_000_000
 
 
 def _keys(text: Column) -> list[Column]:
@@ -56,10 +56,12 @@ def _anchor_rows(texts: DataFrame, size: int, gram: int) -> DataFrame:
 
 
 def _candidates(texts: DataFrame, size: int, gram: int) -> DataFrame:
-    """h1, h2, text, cluster, first and last start of each stretch of candidate windows, windows; for each distinct text that has any."""
-    rows = settle(_anchor_rows(texts.where(F.octet_length("text") >= size), size, gram), "anchors")
-    shared = rows.groupBy("g").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max("many").alias("m")).where("a != b OR m").select("g")
-    wanted = rows.join(shared, "g").groupBy("h1", "h2").agg(F.collect_set("g").alias("anchors"))
+    """h1, h2, text, cluster, first and last start of each stretch of candidate windows, windows, anchors and in how many texts each is; for each distinct text that has any."""
+    rows = _anchor_rows(texts.where(F.octet_length("text") >= size), size, gram)
+    rows = settle(rows.groupBy("g", "h1", "h2").agg(F.max("many").alias("many")), "anchors")
+    shared = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("m")).where("n > 1 OR m").select("g", "n")
+    wanted = rows.join(shared, "g").groupBy("h1", "h2").agg(F.collect_list(F.struct("g", "n")).alias("x"))  # a text's own anchors
+    wanted = wanted.select("h1", "h2", F.col("x.g").alias("anchors"), F.col("x.n").alias("counts"))
     distinct = texts.where(F.octet_length("text") >= size).groupBy("h1", "h2").agg(F.first("text").alias("text"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +87,11 @@ def _candidates(texts: DataFrame, size: int, gram: int) -> DataFrame:
                     cut = np.zeros(j - i + 1, np.int64)
                 lists_of = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x.astype(np.int64)))  # noqa: E731,B023
                 n = np.bincount(text, minlength=j - i)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("h1", "h2", "text")), pa.array(cluster), lists_of(low), lists_of(high), pa.array(n)], [*"abcdefg"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("h1", "h2", "text")), pa.array(cluster), lists_of(low), lists_of(high), pa.array(n), lists, b.column("counts").slice(i, j - i)], [*"abcdefghi"])
 
-    found = distinct.join(wanted, ["h1", "h2"]).select("h1", "h2", "text", "anchors")
-    names = ["h1", "h2", "text", "cluster", "low", "high", "windows"]
-    return found.mapInArrow(part, "a long, b long, c string, d long, e array<long>, f array<long>, g long").toDF(*names).where("windows > 0")
+    found = distinct.join(wanted, ["h1", "h2"]).select("h1", "h2", "text", "anchors", "counts")
+    names = ["h1", "h2", "text", "cluster", "low", "high", "windows", "anchors", "counts"]
+    return found.mapInArrow(part, "a long, b long, c string, d long, e array<long>, f array<long>, g long, h array<long>, i array<long>").toDF(*names).where("windows > 0")
 
 
 SHARD_ROWS = "kind int, r long, h1 long, h2 long, a long, b long, fp1 binary, fp2 binary, k1 binary, k2 binary, start binary"
@@ -102,8 +104,20 @@ def _rows(kind: int, r: np.ndarray, h1: np.ndarray, h2: np.ndarray, a: np.ndarra
     return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SHARD_ROWS.split(", ")])
 
 
-def shard(pieces: list[tuple[int, int, int, np.ndarray]], ranges: int, size: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """For pieces (h1, h2, first start, bytes): rows of kind 0, the starts from a to b that repeat here, and of kind 1, the fingerprints of all distinct windows by range."""
+def _elsewhere(known: list[tuple[np.ndarray, np.ndarray, bool]]) -> np.ndarray:
+    """Of the texts' anchors (anchors, in how many texts each is, whether the text lies here whole), sorted, those that may occur outside of these texts."""
+    g, n = (np.concatenate([k[i] for k in known]) for i in (0, 1))
+    whole = np.repeat([k[2] for k in known], [len(k[0]) for k in known])
+    order = np.argsort(g)
+    g, n, whole = g[order], n[order], whole[order]
+    at = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+    here = np.add.reduceat(whole.astype(np.int64), at) if len(g) else at
+    return g[at][n[at] > here].view(np.uint64)
+
+
+def shard(pieces: list[tuple[int, int, int, np.ndarray]], known: list[tuple[np.ndarray, np.ndarray, bool]], ranges: int, size: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """For pieces (h1, h2, first start, bytes): rows of kind 0, the starts from a to b that repeat here, and of kind 1, the fingerprints by range of the distinct windows whose
+    anchor may occur outside of the shard (known: see _elsewhere)."""
     data = np.concatenate([p[3] for p in pieces])
     at = np.concatenate([[0], np.cumsum([len(p[3]) for p in pieces])])
     starts, place, g = anchors(data, at, size, gram)
@@ -125,9 +139,12 @@ def shard(pieces: list[tuple[int, int, int, np.ndarray]], ranges: int, size: int
     if len(low):
         own = owned(low)
         yield _rows(0, np.zeros(len(low)), h1[own], h2[own], low - at[own] + offset[own], high - at[own] + offset[own])
-    one = sa[member]
     anchor = np.zeros(len(data), np.int64)
     anchor[starts] = place
+    ask = np.isin(g[anchor[sa[member]]], np.unique(_elsewhere(known)))
+    one, count = sa[member][ask], count[ask]
+    if not len(one):
+        return
     r = ((mix(g[anchor[one]]) >> U(40)) * U(ranges) >> U(24)).astype(np.int64)
     fp1, fp2 = fingerprints(data, one, size)
     order = np.lexsort((fp2, fp1, r))
@@ -144,27 +161,34 @@ def shard(pieces: list[tuple[int, int, int, np.ndarray]], ranges: int, size: int
 def _sharded(found: DataFrame, ranges: int, size: int, gram: int) -> DataFrame:
     total = found.groupBy("cluster").agg(F.ceil(F.sum(F.col("windows") + size) / (4 * SHARD)).alias("pieces"))
     dealt = found.join(total, "cluster").withColumn("deal", F.pmod(F.xxhash64("h1"), "pieces"))
-    dealt = dealt.repartition("cluster", "deal").sortWithinPartitions("cluster", "deal", "h1", "h2").select("h1", "h2", "text", "low", "high")
+    dealt = dealt.repartition("cluster", "deal").sortWithinPartitions("cluster", "deal", "h1", "h2").select("h1", "h2", "text", "low", "high", "anchors", "counts")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, known, n = [], [], 0
         for b in batches:
             h1, h2 = np.asarray(b.column("h1")), np.asarray(b.column("h2"))
-            low, high = (b.column(c) for c in ("low", "high"))
+            low, high, anchor, count = (b.column(c) for c in ("low", "high", "anchors", "counts"))
             for i, _, data, at in blocks(b.column("text")):
                 for k in range(len(at) - 1):
                     text = data[at[k] : at[k + 1]]
-                    for x, y in zip(low[i + k].as_py(), high[i + k].as_py(), strict=True):
-                        while x <= y:  # a long stretch goes to several shards
+                    stretch = list(zip(low[i + k].as_py(), high[i + k].as_py(), strict=True))
+                    need = sum(y + size - x for x, y in stretch)
+                    if held and n + need > SHARD:
+                        yield from shard(held, known, ranges, size, gram)
+                        held, known, n = [], [], 0
+                    mine = (np.asarray(anchor[i + k].values), np.asarray(count[i + k].values), need <= SHARD)
+                    known.append(mine)
+                    for x, y in stretch:
+                        while x <= y:  # a text longer than a shard goes to several
                             z = min(y, x + SHARD)
                             held.append((h1[i + k], h2[i + k], x, text[x : z + size].copy()))
                             n += z + size - x
                             x = z + 1
-                            if n >= SHARD:
-                                yield from shard(held, ranges, size, gram)
-                                held, n = [], 0
+                            if n >= SHARD and not mine[2]:
+                                yield from shard(held, known, ranges, size, gram)
+                                held, known, n = [], [mine], 0
         if held:
-            yield from shard(held, ranges, size, gram)
+            yield from shard(held, known, ranges, size, gram)
 
     return dealt.mapInArrow(part, SHARD_ROWS)
 
