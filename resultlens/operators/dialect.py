@@ -1,24 +1,60 @@
-"""Rewriting SQLite spellings to Spark SQL, token by token, outside of string literals."""
+"""Rewriting SQLite spellings to Spark SQL, token by token, outside of string literals.
+
+Beyond spelling, sessions that run such statements switch ANSI mode off (see SETTINGS): division by zero and failing casts then give null. Two differences stay: `/` between integers does
+not truncate, and a cast of text with a leading number gives null instead of that number."""
 
 from __future__ import annotations
 
 import re
 
-_TOKEN = re.compile(r"""('(?:[^']|'')*')|("(?:[^"]|"")*")|\[([A-Za-z_][^\]\n]*)\]|([A-Za-z_]\w*)|(\s+|.)""", re.DOTALL)
+_TOKEN = re.compile(r"""'(?:[^']|'')*'|"(?:[^"]|"")*"|\[[A-Za-z_][^\]\n]*\]|[A-Za-z_]\w*|\s+|.""", re.DOTALL)
+SETTINGS = {"spark.sql.ansi.enabled": "false"}
 #: Functions that only have another name in Spark.
-RENAMED = {"ifnull": "coalesce", "iif": "if", "group_concat": "listagg", "total": "sum", "julianday": "unix_date"}
+RENAMED = {"ifnull": "coalesce", "iif": "if", "total": "sum"}
+#: Directives of strftime and their letters in date_format.
+DIRECTIVES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD"}
 
 
-def to_spark(sql: str) -> str:
-    """Bracketed and double-quoted identifiers become backticked, renamed functions get Spark's name, trailing semicolons go."""
-    out = []
-    for text, quoted, bracketed, word, other in _TOKEN.findall(re.sub(r"[;\s]+$", "", sql)):
-        if quoted:
-            out.append("`" + quoted[1:-1].replace('""', '"').replace("`", "``") + "`")
-        elif bracketed:
-            out.append("`" + bracketed.replace("`", "``") + "`")
-        elif word:
-            out.append(RENAMED.get(word.lower(), word))
+def _arguments(tokens: list[str], at: int) -> tuple[list[str], int] | None:
+    """Arguments of the call whose opening parenthesis is at `at`, rewritten, and where it ends."""
+    depth, args, now = 0, [], []
+    for k in range(at, len(tokens)):
+        x = tokens[k]
+        depth += (x == "(") - (x == ")")
+        if depth == 0:
+            return [*args, _rewritten(now).strip()], k
+        if depth == 1 and x == ",":
+            args.append(_rewritten(now).strip())
+            now = []
+        elif k > at:
+            now.append(x)
+    return None
+
+
+def _rewritten(tokens: list[str]) -> str:
+    out, k = [], 0
+    while k < len(tokens):
+        x = tokens[k]
+        if x[0] == '"' and len(x) > 1:
+            x = "`" + x[1:-1].replace('""', '"').replace("`", "``") + "`"
+        elif x[0] == "[" and len(x) > 1:
+            x = "`" + x[1:-1].replace("`", "``") + "`"
+        elif x[0] == "'" and len(x) > 1:
+            x = x.replace("\\", "\\\\")
+        elif x.lower() in ("group_concat", "strftime") and tokens[k + 1 : k + 2] == ["("] and (found := _arguments(tokens, k + 1)):
+            args, k = found
+            if x.lower() == "group_concat":
+                x = f"listagg({', '.join(args if len(args) > 1 else [*args, chr(39) + ',' + chr(39)])})"
+            else:
+                pattern = re.sub("%.", lambda m: DIRECTIVES.get(m[0], m[0]), args[0])
+                x = f"date_format({args[1]}, {pattern})"
         else:
-            out.append(text.replace("\\", "\\\\") if text else other)
+            x = RENAMED.get(x.lower(), x)
+        out.append(x)
+        k += 1
     return "".join(out)
+
+
+def to_spark(sql: str) -> str:
+    """Bracketed and double-quoted identifiers become backticked, renamed functions get Spark's name, group_concat and strftime become listagg and date_format, trailing semicolons go."""
+    return _rewritten(_TOKEN.findall(re.sub(r"[;\s]+$", "", sql)))

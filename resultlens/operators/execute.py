@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.compare import keep_last_names
 from ..functions.text import WRITE_PREFIXES
 from ..sources.catalog import Catalog
-from .dialect import to_spark
+from .dialect import SETTINGS, to_spark
 
 MAX_TIMEOUT_MS, MAX_ROWS, TIMEOUT_MS, ROWS, CONCURRENT = 120_000, 50_000, 120_000, 10_000, 100
 _gate = threading.BoundedSemaphore(CONCURRENT)
@@ -65,6 +65,8 @@ def selects(sql: str) -> bool:
 
 def plan(own: SparkSession, catalog: Catalog, dataset: str, db: str, sql: str) -> DataFrame:
     """The statement as a DataFrame over the database's tables, as views of the session (which should be one of its own). Raises on commands, and on SQL that does not parse."""
+    for key, value in SETTINGS.items():
+        own.conf.set(key, value)
     for name, path in catalog.tables(own, dataset, db).items():
         own.read.parquet(path).createOrReplaceTempView(name)
     text = to_spark(sql)
@@ -88,23 +90,26 @@ def execute(spark: SparkSession, catalog: Catalog, request: Request) -> Envelope
         if request.mode == "sandbox_rollback" and not selects(request.sql):
             return Envelope(True, kind, notice="statements other than queries are not run")
         own, jobs = spark.newSession(), spark.sparkContext
-        tag, late = f"execute-{uuid.uuid4().hex}", threading.Event()
+        tag, late, done = f"execute-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
-        def stop() -> None:
-            late.set()
-            jobs.cancelJobsWithTag(tag)
+        def watch() -> None:
+            if not done.wait(request.timeout_ms / 1000):
+                late.set()
+                while not done.wait(0.2):  # again and again, as a plan may be about to start jobs
+                    jobs.cancelJobsWithTag(tag)
 
-        timer = threading.Timer(request.timeout_ms / 1000, stop)
+        watcher = threading.Thread(target=watch, daemon=True)
+        watcher.start()
         jobs.setInterruptOnCancel(True)
         jobs.addJobTag(tag)
-        timer.start()
         try:
             found = plan(own, catalog, request.dataset, request.db, request.sql).limit(request.max_rows).toPandas()
         except Exception as e:  # every failure of user SQL is an outcome
             text = str(e).split("\n\nJVM stacktrace")[0]
             return Envelope(False, kind, error="interrupted" if late.is_set() else text, timed_out=late.is_set())
         finally:
-            timer.cancel()
+            done.set()
+            watcher.join()
             jobs.removeJobTag(tag)
         rows = found.to_dict("records")
         return Envelope(True, kind, rows, len(rows), found.to_string(index=False) if rows else "Empty result set")

@@ -34,6 +34,12 @@ def test_last_of_equal_names_stays(spark, catalog):
     assert run(spark, catalog, "SELECT 1 AS a, 2 AS a").rows == [{"a": 2}]
 
 
+def test_sqlite_spellings(spark, catalog):
+    out = run(spark, catalog, "SELECT [r_name], IFNULL(NULL, 2) AS two, 1 / 0 AS none, strftime('%Y', '2020-05-01') AS y FROM \"region\" ORDER BY 1 LIMIT 1;")
+    assert out.rows[0]["two"] == 2 and out.rows[0]["none"] != out.rows[0]["none"] or out.rows[0]["none"] is None
+    assert out.rows[0]["y"] == "2020"
+
+
 def test_timeout(spark, catalog):
     out = run(spark, catalog, "SELECT count(*) FROM lineitem a, lineitem b, nation c, region d WHERE a.l_tax + b.l_tax + length(c.n_name) + length(d.r_name) > 17", timeout_ms=1500)
     assert out.timed_out and not out.ok

@@ -139,3 +139,5 @@ def test_merges(spark):
     assert show(etl.upsert(a, b, ["k"])) == [(1, "x"), (2, "z"), (3, "w")]
     assert show(etl.insert_ignore(a, b, ["k"])) == [(1, "x"), (2, "y"), (3, "w")]
     assert show(etl.update_by_key(a, b, ["k"])) == [(1, "x"), (2, "z")]
+    assert to_spark("SELECT group_concat(a), strftime('%Y-%m', max(d)) FROM t") == "SELECT listagg(a, ','), date_format(max(d), 'yyyy-MM') FROM t"
+    assert to_spark("SELECT 'a\\b' FROM t") == "SELECT 'a\\\\b' FROM t"
