@@ -153,9 +153,11 @@ def shard(pieces: list[tuple[int, int, int, np.ndarray]], known: list[tuple[np.n
     start = np.where(count > 1, -1, one - at[own] + offset[own])  # what repeats here needs no answer
     cut = np.flatnonzero(np.diff(r)) + 1
     cut = np.concatenate([[0], cut, [len(r)]])
-    blobs = [[x[p:q].tobytes() for p, q in zip(cut, cut[1:], strict=False)] for x in (fp1, fp2, h1[own], h2[own], start)]
-    zero = np.zeros(len(cut) - 1)
-    yield _rows(1, r[cut[:-1]], zero, zero, zero, zero, blobs)
+    for c in range(0, len(cut) - 1, 8):  # few at a time, as a batch is held whole on its way
+        part = list(zip(cut[c : c + 8], cut[c + 1 : c + 9], strict=False))
+        blobs = [[x[p:q].tobytes() for p, q in part] for x in (fp1, fp2, h1[own], h2[own], start)]
+        zero = np.zeros(len(part))
+        yield _rows(1, r[[p for p, _ in part]], zero, zero, zero, zero, blobs)
 
 
 def _sharded(found: DataFrame, ranges: int, size: int, gram: int) -> DataFrame:
