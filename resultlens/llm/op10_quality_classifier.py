@@ -60,12 +60,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(text: np.ndarray, feature: np.ndarray, grade: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-3, least: int = 10) -> tuple[np.ndarray, np.ndarray]:
+def fit(text: np.ndarray, feature: np.ndarray, grade: np.ndarray, rounds: int = 150, rate: float = 0.1, prior: float = 3.0, least: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by Adam on the likelihood of the cumulative-link model; features of fewer than `least` texts (one in a hundred, where texts are few) get no weight."""
     common = np.bincount(feature, minlength=SIZE) >= min(least, 1 + len(grade) // 100)
     text, feature = text[common[feature]], feature[common[feature]]
     used, column = np.unique(feature, return_inverse=True)
     n, levels = len(grade), GRADES - 1
+    decay = prior / n  # a normal prior on the weights, of one strength whatever the sample
     share = np.array([(grade > k).mean() for k in range(levels)]).clip(0.01, 0.99)
     cut = -np.log(share / (1 - share))
     p = np.concatenate([np.zeros(len(used)), cut[:1], np.log(np.maximum(np.diff(cut), 0.05))])
