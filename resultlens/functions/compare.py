@@ -52,8 +52,9 @@ def row_key(df: DataFrame, columns: Sequence[str], mode: str) -> Column:
 
 def result_sets(cells: DataFrame, result: str, columns: Sequence[str], mode: str) -> DataFrame:
     """One row a result: its sorted set of row keys. A result without rows has none here (compare_sets takes it as empty)."""
-    keyed = cells.select(result, row_key(cells, columns, mode).alias("key")).distinct()
-    return keyed.groupBy(result).agg(F.array_sort(F.collect_list("key")).alias("keys"), F.count(F.lit(1)).alias("n_keys"))
+    keyed = cells.select(result, row_key(cells, columns, mode).alias("key"))
+    # one shuffle, and repeated rows collapse before it
+    return keyed.groupBy(result).agg(F.array_sort(F.collect_set("key")).alias("keys"))
 
 
 def compare_sets(pairs: DataFrame, cells: DataFrame, columns: Sequence[str], mode: str, left: str = "pred_id", right: str = "gold_id", result: str = "result_id") -> DataFrame:
