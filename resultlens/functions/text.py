@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Substrings that make an error one of infrastructure (fixed values).
@@ -114,22 +116,30 @@ def column_hits(text: Column, columns: Column) -> Column:
     return F.aggregate(columns, F.lit(0).cast("long"), lambda a, c: a + F.regexp_count(low, F.concat(F.lit(r"(?U)\b"), c, F.lit(r"\b"))))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def bigram_ttr(s: Column) -> Column:
     """Distinct over all bigrams of lower-cased words; 0 without bigrams."""
-    t = tokens(F.lower(s))
-    n = F.size(t)
-    pairs = F.zip_with(F.slice(t, 1, F.greatest(n - 1, F.lit(0))), F.slice(t, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(n < 2, F.lit(0.0)).otherwise(F.size(F.array_distinct(pairs)) / (n - 1))
-
-
-def quality_gate(text: Column, columns: Column, low: int = 30, high: int = 2000, full: int = 50, hits: int = 2, density: float = 0.05, ttr: float = 0.6) -> tuple[Column, Column]:
-    """(score, accepted) of a thought against the schema columns of its prompt."""
-    n, found = word_count(text), column_hits(text, columns)
-    dense, varied = found / F.greatest(n, F.lit(1)), bigram_ttr(text)
-    possible = n.between(low, high) & (F.size(columns) > 0)
-    score = 0.33 * F.when(n < full, 0.0).otherwise(1.0) + 0.33 * F.least(F.lit(1.0), 10 * dense) + 0.34 * varied
-    accepted = possible & (found >= hits) & (dense >= density) & (varied >= ttr)
-    return F.when(possible, score).otherwise(0.0), accepted
+
+    def share(t: Column) -> Column:
+        n = F.size(t)
+        pairs = F.zip_with(F.slice(t, 1, F.greatest(n - 1, F.lit(0))), F.slice(t, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        return F.when(n < 2, F.lit(0.0)).otherwise(F.size(F.array_distinct(pairs)) / (n - 1))
+
+    return _once(tokens(F.lower(s)), share)
+
+
+def quality_gate(df: DataFrame, text: str, columns: Column, low: int = 30, high: int = 2000, full: int = 50, hits: int = 2, density: float = 0.05, ttr: float = 0.6) -> DataFrame:
+    """The frame with `score` and `accepted` of a thought against the schema columns of its prompt. The parts are columns of their own first, so each is computed once."""
+    own = df.withColumns({"__c": columns, "__n": word_count(F.col(text)), "__t": bigram_ttr(F.col(text))}).withColumn("__h", column_hits(F.col(text), F.col("__c")))
+    dense = F.col("__h") / F.greatest(F.col("__n"), F.lit(1))
+    possible = F.col("__n").between(low, high) & (F.size("__c") > 0)
+    score = 0.33 * F.when(F.col("__n") < full, 0.0).otherwise(1.0) + 0.33 * F.least(F.lit(1.0), 10 * dense) + 0.34 * F.col("__t")
+    accepted = possible & (F.col("__h") >= hits) & (dense >= density) & (F.col("__t") >= ttr)
+    return own.withColumns({"score": F.when(possible, score).otherwise(0.0), "accepted": accepted}).drop("__c", "__n", "__t", "__h")
 
 
 def content_id(dataset: Column, db: Column, text: Column) -> Column:

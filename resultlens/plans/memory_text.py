@@ -63,8 +63,7 @@ s AS (SELECT *, hits / CAST(greatest(n_words, 1) AS DOUBLE) AS density, n_words
 SELECT doc_id, round(CASE WHEN possible THEN CAST(0.33 AS DOUBLE) * (CASE WHEN n_words < 50 THEN 0 ELSE 1 END) + CAST(0.33 AS DOUBLE) * least(1.0, 10 * density) + CAST(0.34 AS DOUBLE) * ttr ELSE 0 END, 6) AS score, possible AND hits >= 2 AND density >= 0.05 AND ttr >= 0.6 AS accepted FROM s""")
 def _(spark, d):
     th = b.thoughts(spark, d).where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    score, accepted = text.quality_gate(F.col("text"), text.prompt_columns(F.col("prompt")))
-    return th.select("doc_id", F.round(score, 6).alias("score"), accepted.alias("accepted"))
+    return text.quality_gate(th, "text", text.prompt_columns(F.col("prompt"))).select("doc_id", F.round("score", 6).alias("score"), "accepted")
 
 
 @query("content_id_sha1", f"WITH {b.THOUGHTS} SELECT doc_id, 'mem_' || sha1('set' || chr(0) || db_id || chr(0) || text) AS id FROM thoughts")
