@@ -79,7 +79,7 @@ def exploit_explore(probes: DataFrame, memory: DataFrame) -> DataFrame:
     best = _best(probes, nearest(probes, wrong, 1_000_000_000), wrong, "best")
     out = probes.select(F.col("id").alias("probe_id"), "embedding", F.lit(1).alias("one")).join(F.broadcast(mean), "one", "left").join(best, "probe_id", "left")
     exploit = F.when(F.col("centroid").isNotNull(), -F.sqrt(l2_squared(F.col("embedding"), F.col("centroid")))).otherwise(0.0)
-    explore = F.when(F.col("best").isNotNull(), 1 - F.col("best")).otherwise(1.0)
+    explore = F.when(F.col("best").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("best"))).otherwise(1.0)  # a cosine may round to over 1
     return out.select("probe_id", exploit.alias("exploit"), explore.alias("explore"))
 
 

@@ -124,7 +124,7 @@ def _(spark, d):
 
 @query("exploit_explore", f"""WITH {b.MEMORY}, c AS (SELECT list(x ORDER BY pos) AS c FROM (SELECT pos, avg(x) AS x FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM memory WHERE is_correct) GROUP BY pos)),
 f AS (SELECT p.id, max({_COS.format("m.embedding", "p.embedding")}) AS best FROM memory m, probes p WHERE NOT m.is_correct GROUP BY p.id)
-SELECT p.id AS probe_id, round(-list_distance(p.embedding, c.c), 6) AS exploit, round(1 - best, 6) AS explore FROM probes p JOIN f USING (id), c""")
+SELECT p.id AS probe_id, round(-list_distance(p.embedding, c.c), 6) AS exploit, round(greatest(CAST(0 AS DOUBLE), 1 - best), 6) AS explore FROM probes p JOIN f USING (id), c""")
 def _(spark, d):
     return vectors.exploit_explore(b.probes(spark, d), b.memory(spark, d)).select("probe_id", F.round("exploit", 6).alias("exploit"), F.round("explore", 6).alias("explore"))
 

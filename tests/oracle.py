@@ -18,7 +18,7 @@ def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return "~"
     if isinstance(v, float):
-        return f"{v:.5f}"
+        return f"{round(v, 5) + 0.0:.5f}"
     return str(v)
 
 
