@@ -2,8 +2,8 @@
 
 Base kinds are assign, access and hex (fixed patterns below; failing matches are dropped, not retried). Beyond them, a run of token characters in a sensitive context
 (a sensitive word shortly before it on its line) is a candidate. Its marginal compressed size is the difference that it makes to its compressed surroundings,
-under a compressor primed with a dictionary of identifiers; a candidate whose marginal bytes are at least ``NOVEL`` of its length cannot be told from code and names
-around it and is reported as kind novel, unless a base span covers part of it.
+under a compressor primed with a dictionary of identifiers; a candidate whose marginal bytes are at least ``NOVEL`` of what random strings of its length and alphabet
+cost in its place (mean of ``DRAWS``) owes nothing to code and names around it and is reported as kind novel, unless a base span covers part of it.
 
 Positions are code points, end exclusive. Null text is empty; no text gives no spans, and the hash of the empty string. Texts that hold no run of
 hex digits, access prefix or sensitive word are not decoded. Repeated rows come out repeated; other columns are left alone.
@@ -14,7 +14,9 @@ from __future__ import annotations
 import builtins
 import hashlib
 import keyword
+import random
 import re
+import string
 import sys
 from collections.abc import Iterator
 
@@ -33,7 +35,7 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = (b"passw", b"secret", b"token", b"api", b"credential", b"auth", b"private", b"key", b"bearer")
-NOVEL, REACH, AROUND, LEVEL = 1.0, 64, 256, 9
+NOVEL, DRAWS, REACH, AROUND, LEVEL = 0.8, 4, 64, 256, 9
 CONTEXT = re.compile(r"(passw|secret|token|api|credential|auth|private|key|bearer)", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 IS_HEX = np.zeros(256, bool)
@@ -58,6 +60,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def alphabet(word: str) -> str:
+    """The characters that a random string of the kind of `word` is drawn from: digits, its cases of letters (A to F if no others are there) and its signs."""
+    held = set(word)
+    out = string.digits + "".join(c for c in "+/_=-" if c in held)
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        if mine := held & set(letters):
+            out += letters[:6] if mine <= set(letters[:6]) else letters
+    return out
+
+
+def is_novel(word: str, before: str, after: str, zstd: zstandard.ZstdCompressor) -> bool:
+    """Whether `word` costs its surroundings about as much as random strings do; the draws are the same for the same word."""
+    rng, chars = random.Random(word), alphabet(word)
+    least = len(zstd.compress((before + after).encode()))
+    more, *drawn = (len(zstd.compress((before + w + after).encode())) - least for w in (word, *("".join(rng.choices(chars, k=len(word))) for _ in range(DRAWS))))
+    return more * DRAWS >= NOVEL * sum(drawn)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], zstd: zstandard.ZstdCompressor) -> list[tuple[int, int, int]]:
     found = []
     for m in CANDIDATE.finditer(text):
@@ -68,8 +88,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], zstd: zstandard.Zst
         if not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
             continue
         before, after = text[max(0, s - AROUND) : s], text[e : e + AROUND]
-        more = len(zstd.compress((before + m[0] + after).encode())) - len(zstd.compress((before + after).encode()))
-        if more >= NOVEL * (e - s):
+        if is_novel(m[0], before, after, zstd):
             found.append((s, 3, e))
     return found
 

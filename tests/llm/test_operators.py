@@ -222,6 +222,23 @@ def test_novel_secrets():
     assert found == ["q8Zr2LxT9vWc4KpN7sYb"]
 
 
+@pytest.mark.parametrize("chars", ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEF0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"])
+@pytest.mark.parametrize("length", [20, 64, 128, 344, 1024])
+def test_novelty_does_not_depend_on_length(chars, length):
+    rng, zstd = random.Random(length), secret.compressor(secret.identifiers())
+    found = 0
+    for _ in range(30):
+        text = f"{long_text(rng, 60)} private key {''.join(rng.choices(chars, k=length))} {long_text(rng, 60)}"
+        found += len(secret.novel_spans(text, [], zstd)) == 1
+    assert found >= 27
+
+
+def test_names_are_not_novel():
+    rng, zstd = random.Random(2), secret.compressor(secret.identifiers())
+    names = ["_".join(rng.sample(["get", "user", "name", "from", "config", "load", "token", "count", "request", "handler", "module", "value", "index"], 6)) + "2" for _ in range(30)]
+    assert sum(len(secret.novel_spans(f"{long_text(rng, 60)} private key {n} {long_text(rng, 60)}", [], zstd)) for n in names) <= 3
+
+
 def test_exact_dedup(docs, none, plain, monkeypatch):
     for bits in (1 << 16, 64):  # a filter so small that it errs everywhere changes nothing
         monkeypatch.setattr(exact, "MIN_BITS", bits)
