@@ -3,7 +3,8 @@
 Base kinds are assign, access and hex (fixed patterns below; failing matches are dropped, not retried). Beyond them, a run of token characters in a sensitive context
 (a sensitive word shortly before it on its line) is a candidate. Its marginal compressed size is the difference that it makes to its compressed surroundings,
 under a compressor primed with a dictionary of identifiers; a candidate whose marginal bytes are at least ``NOVEL`` of what random strings of its length and alphabet
-cost in its place (mean of ``DRAWS``) owes nothing to code and names around it and is reported as kind novel, unless a base span covers part of it.
+cost in its place (mean of ``DRAWS``) owes nothing to code and names around it and is reported as kind novel, unless a base span covers part of it. Other copies of the
+candidate are blanked out of its surroundings, and a string that is novel once is reported wherever it stands as a run of its own.
 
 Positions are code points, end exclusive. Null text is empty; no text gives no spans, and the hash of the empty string. Texts that hold no run of
 hex digits, access prefix or sensitive word are not decoded. Repeated rows come out repeated; other columns are left alone.
@@ -78,19 +79,29 @@ def is_novel(word: str, before: str, after: str, zstd: zstandard.ZstdCompressor)
     return more * DRAWS >= NOVEL * sum(drawn)
 
 
+def surroundings(text: str, s: int, e: int) -> tuple[str, str]:
+    """AROUND characters on each side of text[s:e], with spaces in place of whatever belongs to another copy of it."""
+    word, n = text[s:e], e - s
+    before, after = text[max(0, s - AROUND - n + 1) : s], text[e : e + AROUND + n - 1]
+    return before.replace(word, " " * n)[-AROUND:], after.replace(word, " " * n)[:AROUND]
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], zstd: zstandard.ZstdCompressor) -> list[tuple[int, int, int]]:
-    found = []
+    runs_of: dict[str, list[tuple[int, int]]] = {}
+    novel: set[str] = set()
+
+    def free(s: int, e: int) -> bool:
+        return not any(x < e and s < z for x, _, z in base)
+
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        line = max(text.rfind("\n", 0, s) + 1, s - REACH)
-        if not CONTEXT.search(text, line, s) or any(x < e and s < z for x, _, z in base):
-            continue
         if not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
             continue
-        before, after = text[max(0, s - AROUND) : s], text[e : e + AROUND]
-        if is_novel(m[0], before, after, zstd):
-            found.append((s, 3, e))
-    return found
+        runs_of.setdefault(m[0], []).append((s, e))
+        line = max(text.rfind("\n", 0, s) + 1, s - REACH)
+        if m[0] not in novel and CONTEXT.search(text, line, s) and free(s, e) and is_novel(m[0], *surroundings(text, s, e), zstd):
+            novel.add(m[0])
+    return sorted((s, 3, e) for word in novel for s, e in runs_of[word] if free(s, e))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -233,6 +233,18 @@ def test_novelty_does_not_depend_on_length(chars, length):
     assert found >= 27
 
 
+@pytest.mark.parametrize("length", [20, 64, 200, 300])
+@pytest.mark.parametrize("between", ["\nprivate key ", "\nsaid again: ", " "])
+def test_novel_secrets_that_stand_twice(length, between):
+    rng, zstd = random.Random(length), secret.compressor(secret.identifiers())
+    found = 0
+    for _ in range(20):
+        word = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=length))
+        text = f"{long_text(rng, 60)} private key {word}{between}{word}\n{long_text(rng, 60)}"
+        found += [text[s:e] for s, _, e in secret.novel_spans(text, [], zstd)] == [word, word]
+    assert found >= 18
+
+
 def test_names_are_not_novel():
     rng, zstd = random.Random(2), secret.compressor(secret.identifiers())
     names = ["_".join(rng.sample(["get", "user", "name", "from", "config", "load", "token", "count", "request", "handler", "module", "value", "index"], 6)) + "2" for _ in range(30)]
