@@ -1,12 +1,12 @@
 """Operator 9, information-theoretic sanitisation of personal data, in DataFrame operations only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers (fixed patterns below; failing matches are dropped, not retried). Each distinct value is a protected
-entity. A term (a word of ``TERM_LETTERS`` letters or more) within ``REACH`` characters of an entity, on its line, may reveal it. Over all documents,
-with n documents, df of each term and entity and their co-occurrences c in such contexts:
+entity. A term (a word of ``TERM_LETTERS`` letters or more) anywhere in a document of an entity may reveal it. Over all documents,
+with n documents, df of each term and entity and c of documents that hold both:
 
   disclosure = log2(c * n / (df_term * df_entity)), at most about IC = log2(n / df_entity), the whole information of the entity.
 
-A term that has ``LEAST`` co-occurrences or more with an entity and discloses at least ``ALPHA`` of its information is reported as kind term wherever it stands beside that entity. ``sanitised``
+A term that has ``LEAST`` co-occurrences or more with an entity and discloses at least ``ALPHA`` of its information is reported as kind term wherever it stands in the documents of that entity, outside of base spans. ``sanitised``
 generalises spans to their kind, and removes terms.
 
 Positions are code points, end exclusive. Null text is empty; no text gives no spans and the hash of the empty string. Repeated rows come out repeated. The document counts are of rows.
@@ -27,7 +27,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone", "term")
-TERM_LETTERS, REACH, ALPHA, LEAST = 4, 80, 0.8, 2
+TERM_LETTERS, ALPHA, LEAST = 4, 0.8, 2
 TERM = rf"\p{{L}}{{{TERM_LETTERS},}}"
 SPAN = "array<struct<s:bigint,k:int,e:bigint,v:string>>"
 
@@ -73,20 +73,13 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(every)
 
 
-def _beside(text: Column, span: Column, spans: Column) -> Column:
-    """Terms (t: hash, s, e) on the span's line within REACH, outside of all spans."""
-    cut = F.greatest(span["s"] - REACH, F.lit(0).cast("long"))
-    left = F.substring_index(F.substring(text, cut + 1, span["s"] - cut), "\n", -1)
-    # a word cut off by the reach is none
-    left = F.when((cut > 0) & (F.length(left) == REACH), F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.substring_index(F.substring(text, span["e"] + 1, F.lit(REACH)), "\n", 1)
-    right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
+def _term(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
 
-    def terms(part: Column, at: Column) -> Column:
-        return F.transform(_matches(part, TERM, 4, lambda v: F.lit(True)), lambda m: F.struct(F.xxhash64(F.lower(m["v"])).alias("t"), (m["s"] + at).alias("s"), (m["e"] + at).alias("e")))
 
-    found = F.concat(terms(left, span["s"] - F.length(left)), terms(right, span["e"]))
-    return F.filter(found, lambda t: ~F.exists(spans, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, hashed."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), _term))
 
 
 def _entity(span: Column) -> Column:
@@ -98,26 +91,26 @@ def found_spans(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST) -> Da
     """doc_id, base (spans) and every (base and term spans, by start, then kind) for each row."""
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("tag"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    near = F.when(
-        F.size("base") > 0, F.transform("base", lambda b: F.struct(_entity(b).alias("entity"), _beside(F.col("text"), b, F.col("base")).alias("terms")))
-    )
-    rows = settle(rows.select("doc_id", "tag", "base", near.alias("near")), "spans")
-    beside = rows.where("near IS NOT NULL").select("doc_id", "tag", F.explode("near").alias("x")).select("doc_id", "tag", "x.entity", F.explode("x.terms").alias("y")).select("doc_id", "tag", "entity", "y.*")
-    entities = rows.where("near IS NOT NULL").select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
-    pairs = rows.where("near IS NOT NULL").select(
-        F.explode(F.array_distinct(F.flatten(F.transform("near", lambda x: F.transform(x["terms"], lambda y: F.struct(x["entity"].alias("entity"), y["t"].alias("t"))))))).alias("p")
-    ).groupBy("p").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("p.*", "c")
-    pairs = settle(pairs, "pairs")
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))).alias("t"))
-    df_term = words.groupBy("t").agg(F.count(F.lit(1)).alias("df_term")).where(F.col("df_term") >= least).join(pairs.select("t").distinct(), "t", "left_semi")
+    own = F.size("base") > 0
+    rows = rows.select("doc_id", "tag", "base", F.monotonically_increasing_id().alias("row"), F.when(own, F.col("text")).alias("text"), F.when(own, F.array_distinct(F.transform("base", _entity))).alias("entities"))
+    rows = settle(rows, "spans")
     n = F.lit(rows.count()).cast("double")
-    told = pairs.join(df_term, "t").join(entities, "entity")
+    holders = rows.where("entities IS NOT NULL")
+    entities = holders.select("row", F.explode("entities").alias("entity"))
+    entities = settle(entities.join(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).where(F.col("df_entity") >= least), "entity"), "entities")
+    words = docs.select(F.explode(_terms(text)).alias("t"))
+    df_term = words.groupBy("t").agg(F.count(F.lit(1)).alias("df_term")).where(F.col("df_term") >= least)
+    terms = holders.join(entities.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms(F.col("text"))).alias("t")).join(df_term, "t")
+    # c is at most df_entity, so a term of more documents than this cannot disclose enough
+    most = F.col("df_entity") * F.pow(n / F.col("df_entity"), 1 - alpha) * (1 + 1e-9)
+    pairs = settle(entities.join(terms, "row").where(F.col("df_term") <= most), "pairs")
+    told = pairs.groupBy("entity", "t", "df_entity", "df_term").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
     told = told.where(F.log2(F.col("c") * n / (F.col("df_term") * F.col("df_entity"))) >= alpha * F.log2(n / F.col("df_entity"))).select("entity", "t")
-    more = beside.join(told, ["entity", "t"]).groupBy("doc_id", "tag").agg(
-        F.collect_set(F.struct("s", F.lit(4).alias("k"), "e", F.lit("").alias("v"))).cast(SPAN).alias("more")
-    )  # a document's own spans
-    more = more.select(F.col("doc_id").alias("d"), F.col("tag").alias("g"), "more")
-    out = rows.join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("g")), "left")
+    hits = pairs.join(told, ["entity", "t"]).groupBy("row").agg(F.collect_set("t").alias("told"))
+    more = _matches(F.col("text"), TERM, 4, lambda v: F.array_contains("told", _term(v)))
+    more = F.filter(more, lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+    more = holders.join(hits, "row").select("row", F.transform(more, lambda t: t.withField("v", F.lit(""))).cast(SPAN).alias("more"))
+    out = rows.select("row", "doc_id", "tag", "base").join(more, "row", "left")
     return out.select("doc_id", "tag", "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("every"))
 
 

@@ -291,6 +291,17 @@ def test_terms_that_disclose(spark):
     assert found[101] == [(4, 4, 10), (0, 17, 23)] and found[102] == []
 
 
+def test_terms_disclose_all_over_their_document(spark):
+    far = "plain words here " * 20
+    rows = [(k, f"plain words here {k}") for k in range(40)]
+    rows += [(100, f"Zorbax\n{far}a@b.co {far}and Zorbax again"), (101, f"a@b.co wrote\n\n{far}\nyours, ZORBAX"), (102, "plain Zorbas"), (103, "plain words"), (103, "plain words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {d: t for d, t in rows}
+    found = {r["doc_id"]: [texts[r["doc_id"]][x["s"] : x["e"]] for x in r["every"] if x["k"] == 4] for r in pii.found_spans(docs).collect()}
+    assert {d: t for d, t in found.items() if t} == {100: ["Zorbax", "Zorbax"], 101: ["ZORBAX"]}
+    assert not any("zorbax" in r["sanitised"].lower() for r in pii.sanitise(docs).collect())
+
+
 def test_classifier(spark, sf, docs, none):
     d = sf.replace("0.001", "0.1")
     every, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
