@@ -1,7 +1,7 @@
 """Operator 7, secret scans: base patterns, and novelty under dictionary-primed zstandard.
 
 Base kinds are assign, access and hex (fixed patterns below; failing matches are dropped, not retried). Beyond them, a run of token characters in a sensitive context
-(a sensitive word shortly before it on its line) is a candidate. Its marginal compressed size is the difference that it makes to its compressed surroundings,
+(a sensitive word shortly before it on its line or in the ``LINES`` lines above, or a PEM block of a private key) is a candidate. Its marginal compressed size is the difference that it makes to its compressed surroundings,
 under a compressor primed with a dictionary of identifiers; a candidate whose marginal bytes are at least ``NOVEL`` of what random strings of its length and alphabet
 cost in its place (mean of ``DRAWS``) owes nothing to code and names around it and is reported as kind novel, unless a base span covers part of it. Other copies of the
 candidate are blanked out of its surroundings, and a string that is novel once is reported wherever it stands as a run of its own.
@@ -19,7 +19,8 @@ import random
 import re
 import string
 import sys
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,9 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = (b"passw", b"secret", b"token", b"api", b"credential", b"auth", b"private", b"key", b"bearer")
-NOVEL, DRAWS, REACH, AROUND, LEVEL = 0.8, 4, 64, 256, 9
+NOVEL, DRAWS, REACH, LINES, AROUND, LEVEL = 0.8, 4, 64, 3, 256, 9
 CONTEXT = re.compile(r"(passw|secret|token|api|credential|auth|private|key|bearer)", re.IGNORECASE | re.ASCII)
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----(?:(?!-----)[\s\S])*+", re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 IS_HEX = np.zeros(256, bool)
 IS_HEX[[*range(48, 58), *range(97, 103)]] = True
@@ -86,9 +88,29 @@ def surroundings(text: str, s: int, e: int) -> tuple[str, str]:
     return before.replace(word, " " * n)[-AROUND:], after.replace(word, " " * n)[:AROUND]
 
 
+def sensitive(text: str) -> Callable[[int], bool]:
+    """Whether a position is in a sensitive context of the text."""
+    words = [m.end() for m in CONTEXT.finditer(text)]
+    starts = [m.start() for m in CONTEXT.finditer(text)]
+    lines = [-1, *(m.start() for m in re.finditer("\n", text))]
+    keys = [m.span() for m in PEM.finditer(text)]
+
+    def at(s: int) -> bool:
+        k = bisect_left(lines, s) - 1
+        own, above = max(lines[k] + 1, s - REACH), lines[max(0, k - LINES)] + 1
+        first = bisect_left(starts, own)
+        if first < len(words) and words[first] <= s:
+            return True
+        first = bisect_left(starts, above)
+        return (first < len(words) and words[first] <= lines[k]) or any(x <= s < y for x, y in keys)
+
+    return at
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], zstd: zstandard.ZstdCompressor) -> list[tuple[int, int, int]]:
     runs_of: dict[str, list[tuple[int, int]]] = {}
     novel: set[str] = set()
+    near = sensitive(text)
 
     def free(s: int, e: int) -> bool:
         return not any(x < e and s < z for x, _, z in base)
@@ -98,8 +120,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], zstd: zstandard.Zst
         if not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
             continue
         runs_of.setdefault(m[0], []).append((s, e))
-        line = max(text.rfind("\n", 0, s) + 1, s - REACH)
-        if m[0] not in novel and CONTEXT.search(text, line, s) and free(s, e) and is_novel(m[0], *surroundings(text, s, e), zstd):
+        if m[0] not in novel and near(s) and free(s, e) and is_novel(m[0], *surroundings(text, s, e), zstd):
             novel.add(m[0])
     return sorted((s, 3, e) for word in novel for s, e in runs_of[word] if free(s, e))
 
