@@ -142,9 +142,9 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def pending(samples: DataFrame, models: DataFrame, done: DataFrame, retry_failed: bool = False) -> DataFrame:
-    """(model_name, sample_id) pairs still to be generated. With retry_failed, pairs that are done but not ok count as pending. models is a handful of names."""
+    """(model_name, sample_id) pairs still to be generated. With retry_failed, pairs that are done but not ok count as pending. The distinct models are broadcast."""
     finished = done.where("ok") if retry_failed else done
-    pairs = samples.select("sample_id").distinct().select("sample_id", F.explode(F.array(*(F.lit(r[0]) for r in models.select("model_name").distinct().orderBy("model_name").limit(1000).collect()))).alias("model_name"))
+    pairs = samples.select("sample_id").distinct().crossJoin(F.broadcast(models.select("model_name").distinct()))
     return pairs.join(finished.select("model_name", "sample_id"), ["model_name", "sample_id"], "left_anti")
 
 

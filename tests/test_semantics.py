@@ -141,3 +141,11 @@ def test_merges(spark):
     assert show(etl.update_by_key(a, b, ["k"])) == [(1, "x"), (2, "z")]
     assert to_spark("SELECT group_concat(a), strftime('%Y-%m', max(d)) FROM t") == "SELECT listagg(a, ','), date_format(max(d), 'yyyy-MM') FROM t"
     assert to_spark("SELECT 'a\\b' FROM t") == "SELECT 'a\\\\b' FROM t"
+
+
+def test_pending_knows_every_model(spark):
+    models = spark.range(1500).selectExpr("concat('m', id) AS model_name")
+    samples = spark.createDataFrame([(1,), (2,)], "sample_id int")
+    done = spark.createDataFrame([("m0", 1, True), ("m1499", 2, True), ("m7", 1, False)], "model_name string, sample_id int, ok boolean")
+    assert etl.pending(samples, models, done).count() == 2997
+    assert etl.pending(samples, models, done, retry_failed=True).count() == 2998
