@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of other characters than space and \t\n\v\f\r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key with more rows than this, and than 1 / HOT_KEYS of all, is joined by broadcast.
+HOT_ROWS, HOT_KEYS = 2000, 1 << 16
+#: Bloom filters: least size, and the most words (16 bytes each) that are broadcast.
+MIN_BITS, SENT_WORDS = 1 << 16, 1 << 20
 _own: dict[str, str] = {}
 
 
@@ -49,6 +53,43 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def join_unique(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined to a settled table that has each key once, and in `count` how many of the rows have it.
+
+    Rows of a key that is too frequent for one task meet it by broadcast: there are fewer than HOT_KEYS such keys, as each has more than 1 / HOT_KEYS of all rows."""
+    total, most = table.agg(F.sum(count), F.max(count)).first()
+    least = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= least:
+        return rows.join(table, keys)
+    often = F.col(count) > least
+    hot = table.where(often)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(~often), keys))
+
+
+def bloom_bits(n: int) -> int:
+    """Bits of a filter of n keys: a power of two, 16 a key at least."""
+    return max(MIN_BITS, 1 << (16 * n - 1).bit_length())
+
+
+def bloom_place(key: Column, bits: int) -> tuple[Column, Column]:
+    """The word of the filter that a key belongs to, and its two bits there."""
+    h = F.xxhash64(key, F.lit(2))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, k), F.lit(64)).cast("int"))
+    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits // 64)), bit(0).bitwiseOR(bit(8))
+
+
+def perhaps_among(rows: DataFrame, key: Column, keys: DataFrame, n: int) -> DataFrame:
+    """The rows whose key may be among the n keys (one column), by a broadcast Bloom filter of up to SENT_WORDS words; for more keys, all rows. A join decides afterwards."""
+    bits = bloom_bits(n)
+    if bits // 64 > SENT_WORDS:
+        return rows
+    word, mask = bloom_place(F.col(keys.columns[0]), bits)
+    words = keys.select(word.alias("__word"), mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__set"))
+    word, mask = bloom_place(key, bits)
+    found = rows.withColumns({"__word": word, "__mask": mask}).join(F.broadcast(words), "__word")
+    return found.where(F.col("__set").bitwiseAND(F.col("__mask")) == F.col("__mask")).select(*rows.columns)
+
+
 def partitions(df: DataFrame, rows: int, per: int) -> int:
     """Partitions of about `per` rows each, at least as many as the session deals out."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per))

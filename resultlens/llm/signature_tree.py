@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
 FAN = 8
-#: Words of bitmaps that one vectorised step may compare.
-STEP = 1 << 21
+#: Words of bitmaps that one vectorised step may compare, and pairs of nodes that are opened at once.
+STEP, OPEN = 1 << 19, 2048
+#: Found pairs that are joined before the others are looked at again.
+JOIN = 2048
 
 
 def bitmap_width(n: np.ndarray) -> np.ndarray:
@@ -17,10 +19,10 @@ def bitmap_width(n: np.ndarray) -> np.ndarray:
 
 
 class Groups:
-    """Union-find over 0..n-1 in which whole arrays of labels can be read."""
+    """Groups of 0..n-1 in which whole arrays of labels can be read; items of equal label are together from the start."""
 
-    def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
+    def __init__(self, label: np.ndarray) -> None:
+        self.label = np.unique(label, return_inverse=True)[1].astype(np.int64)
 
     def join(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         """Join pairs; those that joined two groups come back."""
@@ -43,6 +45,13 @@ class SignatureTree:
             at = np.arange(0, len(bits), FAN)
             self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(spare, at)))
 
+    def __len__(self) -> int:
+        return len(self.levels[0][0])
+
+    def level(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The nodes k levels above the sets, or the root."""
+        return self.levels[min(k, len(self.levels) - 1)]
+
     def folded(self) -> SignatureTree:
         """The same tree with bitmaps of half the width."""
         bits, low, _, _ = self.levels[0]
@@ -56,88 +65,137 @@ def reach(top: np.ndarray, low: np.ndarray, num: int, den: int) -> np.ndarray:
     return den * top >= num * (low - top)
 
 
-def link(x: SignatureTree, y: SignatureTree, of_x: np.ndarray, of_y: np.ndarray, groups: Groups, num: int, den: int, check: Callable | None = None) -> list[tuple[int, int]]:
+class Traversal:
     """Dual traversal of two trees (or one with itself); of_x and of_y number their sets in `groups`.
 
     A pair of nodes is dropped when its largest possible overlap can't reach num / den, when its size ranges do not fit, or
-    when all sets below both are in one group already. Pairs of sets that may reach it (and pass `check`, if there is one) are joined. Returns those that joined groups."""
-    used: list[tuple[int, int]] = []
-    if not len(of_x) or not len(of_y):
-        return used
+    when all sets below both are in one group already. Pairs of sets that may reach it (and pass `check`, if there is one) are joined; `used` has those that joined groups.
+    Node pairs are opened depth first, OPEN at a time, so memory is bounded whatever is left to compare."""
+
+    def __init__(self, x: SignatureTree, y: SignatureTree, of_x: np.ndarray, of_y: np.ndarray, groups: Groups, num: int, den: int, check: Callable[[int, int], bool] | None) -> None:
+        self.x, self.y, self.of_x, self.of_y, self.groups, self.num, self.den, self.check = x, y, of_x, of_y, groups, num, den, check
+        self.used: list[tuple[int, int]] = []
 
-    def possible(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        (p, p_low, p_high, p_spare), (q, q_low, q_high, q_spare) = x.levels[min(level, len(x.levels) - 1)], y.levels[min(level, len(y.levels) - 1)]
-        fits = (den * p_high[a] >= num * q_low[b]) & (den * q_high[b] >= num * p_low[a])
+    def possible(self, k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        (p, p_low, p_high, p_spare), (q, q_low, q_high, q_spare) = self.x.level(k), self.y.level(k)
+        fits = (self.den * p_high[a] >= self.num * q_low[b]) & (self.den * q_high[b] >= self.num * p_low[a])
         ok = np.flatnonzero(fits)
         step = max(1, STEP // p.shape[1])
         for i in range(0, len(ok), step):
-            k = ok[i : i + step]
-            top = np.bitwise_count(p[a[k]] & q[b[k]]).sum(1, dtype=np.int64) + np.minimum(p_spare[a[k]], q_spare[b[k]])
-            top = np.minimum(top, np.minimum(p_high[a[k]], q_high[b[k]]))
-            fits[k] = reach(top, p_low[a[k]] + q_low[b[k]], num, den)
+            at = ok[i : i + step]
+            u, v = a[at], b[at]
+            top = np.bitwise_count(p[u] & q[v]).sum(1, dtype=np.int64) + np.minimum(p_spare[u], q_spare[v])
+            top = np.minimum(top, np.minimum(p_high[u], q_high[v]))
+            fits[at] = reach(top, p_low[u] + q_low[v], self.num, self.den)
         return fits
 
-    def spread(n: int, level: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and largest group label below each node."""
-        label, at = groups.label[of], np.arange(0, n, FAN**level)
+    def apart(self, k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of nodes have sets of different groups below them."""
+        (low_x, high_x), (low_y, high_y) = (self.spread(t, of, k) for t, of in ((self.x, self.of_x), (self.y, self.of_y)))
+        return ~((low_x[a] == high_x[a]) & (low_y[b] == high_y[b]) & (low_x[a] == low_y[b]))
+
+    def spread(self, t: SignatureTree, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        label, at = self.groups.label[of], np.arange(0, len(of), FAN ** min(k, len(t.levels) - 1))
         return np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
 
-    def leaves(a: np.ndarray, b: np.ndarray) -> None:
-        step = max(256, STEP // 4 // x.levels[0][0].shape[1])
+    def leaves(self, a: np.ndarray, b: np.ndarray) -> int:
+        """Join the pairs of sets that may link; how many joined groups."""
+        before, label = len(self.used), self.groups.label
+        step = max(256, STEP // 4 // self.x.levels[0][0].shape[1])
         for i in range(0, len(a), step):
             p, q = a[i : i + step], b[i : i + step]
-            apart = groups.label[of_x[p]] != groups.label[of_y[q]]
-            p, q = p[apart], q[apart]
+            ok = label[self.of_x[p]] != label[self.of_y[q]]
+            p, q = p[ok], q[ok]
             if len(p):
-                ok = possible(0, p, q)
-                p, q = of_x[p[ok]], of_y[q[ok]]
-                if check is None:
-                    used.extend(groups.join(p, q))
+                ok = self.possible(0, p, q)
+                p, q = self.of_x[p[ok]], self.of_y[q[ok]]
+            while len(p):
+                if self.check is None:
+                    self.used += self.groups.join(p[:JOIN], q[:JOIN])
                 else:
-                    for u, v in zip(p.tolist(), q.tolist(), strict=True):
-                        if groups.label[u] != groups.label[v] and check(u, v):
-                            used.extend(groups.join(np.array([u]), np.array([v])))
-
-    if x is y and len(of_x) > 2:  # one against all first: of a group of near copies nothing is left to compare
-        rest = np.arange(1, len(of_x))
-        leaves(np.zeros(len(rest), np.int64), rest)
-        leaves(rest[:-1], rest[1:])
-    level = max(len(x.levels), len(y.levels)) - 1
-    a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    while level > 0:
-        ok = possible(level, a, b)
-        low_x, high_x = spread(len(of_x), min(level, len(x.levels) - 1), of_x)
-        low_y, high_y = spread(len(of_y), min(level, len(y.levels) - 1), of_y)
-        ok &= ~((low_x[a] == high_x[a]) & (low_y[b] == high_y[b]) & (low_x[a] == low_y[b]))
-        a, b = a[ok], b[ok]
-        level -= 1
-        n_x, n_y = (len(t.levels[min(level, len(t.levels) - 1)][0]) for t in (x, y))
-        f_x, f_y = FAN if level < len(x.levels) - 1 else 1, FAN if level < len(y.levels) - 1 else 1
-        a = (np.repeat(a, f_x * f_y).reshape(-1, f_x, f_y) * f_x + np.arange(f_x)[:, None]).ravel()
-        b = (np.repeat(b, f_x * f_y).reshape(-1, f_x, f_y) * f_y + np.arange(f_y)).ravel()
-        ok = (a < n_x) & (b < n_y)
+                    for u, v in zip(p[:JOIN].tolist(), q[:JOIN].tolist(), strict=True):
+                        if label[u] != label[v] and self.check(u, v):
+                            self.used += self.groups.join(np.array([u]), np.array([v]))
+                p, q = p[JOIN:], q[JOIN:]
+                ok = label[p] != label[q]
+                p, q = p[ok], q[ok]
+        return len(self.used) - before
+
+    def sweep(self) -> None:
+        """One set of x against all of y, for as long as that joins many: of a group of near copies little is left to compare."""
+        every, rng = np.arange(len(self.y)), np.random.default_rng(len(self.y))
+        for k in range(32):
+            pivot = 0 if k == 0 else int(rng.integers(len(self.x)))
+            if self.leaves(np.full(len(every), pivot), every) < max(2, len(every) // 16):
+                break
+
+    def run(self) -> list[tuple[int, int]]:
+        x, y = self.x, self.y
+        if not len(x) or not len(y) or (x is y and len(x) < 2):
+            return self.used
+        if len(x) * len(y) > 64:
+            self.sweep()
+            if x is y:
+                rest = np.arange(1, len(x))
+                self.leaves(rest - 1, rest)
+        stack = [(max(len(x.levels), len(y.levels)) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while stack:
+            k, a, b = stack.pop()
+            if k == 0:
+                self.leaves(a, b)
+                continue
+            if len(a) > OPEN:
+                stack.append((k, a[OPEN:], b[OPEN:]))
+                a, b = a[:OPEN], b[:OPEN]
+            ok = self.apart(k, a, b)
+            a, b = a[ok], b[ok]
+            ok = self.possible(k, a, b)
+            stack.append((k - 1, *self.opened(k - 1, a[ok], b[ok])))
+        return self.used
+
+    def opened(self, k: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the children, on level k, of pairs of nodes."""
+        x, y = self.x, self.y
+        f_x, f_y = FAN if k < len(x.levels) - 1 else 1, FAN if k < len(y.levels) - 1 else 1
+        p = (np.repeat(a, f_x * f_y).reshape(-1, f_x, f_y) * f_x + np.arange(f_x)[:, None]).ravel()
+        q = (np.repeat(b, f_x * f_y).reshape(-1, f_x, f_y) * f_y + np.arange(f_y)).ravel()
+        ok = (p < len(x.level(k)[0])) & (q < len(y.level(k)[0]))
         if x is y:
-            ok &= a <= b if level else a < b
-        a, b = a[ok], b[ok]
-    if len(x.levels) > 1 or len(y.levels) > 1 or x is not y:
-        leaves(a, b)
-    return used
+            ok &= p <= q if k else p < q
+        return p[ok], q[ok]
 
 
-def forest(bitmaps: list[np.ndarray], size: np.ndarray, order: np.ndarray, num: int, den: int, check: Callable | None = None, groups: Groups | None = None) -> list[tuple[int, int]]:
-    """Pairs that connect the sets whose bitmaps (of bitmap_width bits, or all of one width) may overlap enough. `order` brings like sets together in the trees."""
-    groups = groups or Groups(len(size))
+def forest(
+    bitmaps: list[np.ndarray], size: np.ndarray, order: np.ndarray, num: int, den: int, check: Callable[[int, int], bool] | None = None, label: np.ndarray | None = None, member: np.ndarray | None = None, within: bool = True
+) -> list[tuple[int, int]]:
+    """Pairs that connect the sets whose bitmaps (of bitmap_width bits, or all of one width) may overlap enough. `order` brings like sets together in the trees.
+
+    Sets of equal `label` are connected beforehand. Members meet each other (unless `within` is false) and the sets that are no members, those do not meet each other. Thresholds of a
+    half at least: sets that link have bitmaps of equal width, or one of twice the other's."""
+    n = len(size)
+    groups = Groups(np.arange(n) if label is None else label)
+    member = np.ones(n, bool) if member is None else member
     width = np.array([len(b) for b in bitmaps])
+    trees: dict[tuple[bool, int], tuple[SignatureTree, np.ndarray]] = {}
+    for side in (True, False):
+        for w in np.unique(width[member == side]).tolist():
+            of = np.flatnonzero((width == w) & (member == side))
+            of = of[np.argsort(order[of], kind="stable")]
+            bits = np.stack([bitmaps[k] for k in of])
+            trees[side, w] = SignatureTree(bits, size[of], size[of] - np.bitwise_count(bits).sum(1, dtype=np.int64)), of
+
+    def meetings() -> Iterator[tuple[tuple[bool, int], tuple[bool, int]]]:
+        for side, w in trees:
+            for other in (True, False):
+                if (side and other and within) or side != other:
+                    if side:  # members and others of one width meet once
+                        yield (side, w), (other, w)
+                    yield (side, w), (other, 2 * w)
+
     used: list[tuple[int, int]] = []
-    trees = {}
-    for w in np.unique(width).tolist():
-        of = np.flatnonzero(width == w)
-        of = of[np.argsort(order[of], kind="stable")]
-        bits = np.stack([bitmaps[k] for k in of])
-        trees[w] = SignatureTree(bits, size[of], size[of] - np.bitwise_count(bits).sum(1, dtype=np.int64)), of
-        used += link(trees[w][0], trees[w][0], of, of, groups, num, den, check)
-    for w, (tree, of) in trees.items():
-        if 2 * w in trees:  # wider bitmaps belong to sets of more than 1 / threshold times the size
-            other, of_other = trees[2 * w]
-            used += link(tree, other.folded(), of, of_other, groups, num, den, check)
+    for first, second in meetings():
+        if second not in trees:
+            continue
+        (x, of_x), (y, of_y), v, w = trees[first], trees[second], second[1], first[1]
+        used += Traversal(x, y if v == w else y.folded(), of_x, of_y, groups, num, den, check).run()
     return used

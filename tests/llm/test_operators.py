@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -15,7 +16,7 @@ from resultlens.llm import op7_secret_scan as secret
 from resultlens.llm import op8_exact_dedup as exact
 from resultlens.llm import op9_pii_sanitising as pii
 from resultlens.llm import op10_quality_classifier as classifier
-from resultlens.llm import queries, suffix
+from resultlens.llm import common, queries, signature_tree, suffix
 
 from ..oracle import connect, same
 from . import brute
@@ -135,27 +136,74 @@ def test_targets_stop_at_three_times(spark):
     assert got["a"] == 30 and got[None] == 0 and got["b"] == pytest.approx(2 * got["c"]) and sum(got.values()) == pytest.approx(2010)
 
 
-@pytest.mark.parametrize("k,num,den,hot,block", [(4, 85, 100, 1000, 1_000_000), (5, 80, 100, 3, 400), (2, 50, 100, 1000, 600)])
-def test_ngram_join(docs, none, plain, monkeypatch, k, num, den, hot, block):
-    monkeypatch.setattr(ngram, "HOT", hot)
-    monkeypatch.setattr(ngram, "BLOCK_TOKENS", block)
-    got = ngram.join_components(docs, k, num, den).collect()
+@pytest.mark.parametrize("k,num,den,whole,rows,tokens", [(4, 85, 100, 512, 4096, 1_000_000), (5, 80, 100, 20, 3, 400), (2, 50, 100, ngram.EXACT, 4096, 600)])
+def test_ngram_join(docs, none, plain, monkeypatch, k, num, den, whole, rows, tokens):
+    monkeypatch.setattr(ngram, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(ngram, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(ngram, "PIVOTS", 1)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    got = ngram.join_components(docs, k, num, den, whole).collect()
     # rows that share doc_id are one document: all have the component of any
     want = [(d, *x) for (d, _), x in zip(plain, brute.components(plain, k, num, den))]
     assert counted(got) == counted(want)
-    assert ngram.join_components(none, k, num, den).count() == 0
+    assert ngram.join_components(none, k, num, den, whole).count() == 0
 
 
-def test_ngram_join_in_chains(spark, monkeypatch):
+def test_rows_of_one_doc_id_connect_their_texts(spark):
+    rng = random.Random(3)
+    a, b = long_text(rng, 80), long_text(rng, 90)
+    rows = [(7, a), (7, b), (3, a), (9, b), (1, "other words"), (7, None)]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: c for (d, n), c in got.items() if n} == {7: 3, 3: 3, 9: 3, 1: 1}
+
+
+@pytest.mark.parametrize("rows", [16, 4096])
+def test_ngram_join_in_chains(spark, monkeypatch, rows):
     """Chains of near copies, of which neighbours link only, in groups too large for one block."""
-    monkeypatch.setattr(ngram, "BLOCK_TOKENS", 2000)
+    monkeypatch.setattr(ngram, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(ngram, "PIVOTS", 2)
     rng = random.Random(9)
-    rows, text = [], [rng.choice(VOCABULARY) + str(rng.randrange(9)) for _ in range(120)]
+    docs, text = [], [rng.choice(VOCABULARY) + str(rng.randrange(9)) for _ in range(120)]
     for d in range(60):
-        rows.append((d, " ".join(text)))
+        docs.append((d, " ".join(text)))
         text[rng.randrange(120)] = f"new{d}"
-    got = ngram.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
-    assert counted(got) == counted((d, *x) for (d, _), x in zip(rows, brute.components(rows, 4, 85, 100)))
+    got = ngram.join_components(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85, 100).collect()
+    assert counted(got) == counted((d, *x) for (d, _), x in zip(docs, brute.components(docs, 4, 85, 100)))
+
+
+@pytest.mark.parametrize("whole", [ngram.WHOLE, ngram.EXACT])
+def test_ngram_join_of_large_sets_and_frequent_passages(spark, monkeypatch, whole):
+    """Sets on both sides of WHOLE and far beyond, near copies of them at both sides of the threshold, and a passage in all of them."""
+    monkeypatch.setattr(ngram, "WINDOW_LEAST", 2)
+    monkeypatch.setattr(ngram, "FREQUENT_LEAST", 6)
+    rng = random.Random(12)
+    word = lambda: f"{rng.choice(VOCABULARY)}{rng.randrange(200)}"
+    passage = [word() for _ in range(120)]
+    docs = []
+    for n in (60, 300, 380, 420, 1500, 6000):
+        base = [word() for _ in range(n)]
+        for copies in range(4):
+            text = list(base)
+            for _ in range(round(n * rng.choice([0.0, 0.01, 0.03, 0.04, 0.05]))):
+                text[rng.randrange(n)] = word()
+            docs.append((len(docs), " ".join(passage + text)))
+    docs += [(len(docs) + k, " ".join(passage + [word() for _ in range(5)])) for k in range(12)]
+    got = ngram.join_components(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85, 100, whole).collect()
+    assert counted(got) == counted((d, *x) for (d, _), x in zip(docs, brute.components(docs, 4, 85, 100)))
+
+
+def test_tree_traversal_is_bounded_in_memory():
+    rng = np.random.default_rng(1)
+    shared = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, 20, dtype=np.uint64)])) for _ in range(8000)]
+    size = np.array([len(s) for s in sets])
+    bits, at = ngram.bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
+    maps = [np.frombuffer(bits[at[k] : at[k + 1]].tobytes(), np.uint64) for k in range(len(sets))]
+    tracemalloc.start()
+    assert signature_tree.forest(maps, size, np.array([s[0] for s in sets]), 85, 100) == []
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
 
 
 def test_near_copies_leave_one(docs):
