@@ -53,41 +53,54 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def join_unique(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """rows joined to a settled table that has each key once, and in `count` how many of the rows have it.
+def join_unique(rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) to a settled table that has each key once, and in `count` how many of the rows have it.
 
     Rows of a key that is too frequent for one task meet it by broadcast: there are fewer than HOT_KEYS such keys, as each has more than 1 / HOT_KEYS of all rows."""
     total, most = table.agg(F.sum(count), F.max(count)).first()
     least = max(HOT_ROWS, (total or 0) // HOT_KEYS)
     if (most or 0) <= least:
-        return rows.join(table, keys)
+        return rows.join(table, keys, how)
     often = F.col(count) > least
     hot = table.where(often)
-    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(~often), keys))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(~often), keys, how))
 
 
 def bloom_bits(n: int) -> int:
     """Bits of a filter of n keys: a power of two, 16 a key at least."""
-    return max(MIN_BITS, 1 << (16 * n - 1).bit_length())
+    return max(MIN_BITS, 1 << (16 * n - 1).bit_length()) if n else MIN_BITS
 
 
-def bloom_place(key: Column, bits: int) -> tuple[Column, Column]:
-    """The word of the filter that a key belongs to, and its two bits there."""
+def bloom_place(key: Column, bits: int) -> tuple[Column, Column, Column]:
+    """The word of the filter that a key belongs to, and the numbers of its two bits there."""
     h = F.xxhash64(key, F.lit(2))
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, k), F.lit(64)).cast("int"))
-    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits // 64)), bit(0).bitwiseOR(bit(8))
+    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits // 64)), *(F.pmod(F.shiftright(h, k), F.lit(64)).cast("int") for k in (0, 8))
 
 
-def perhaps_among(rows: DataFrame, key: Column, keys: DataFrame, n: int) -> DataFrame:
+def bloom_mask(*places: Column) -> Column:
+    one = [F.call_function("shiftleft", F.lit(1).cast("long"), p) for p in places]
+    return one[0] if len(one) == 1 else one[0].bitwiseOR(one[1])
+
+
+def bloom_words(keys: DataFrame, bits: int) -> DataFrame:
+    """The filter's words that are not zero: word, set. keys: one column."""
+    word, *places = bloom_place(F.col(keys.columns[0]), bits)
+    return keys.select(word.alias("word"), bloom_mask(*places).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("set"))
+
+
+def bloom_tested(rows: DataFrame, key: str, words: DataFrame, bits: int) -> DataFrame:
+    """The rows with a boolean column `maybe`: false where the key surely is not in the filter. Up to SENT_WORDS words are broadcast, more are joined by shuffling the rows."""
+    word, *places = bloom_place(F.col(key), bits)
+    found = rows.withColumns({"__word": word, "__mask": bloom_mask(*places)})
+    words = words.select(F.col("word").alias("__word"), F.col("set").alias("__set"))
+    found = found.join(F.broadcast(words) if bits // 64 <= SENT_WORDS else words, "__word", "left")
+    return found.withColumn("maybe", F.coalesce(F.col("__set").bitwiseAND(F.col("__mask")) == F.col("__mask"), F.lit(False))).drop("__word", "__mask", "__set")
+
+
+def perhaps_among(rows: DataFrame, key: str, keys: DataFrame, n: int) -> DataFrame:
     """The rows whose key may be among the n keys (one column), by a broadcast Bloom filter of up to SENT_WORDS words; for more keys, all rows. A join decides afterwards."""
     bits = bloom_bits(n)
-    if bits // 64 > SENT_WORDS:
-        return rows
-    word, mask = bloom_place(F.col(keys.columns[0]), bits)
-    words = keys.select(word.alias("__word"), mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__set"))
-    word, mask = bloom_place(key, bits)
-    found = rows.withColumns({"__word": word, "__mask": mask}).join(F.broadcast(words), "__word")
-    return found.where(F.col("__set").bitwiseAND(F.col("__mask")) == F.col("__mask")).select(*rows.columns)
+    return bloom_tested(rows, key, bloom_words(keys, bits), bits).where("maybe").drop("maybe") if bits // 64 <= SENT_WORDS else rows
 
 
 def partitions(df: DataFrame, rows: int, per: int) -> int:

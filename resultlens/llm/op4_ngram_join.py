@@ -272,7 +272,7 @@ def _verified(docs: DataFrame, reps: DataFrame, found: DataFrame, k: int, num: i
     stats = settle(rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens")), "groups")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc"), docs["text"])
     wanted = rows.select("doc").distinct()
-    texts = perhaps_among(texts, F.col("doc"), wanted, wanted.count())
+    texts = perhaps_among(texts, "doc", wanted, wanted.count())
 
     def find(rows: DataFrame, within: bool) -> DataFrame:
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,14 @@
 """Operator 8, exact dedup by two-pass Bloom filtering, in DataFrame operations only.
 
-Pass one sets, for the hash of each normalised text, two positions of a Bloom filter, and keeps the positions that were set
-twice or more (equal positions meet map-side, so a hot text moves a few rows only). Pass two tests each row
-against that filter: where not both positions were set twice, the text is surely unique and its row passes straight on;
-only the possibly repeated rows shuffle, by their SHA-256, which decides. What Bloom errors let through is found
+Pass one sets, for the hash of each normalised text, two bits of one word of a Bloom filter, and keeps the bits that were set
+twice or more (equal bits meet map-side, so a hot text moves a few rows only). Pass two tests each hash
+against that filter: where not both bits were set twice, the text is surely unique and its row passes straight on;
+only the possibly repeated hashes shuffle, whole SHA-256, which decides. What Bloom errors let through is found
 unique there, so the result is exact.
 
-The filter has 16 bits a row, up to ``SENT_BITS`` while that is at least a bit a row; its words (a proven bound of 1/64 of the bits)
-are broadcast. For still more rows it has up to ``MAX_BITS`` and is joined by shuffling the hashes. More rows mean more Bloom errors, never other results.
+The filter has 16 bits a row or more at every size. Up to ``SENT_WORDS`` words (4 million rows) it is broadcast; a larger one meets the hashes by shuffling those, never the texts. Where texts are to be
+returned (``drop_copies``), a second filter of the hashes that truly repeat lets the rows of all others pass where they are; beyond its bound texts move once. A hash of very many rows is no task's
+burden: it meets its group by broadcast (see ``join_unique``).
 
 Null text counts as empty. Texts are equal when identical after lower-casing A-Z. Of equal texts the row with the
 largest doc_id stays; of rows that also share that doc_id, one. A null doc_id is the smallest. Empty tables give
@@ -16,12 +17,11 @@ empty results. Other columns, whatever their names, are left alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, settle, table
-
-MIN_BITS, MAX_BITS, SENT_BITS = 1 << 16, 1 << 36, 1 << 26
+from . import common
+from .common import bloom_bits, bloom_mask, bloom_place, bloom_tested, bloom_words, join_unique, lower_ascii, settle, table
 
 
 def text_key(text: Column) -> Column:
@@ -29,59 +29,44 @@ def text_key(text: Column) -> Column:
     return F.sha2(lower_ascii(F.coalesce(text, F.lit(""))).cast("binary"), 256)
 
 
-def _positions(key: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in (1, 2)]
-
-
-def possibly_repeated(hashed: DataFrame, rows: DataFrame | None = None, key: str = "sha") -> DataFrame:
-    """`rows` (or the hashed rows themselves) with a boolean column `maybe`: false where their `key` surely occurs once among the hashed rows."""
-    n, bits = hashed.count(), MIN_BITS
-    while bits < min(16 * n, SENT_BITS if n <= SENT_BITS else MAX_BITS):
-        bits *= 2
-    twice = hashed.select(F.explode(F.array(*_positions(F.col(key), bits))).alias("at")).groupBy("at").count().where("count > 1")
-    filled = twice.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set"))
-    rows = hashed if rows is None else rows
-    out = rows.withColumns({f"at{k}": p for k, p in enumerate(_positions(F.col(key), bits))})
-    for k in (0, 1):
-        part = filled.select(F.col("word").alias(f"word{k}"), F.col("set").alias(f"set{k}"))
-        out = out.withColumn(f"word{k}", F.expr(f"at{k} div 64")).join(F.broadcast(part) if bits <= SENT_BITS else part, f"word{k}", "left")
-    hit = [F.coalesce(F.expr(f"shiftright(set{k}, cast(at{k} % 64 as int)) & 1L"), F.lit(0)) == 1 for k in (0, 1)]
-    return out.withColumn("maybe", hit[0] & hit[1]).select(*rows.columns, "maybe")
+def possibly_repeated(hashed: DataFrame) -> DataFrame:
+    """The settled rows with a boolean column `maybe`: false where their sha surely occurs once."""
+    bits = bloom_bits(hashed.count())
+    word, *places = bloom_place(F.col("sha"), bits)
+    ones = hashed.select(word.alias("word"), F.explode(F.array_distinct(F.array(*places))).alias("place"))
+    twice = ones.groupBy("word", "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    words = twice.groupBy("word").agg(F.bit_or(bloom_mask(F.col("place"))).alias("set"))
+    return bloom_tested(hashed, "sha", settle(words, "filter"), bits)
 
 
 def decide(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
     hashed = settle(docs.select("doc_id", text_key(docs["text"]).alias("sha")), "hashes")
-    return decided(hashed)
-
-
-def decided(hashed: DataFrame) -> DataFrame:
-    """`decide` for rows of doc_id and sha."""
     tested = possibly_repeated(hashed)
     unique = tested.where("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    maybe = tested.where("maybe").select("doc_id", "sha")
-    groups = maybe.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    joined = maybe.join(groups, "sha")
-    top = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    first = F.row_number().over(Window.partitionBy("sha").orderBy("doc_id")) == 1  # among rows of the largest doc_id: nearly always one
-    columns = ["doc_id", "keep_id", "group_size", "kept", "sha"]
-    stay = joined.where(top).withColumn("kept", first).select(*columns)
-    go = joined.where(~top).withColumn("kept", F.lit(False)).select(*columns)
-    return unique.unionByName(stay).unionByName(go).withColumnRenamed("sha", "text_sha256")
+    maybe = settle(tested.where("maybe").select("doc_id", "sha", F.monotonically_increasing_id().alias("row")), "maybe")  # a row's number is fixed once written
+    groups = settle(maybe.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("group_size")), "groups")
+    found = join_unique(maybe, groups, ["sha"], "group_size").select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"), "sha")
+    return unique.unionByName(found).withColumnRenamed("sha", "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns. Texts of rows that surely are unique do not move."""
-    added = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], text_key(docs["text"]).alias("sha"))
-    hashed = settle(added.select(F.col(f"c{docs.columns.index('doc_id')}").alias("doc_id"), "sha"), "hashes")
-    tested = possibly_repeated(hashed, added)
-    top = F.col(f"c{docs.columns.index('doc_id')}")
-    # only possibly repeated rows shuffle; of a hash the row of the largest doc_id stays
-    keep = possibly_repeated(hashed).where("maybe").groupBy("sha").agg(F.max("doc_id").alias("keep_id")).withColumnRenamed("sha", "keep_sha")
-    group = tested.where("maybe").join(keep, (F.col("sha") == F.col("keep_sha")) & top.eqNullSafe(F.col("keep_id"))).drop("keep_sha", "keep_id")
-    group = group.withColumn("nth", F.row_number().over(Window.partitionBy("sha").orderBy(F.lit(1)))).where("nth = 1")
-    stay = tested.where("NOT maybe").unionByName(group.drop("nth"))
-    return stay.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    """The documents that stay, with all their columns. Rows of texts that surely are unique do not move."""
+    added = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], docs["doc_id"].alias("id"), text_key(docs["text"]).alias("sha"))
+    hashed = settle(added.select("id", "sha"), "hashes")
+    per_id = possibly_repeated(hashed).where("maybe").groupBy("sha", "id").agg(F.count(F.lit(1)).alias("n"))
+    groups = per_id.groupBy("sha").agg(F.max(F.struct("id", "n")).alias("top"), F.sum("n").alias("size")).where("size > 1")
+    groups = settle(groups.select("sha", F.col("top.id").alias("keep_id"), F.col("top.n").alias("n_top"), "size"), "groups")
+    bits = bloom_bits(groups.count())
+    if bits // 64 <= common.SENT_WORDS:
+        tested = bloom_tested(added, "sha", bloom_words(groups.select("sha"), bits), bits)
+    else:
+        tested = added.withColumn("maybe", F.lit(True))
+    found = join_unique(tested.where("maybe").drop("maybe"), groups, ["sha"], "size", "left").where(F.col("size").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))
+    stay = tested.where("NOT maybe").drop("maybe")
+    one, several = found.where("n_top IS NULL OR n_top = 1"), found.where("n_top > 1").dropDuplicates(["sha"])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return stay.select(*names).unionByName(one.select(*names)).unionByName(several.select(*names)).toDF(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,9 +310,11 @@ def test_names_are_not_novel():
 
 
 def test_exact_dedup(docs, none, plain, monkeypatch):
-    for bits in (1 << 16, 64):  # a filter so small that it errs everywhere changes nothing
-        monkeypatch.setattr(exact, "MIN_BITS", bits)
-        monkeypatch.setattr(exact, "MAX_BITS", bits)
+    # a filter so small that it errs everywhere changes nothing, nor does one that is not broadcast, nor hashes that are too frequent for a task
+    for bits, sent, hot in ((1 << 16, 1 << 20, 2000), (64, 1 << 20, 2000), (1 << 16, 0, 2), (1 << 16, 1 << 20, 2)):
+        monkeypatch.setattr(exact, "bloom_bits", lambda n: bits)  # noqa: B023
+        monkeypatch.setattr(common, "SENT_WORDS", sent)
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
         got = exact.decide(docs).collect()
         groups = defaultdict(list)
         for d, t in plain:
