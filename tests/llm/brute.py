@@ -1,6 +1,7 @@
 """Plain restatements of the operators' contracts, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -99,3 +100,19 @@ def pii(text):
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
     out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
     return out + [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(digits(m[0])) <= 15]
+
+
+def disclosed(texts, alpha, least):
+    """Spans of the disclosing terms by text."""
+    spans = [pii(t) for t in texts]
+    terms = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{4,}", t)] for t in texts]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    entities = [{(k, (t[s:e].lower() if k == 0 else t[s:e] if k == 1 else digits(t[s:e]))) for s, k, e in x} for t, x in zip(texts, spans)]
+    n, df_t, df_e, both = len(texts), Counter(), Counter(), Counter()
+    for e, w in zip(entities, terms):
+        own = {x[2] for x in w}
+        df_t.update(own)
+        df_e.update(e)
+        both.update((x, y) for x in e for y in own)
+    told = {(x, y) for (x, y), c in both.items() if c >= least and math.log2(c * n / (df_t[y] * df_e[x])) >= alpha * math.log2(n / df_e[x])}
+    return [tuple((s, z) for s, z, y in w if any((x, y) in told for x in e) and not any(p < z and s < q for p, _, q in base)) for e, w, base in zip(entities, terms, spans)]

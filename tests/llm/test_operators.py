@@ -1,4 +1,5 @@
 import random
+import time
 import tracemalloc
 from collections import Counter, defaultdict
 
@@ -362,6 +363,45 @@ def test_terms_disclose_all_over_their_document(spark):
     assert not any("zorbax" in r["sanitised"].lower() for r in pii.sanitise(docs).collect())
 
 
+@pytest.mark.parametrize("hot", [2, 2000])
+def test_disclosures_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rng = random.Random(8)
+    people = [(f"p{k}@x.org", f"Name{chr(97 + k)}son") for k in range(6)]
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "words"]) for _ in range(6))) for k in range(40)]
+    for k in range(40, 70):
+        mail, name = rng.choice(people)
+        rows.append((k, f"{name if rng.random() < 0.8 else 'nobody'} wrote {rng.choice(['alpha', 'beta'])} to {mail}" + (f" and {rng.choice(people)[0]}" if rng.random() < 0.3 else "")))
+    rows += rows[60:64]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.disclosed([t for _, t in rows], pii.ALPHA, pii.LEAST)
+    got = pii.found_spans(docs).collect()
+    assert counted((r["doc_id"], tuple((x["s"], x["e"]) for x in r["every"] if x["k"] == 4)) for r in got) == counted((d, s) for (d, _), s in zip(rows, want))
+
+
+LONG = {"letters": "x@ " + "a" * 1_000_000, "digits": "1." + "1" * 1_000_000, "addresses": " ".join(f"user{k}@host{k}.org" for k in range(45_000)), "phone": "+1" + " " * 1_000_000, "ips": "1." * 500_000, "cards": "4111 1111 1111 1111, " * 48_000}
+
+
+@pytest.mark.parametrize("name", sorted(LONG))
+def test_pii_is_linear_in_a_text(spark, name):
+    docs = spark.createDataFrame([(1, LONG[name])], "doc_id long, text string")
+    began = time.perf_counter()
+    spans = docs.select(pii.base_spans(F.col("text")).alias("x")).first()["x"]
+    assert time.perf_counter() - began < 20  # a quadratic pass would take hours
+    # brute force is quadratic in runs of letters, digits or dots
+    known = {"letters": [], "digits": [], "ips": [(8 * k, 1, 8 * k + 7) for k in range(125_000)]}
+    assert [(x["s"], x["k"], x["e"]) for x in spans] == (known[name] if name in known else sorted(brute.pii(LONG[name])))
+
+
+def test_sanitising_is_linear_in_a_text(spark):
+    text = LONG["addresses"]
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "plain")], "doc_id long, text string")
+    began = time.perf_counter()
+    out = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(docs, alpha=1.01).collect()}
+    assert time.perf_counter() - began < 60
+    assert out[1] == out[2] == " ".join(["[EMAIL]"] * 45_000) and out[3] == "plain"
+
+
 def test_classifier(spark, sf, docs, none):
     d = sf.replace("0.001", "0.1")
     every, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
