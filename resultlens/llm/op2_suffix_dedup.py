@@ -5,9 +5,9 @@
    number of rows): any such text of SIZE bytes or more is removed whole, and it takes part in the rest once.
 2. Shards. The stretches of candidate windows are dealt by their text's least shared anchor, so near copies meet (large such groups are split), and cut into shards
    of about ``SHARD`` bytes. Each shard gets a suffix array (Larsson-Sadakane) and common prefixes (Kasai): neighbours that share SIZE bytes repeat.
-3. Across shards. Each shard sends one fingerprint (128 bits, sorted) of each distinct window whose anchor is in more texts than the shard holds, by range of the anchor's hash; in each range the shards' sorted lists are merged by
-   binary search, and windows found in two shards repeat.
-4. The covered bytes of each candidate text are joined to spans; all other texts stay as they are and never shuffle again.
+3. Across shards. Each shard sends one fingerprint (128 bits, sorted) of each distinct window whose anchor is in more texts than the shard holds, by range of the fingerprint, so that the windows around one
+   common passage spread evenly. In each range the shards' sorted lists are merged two by two, the places of one list in the other found by binary search; windows found in two shards repeat.
+4. The covered bytes of each candidate text are joined to spans. Texts without candidate windows never shuffle: a Bloom filter of the candidates' keys keeps them back (up to its bound of 4 million candidates; beyond it texts move once).
 
 Texts are UTF-8 bytes, null is empty. Matches never cross texts; overlaps count; everything is judged on the input. Repeated rows (of any doc_id) come out repeated. Other columns are left alone.
 Memory in a task is a shard, a range of ``RANGE`` windows or one text, whichever is larger.
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import join_unique, perhaps_among, settle, table
 from .suffix import anchors, common_prefixes, fingerprints, stretches, suffix_array
 from .textbytes import U, blocks, mix
 
-SIZE, GRAM, SHARD, RANGE = 400, 100, 1_500_000, 1_000_000
+SIZE, GRAM, SHARD, RANGE = 400, 100, 1_000_000, 1_000_000
 
 
 def _keys(text: Column) -> list[Column]:
@@ -59,10 +59,11 @@ def _candidates(texts: DataFrame, size: int, gram: int) -> DataFrame:
     """h1, h2, text, cluster, first and last start of each stretch of candidate windows, windows, anchors and in how many texts each is; for each distinct text that has any."""
     rows = _anchor_rows(texts.where(F.octet_length("text") >= size), size, gram)
     rows = settle(rows.groupBy("g", "h1", "h2").agg(F.max("many").alias("many")), "anchors")
-    shared = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("m")).where("n > 1 OR m").select("g", "n")
-    wanted = rows.join(shared, "g").groupBy("h1", "h2").agg(F.collect_list(F.struct("g", "n")).alias("x"))  # a text's own anchors
-    wanted = wanted.select("h1", "h2", F.col("x.g").alias("anchors"), F.col("x.n").alias("counts"))
-    distinct = texts.where(F.octet_length("text") >= size).groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    shared = settle(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("m")).where("n > 1 OR m").select("g", "n"), "shared")
+    wanted = join_unique(rows, shared, ["g"], "n").groupBy("h1", "h2").agg(F.collect_list(F.struct("g", "n")).alias("x"))  # a text's own anchors
+    wanted = settle(wanted.select("h1", "h2", F.col("x.g").alias("anchors"), F.col("x.n").alias("counts")), "wanted")
+    held = perhaps_among(texts.where(F.octet_length("text") >= size), "h1", wanted.select("h1"), wanted.count())
+    distinct = held.groupBy("h1", "h2").agg(F.first("text").alias("text"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,8 +146,8 @@ def shard(pieces: list[tuple[int, int, int, np.ndarray]], known: list[tuple[np.n
     one, count = sa[member][ask], count[ask]
     if not len(one):
         return
-    r = ((mix(g[anchor[one]]) >> U(40)) * U(ranges) >> U(24)).astype(np.int64)
     fp1, fp2 = fingerprints(data, one, size)
+    r = ((fp1 >> U(40)) * U(ranges) >> U(24)).astype(np.int64)
     order = np.lexsort((fp2, fp1, r))
     one, r, fp1, fp2, count = one[order], r[order], fp1[order], fp2[order], count[order]
     own = owned(one)
@@ -195,23 +196,42 @@ def _sharded(found: DataFrame, ranges: int, size: int, gram: int) -> DataFrame:
     return dealt.mapInArrow(part, SHARD_ROWS)
 
 
+def _places(fp1: np.ndarray, fp2: np.ndarray, of1: np.ndarray, of2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By binary search in a sorted list (fp1, fp2): the place of each of another one's entries, and whether it is there."""
+    k = np.searchsorted(fp1, of1)
+    n = len(fp1)
+    while True:
+        at = np.minimum(k, n - 1)
+        later = (k < n) & (fp1[at] == of1) & (fp2[at] < of2)
+        if not later.any():
+            return k, (k < n) & (fp1[at] == of1) & (fp2[at] == of2)
+        k[later] += 1
+
+
+def _merged(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Two sorted lists (fp1, fp2, in several shards) as one."""
+    if len(x[0]) < len(y[0]):
+        x, y = y, x
+    if not len(y[0]):
+        return x
+    k, there = _places(x[0], x[1], y[0], y[1])
+    several = x[2].copy()
+    several[k[there]] = True
+    new = ~there
+    return tuple(np.insert(a, k[new], b[new]) for a, b in zip((x[0], x[1], several), y, strict=True))
+
+
 def merge(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the sorted lists (fp1, fp2, k1, k2, start) of all shards: k1, k2, start of the windows that another shard has too."""
-    fp1, fp2 = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    order = np.lexsort((fp2, fp1))
-    fp1, fp2 = fp1[order], fp2[order]
-    new = np.ones(len(fp1), bool)
-    new[1:] = (fp1[1:] != fp1[:-1]) | (fp2[1:] != fp2[:-1])
-    at = np.flatnonzero(new)
-    shards = np.diff(np.append(at, len(fp1)))  # a shard has each window once
-    fp1, fp2 = fp1[at], fp2[at]
+    lists = [(p[0], p[1], np.zeros(len(p[0]), bool)) for p in parts]  # a shard has each window once
+    while len(lists) > 1:
+        lists = [_merged(*lists[k : k + 2]) if k + 1 < len(lists) else lists[k] for k in range(0, len(lists), 2)]
+    fp1, fp2, several = lists[0]
     out = []
     for own1, own2, k1, k2, start in parts:
         ask = np.flatnonzero(start >= 0)
-        k = np.searchsorted(fp1, own1[ask])
-        while (off := fp2[k] != own2[ask]).any():
-            k[off] += 1
-        ask = ask[shards[k] > 1]
+        if len(ask):
+            ask = ask[several[_places(fp1, fp2, own1[ask], own2[ask])[0]]]
         out.append((k1[ask], k2[ask], start[ask]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 

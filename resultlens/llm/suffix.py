@@ -7,8 +7,8 @@ import numpy as np
 from .textbytes import BYTE_VALUE, U, mix, powers, prefix_hash
 
 SECOND = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-#: Low bits of a sliding key that hold the position.
-PLACE = 27
+#: Low bits of a sliding key that hold the position: as many as a column of texts can have bytes. What is left of the hash orders the grams of a window; among equals the first is least, in every copy of it.
+PLACE = 31
 
 
 def words8(data: np.ndarray) -> np.ndarray:

@@ -119,6 +119,32 @@ def test_suffix_dedup(spark, docs, none, plain, monkeypatch, shard):
     assert suffix_dedup.op2_suffix_dedup(spark, "").count() == 0
 
 
+def test_windows_of_a_common_passage_spread_over_the_ranges():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(97, 123, 350).astype(np.uint8)
+    pieces = [(k, k, 0, np.concatenate([rng.integers(97, 123, 300).astype(np.uint8), passage, rng.integers(97, 123, 300).astype(np.uint8)])) for k in range(40)]
+    data = np.concatenate([p[3] for p in pieces])
+    _, place, g = suffix.anchors(data, np.arange(41) * 950, 400, 100)
+    known = [(np.unique(g[place]).view(np.int64), np.full(len(np.unique(g[place])), 99), True)]
+    rows = [b.to_pylist() for b in suffix_dedup.shard(pieces, known, 16, 400, 100)]
+    size = Counter()
+    for r in (r for b in rows for r in b if r["kind"] == 1):
+        size[r["r"]] += len(r["fp1"]) // 8
+    assert len(size) == 16 and max(size.values()) < 1.3 * sum(size.values()) / 16
+
+
+def test_merging_by_binary_search():
+    rng = np.random.default_rng(6)
+    parts = []
+    for k in range(5):
+        pairs = np.unique(rng.integers(0, 40, (60, 2)), axis=0)  # many equal first halves
+        parts.append([pairs[:, 0].astype(np.uint64), pairs[:, 1].astype(np.uint64), np.full(len(pairs), k), np.full(len(pairs), k), rng.integers(-1, 5, len(pairs))])
+    seen = Counter((a, b) for p in parts for a, b in zip(p[0].tolist(), p[1].tolist()))
+    want = Counter((k, s) for k, p in enumerate(parts) for a, b, s in zip(p[0].tolist(), p[1].tolist(), p[4].tolist()) if s >= 0 and seen[a, b] > 1)
+    k1, _, start = suffix_dedup.merge(parts)
+    assert Counter(zip(k1.tolist(), start.tolist())) == want
+
+
 def test_mixing(docs, none):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count() and all(r["taken"] <= 3 * r["size"] for r in rows)
