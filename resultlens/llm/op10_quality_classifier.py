@@ -4,8 +4,8 @@ One weight vector over hashed words is shared by all grades; ordered thresholds
 P(grade > k) = sigmoid(score - threshold_k). From that come the expected grade and the tail probability by which
 documents are selected.
 
-Grades: 0 rated toxic, 1 rated of low quality, 2 rated good. The fit takes at most ``max_fit`` rated documents (those of
-lowest hash; a bounded sample, so its features fit the driver at any input size); all documents are scored, whole.
+Grades: 0 rated toxic, 1 rated of low quality, 2 rated good. The fit takes at most ``max_fit`` rated documents that are there, with at most ``max_features`` features in all (those of
+lowest hash; a bounded sample, so its features fit the driver at any input size); of rows that share a doc_id it takes one. All documents are scored, whole.
 Null text counts as empty. An empty text has only the style features. Ratings that are null are left out; where a document is
 rated more than once, its lowest rating counts. Without ratings, or with one grade only, every document is kept with
 the highest grade. Repeated rows are scored one by one; other columns are passed by (``score``) or kept (``select_good``).
@@ -17,13 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import settle, table
 from .textbytes import TO_LOWER, blocks, mix, owners, prefix_hash, runs, span_hash
 
-BITS, LEVELS, GRADES, MAX_FIT, TAIL = 18, 10, 3, 6000, 0.5
+BITS, LEVELS, GRADES, MAX_FIT, MAX_FEATURES, TAIL = 18, 10, 3, 6000, 20_000_000, 0.5
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _classes = {"upper": range(65, 91), "digit": range(48, 58), "bang": b"!?", "bar": b"|", "symbol": b"#*$%&<>@^~\\", "line": b"\n", "stop": b".,;:"}
@@ -60,36 +60,46 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def thresholds(p: np.ndarray) -> np.ndarray:
+    """From the first threshold and the logarithms of the steps between them."""
+    return p[0] + np.concatenate([[0], np.cumsum(np.exp(p[1:]))])
+
+
+def loss(p: np.ndarray, text: np.ndarray, column: np.ndarray, grade: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of the cumulative-link model with a normal prior on the weights, and its gradient. p: weights, then what thresholds() takes."""
+    n, levels = len(grade), GRADES - 1
+    used = len(p) - levels
+    score = np.bincount(text, p[:used][column], n)
+    above = np.concatenate([np.ones((n, 1)), sigmoid(score[:, None] - thresholds(p[used:])), np.zeros((n, 1))], 1)
+    slope = above * (1 - above)
+    row = np.arange(n)
+    likely = np.maximum(above[row, grade] - above[row, grade + 1], 1e-9)
+    d_low, d_high = slope[row, grade] / likely, slope[row, grade + 1] / likely
+    g = np.empty_like(p)
+    g[:used] = -np.bincount(column, (d_low - d_high)[text], used) / n + decay * p[:used]
+    d_cut = np.array([(d_low[grade == k + 1]).sum() - (d_high[grade == k]).sum() for k in range(levels)]) / n
+    g[used] = d_cut.sum()
+    for k in range(1, levels):
+        g[used + k] = d_cut[k:].sum() * np.exp(p[used + k])
+    return float(-np.log(likely).mean() + 0.5 * decay * (p[:used] ** 2).sum()), g
+
+
 def fit(text: np.ndarray, feature: np.ndarray, grade: np.ndarray, rounds: int = 150, rate: float = 0.1, prior: float = 3.0, least: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by Adam on the likelihood of the cumulative-link model; features of fewer than `least` texts (one in a hundred, where texts are few) get no weight."""
     common = np.bincount(feature, minlength=SIZE) >= min(least, 1 + len(grade) // 100)
     text, feature = text[common[feature]], feature[common[feature]]
     used, column = np.unique(feature, return_inverse=True)
-    n, levels = len(grade), GRADES - 1
-    decay = prior / n  # a normal prior on the weights, of one strength whatever the sample
-    share = np.array([(grade > k).mean() for k in range(levels)]).clip(0.01, 0.99)
+    share = np.array([(grade > k).mean() for k in range(GRADES - 1)]).clip(0.01, 0.99)
     cut = -np.log(share / (1 - share))
     p = np.concatenate([np.zeros(len(used)), cut[:1], np.log(np.maximum(np.diff(cut), 0.05))])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, rounds + 1):
-        score = np.bincount(text, p[: len(used)][column], n)
-        cuts = p[len(used)] + np.concatenate([[0], np.cumsum(np.exp(p[len(used) + 1 :]))])
-        above = np.concatenate([np.ones((n, 1)), sigmoid(score[:, None] - cuts), np.zeros((n, 1))], 1)
-        slope = above * (1 - above)
-        row = np.arange(n)
-        likely = np.maximum(above[row, grade] - above[row, grade + 1], 1e-9)
-        d_low, d_high = slope[row, grade] / likely, slope[row, grade + 1] / likely
-        g = np.empty_like(p)
-        g[: len(used)] = -np.bincount(column, (d_low - d_high)[text], len(used)) / n + decay * p[: len(used)]
-        d_cut = np.array([(d_low[grade == k + 1]).sum() - (d_high[grade == k]).sum() for k in range(levels)]) / n
-        g[len(used)] = d_cut.sum()
-        for k in range(1, levels):
-            g[len(used) + k] = d_cut[k:].sum() * np.exp(p[len(used) + k])
+        g = loss(p, text, column, grade, prior / len(grade))[1]  # a prior of one strength whatever the sample
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p -= rate * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     weights = np.zeros(SIZE, np.float32)
     weights[used] = p[: len(used)]
-    return weights, p[len(used)] + np.concatenate([[0], np.cumsum(np.exp(p[len(used) + 1 :]))])
+    return weights, thresholds(p[len(used) :])
 
 
 def predict(text: np.ndarray, feature: np.ndarray, n: int, weights: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -97,12 +107,12 @@ def predict(text: np.ndarray, feature: np.ndarray, n: int, weights: np.ndarray,
     return sigmoid(np.bincount(text, weights[feature], n)[:, None] - cuts)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[np.ndarray, np.ndarray] | None:
-    """Fit on at most max_fit rated documents; None if there are no two grades."""
+def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, np.ndarray] | None:
+    """Fit on at most max_fit rated documents and max_features of their features; None if there are no two grades."""
     rated = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
         F.min(F.when(F.coalesce("toxic", F.lit(0)) > 0, 0).when(F.col("quality") > 0, 2).otherwise(1)).cast("long").alias("__grade")
     )
-    rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)  # max_fit rows bound the broadcast
+    rated = rated.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)  # max_fit rows bound the broadcast
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,9 +121,15 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[n
                 order = np.argsort(text, kind="stable")
                 cut = np.searchsorted(text[order], np.arange(j - i + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(feature[order], pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column("__grade").slice(i, j - i), lists], ["grade", "feature"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").select("text", "__grade").mapInArrow(part, "grade long, feature array<int>").toArrow()
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("__grade").slice(i, j - i), lists], ["doc_id", "grade", "feature"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").mapInArrow(part, f"doc_id {kind}, grade long, feature array<int>")
+    rows = rows.groupBy("doc_id", "grade").agg(F.min("feature").alias("feature"))  # one text of a doc_id; max_fit rows at most
+    rows = settle(rows.where("size(feature) > 0"), "features")
+    upto = F.sum(F.size("feature")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over max_fit rows at most
+    fits = rows.select("doc_id", upto.alias("upto")).where(F.col("upto") <= max_features)
+    rows = rows.join(F.broadcast(fits.select("doc_id")), "doc_id", "left_semi").select("grade", "feature").toArrow()
     grade = np.asarray(rows["grade"].combine_chunks()) if rows.num_rows else np.zeros(0, np.int64)
     if len(np.unique(grade)) < 2:
         return None

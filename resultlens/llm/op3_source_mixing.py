@@ -8,7 +8,8 @@ Targets: sources in order of code point (null last) weigh ``WEIGHTS``, repeating
 ``PASSES`` times its source's size and the excess is shared again by weight until none is above (water filling).
 
 Running sums go in two steps, so that no source is ordered in one task: rows are dealt to ranges of the shuffle hash (or of
-virtual time), each range sums its own rows and gets the total of the ranges before it. Ranges hold about ``RANGE`` rows.
+virtual time), each range sums its own rows and gets the total of the ranges before it. Ranges hold about ``RANGE`` rows. The global order by virtual time is needed only where the budget ends: sums by ranges of time
+narrow that place down, range within range, until at most ``LAST`` entries are sorted. The sources themselves (one row each) and the ranges of one source are put in order in one task.
 
 Null or empty text has size 0 and is never taken. A source of no words has target 0. Ties in the hash go by doc_id, then size,
 and repeated rows are interchangeable. Reruns and any partitioning give the same result. Columns other than
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import settle, table, word_count
 
-WEIGHTS, PASSES, RANGE, SLOTS = (5, 2, 1), 3, 4000, 4096
+WEIGHTS, PASSES, RANGE, SLOTS, LAST = (5, 2, 1), 3, 4000, 4096, 20_000
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -68,20 +69,27 @@ def _mix(sizes: DataFrame, seed: str) -> DataFrame:
     entry = rows.where("size > 0 AND target > 0").select(
         "source", "key", "doc_id", "size", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))).alias("pass"), "end", "source_size", "target"
     ).withColumn("time", (F.col("pass") * F.col("source_size") + F.col("end")).cast("double") / F.col("target"))
-    entry = entry.withColumn("slot", F.floor(F.least(F.col("time"), F.lit(4.0)) * SLOTS).cast("long"))
-    slots = entry.groupBy("slot").agg(F.sum("size").alias("words"))
-    run = F.sum("words").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))  # 4 * SLOTS + 1 rows at most
-    slots = slots.withColumn("run", run).select("slot", (F.col("run") - F.col("words")).alias("ahead"), "run")
-    cut = slots.where(F.col("run") > budget).agg(F.min_by("slot", "slot").alias("slot"), F.min_by("ahead", "slot").alias("ahead")).first()
+    slot = lambda t: F.floor(F.least(t, F.lit(4.0)) * scale).cast("long")
+    # the slot of virtual time that the budget ends in is divided again until few entries are left in it (scales are powers of two, so slots nest)
+    scale, inside, ahead = SLOTS, entry, 0
+    while True:
+        slots = inside.groupBy(slot(F.col("time")).alias("slot")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+        run = F.sum("words").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))  # 4 * SLOTS + 1 rows at most
+        slots = slots.withColumn("run", run + F.lit(ahead))
+        cut = slots.where(F.col("run") > budget).agg(F.min("slot").alias("slot"), F.min_by(F.col("run") - F.col("words"), "slot").alias("ahead"), F.min_by("n", "slot").alias("n")).first()
+        if cut["slot"] is None or cut["n"] <= LAST or scale >= SLOTS**4:
+            break
+        inside, ahead = inside.where(slot(F.col("time")) == cut["slot"]), cut["ahead"]
+        scale *= SLOTS
     if cut["slot"] is None:
         last = entry.where("false")
         whole = F.lit(1 << 62)
     else:  # the one slot that the budget ends in
         within = Window.orderBy("time", F.col("source").asc_nulls_last(), "pass", "key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-        last = entry.where(F.col("slot") == cut["slot"]).withColumn("run", F.lit(cut["ahead"]) + F.sum("size").over(within)).where(F.col("run") <= budget)
+        last = entry.where(slot(F.col("time")) == cut["slot"]).withColumn("run", F.lit(cut["ahead"]) + F.sum("size").over(within)).where(F.col("run") <= budget)
         whole = F.lit(cut["slot"])
     time = lambda p: (F.lit(p) * F.col("source_size") + F.col("end")).cast("double") / F.col("target")
-    sure = sum((F.when((F.col("size") > 0) & (F.col("target") > 0) & (F.floor(F.least(time(p), F.lit(4.0)) * SLOTS) < whole), 1).otherwise(0) for p in range(PASSES)), F.lit(0))
+    sure = sum((F.when((F.col("size") > 0) & (F.col("target") > 0) & (slot(time(p)) < whole), 1).otherwise(0) for p in range(PASSES)), F.lit(0))
     more = last.groupBy(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("end").alias("e")).agg(F.count(F.lit(1)).alias("more"))
     out = rows.join(more, F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("end") == F.col("e")) & (F.col("size") > 0), "left").drop("s", "d", "e")
     out = out.withColumn("copies", (sure + F.coalesce("more", F.lit(0))).cast("long"))

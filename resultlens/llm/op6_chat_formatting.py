@@ -5,7 +5,7 @@ a conversation whose whole hash is the hash of a shorter prefix of another is a
 equal conversations the one of the smallest conv_id stays. What stays is maximal, and is rendered with a chat template.
 
 A conversation's turns are ordered by turn, then role, then text; turns repeated in all of these count once. Null role renders as ``unknown``, null text as empty; a null turn
-sorts first; rows of null conv_id are one conversation. A conversation is one training document, so its turns meet in one row; no other group does: the hashes of
+sorts first; rows of null conv_id are one conversation. A conversation is one training document, so its turns meet in one row (2 GB at most, as any row; log rows without conv_id should be kept out beforehand); no other group does: the hashes of
 a common first turn, or of equal conversations, are counted map-side. Empty tables give empty results; other columns are left alone.
 """
 
@@ -16,19 +16,22 @@ from pyspark.sql import functions as F
 
 from .common import settle, table
 
-START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
+START, MIDDLE, END, BLOCK = "<|im_start|>", "\n", "<|im_end|>\n", 256
 
 
 def rolled(turns: Column) -> Column:
     """Hash of each prefix of an array of turns (role, text): SHA-256 of the last prefix's hash, the role's length, role and text."""
     step = lambda so_far, t: F.sha2(F.concat(so_far, F.length(t["role"]).cast("string"), F.lit(":"), t["role"], F.lit(":"), t["text"]).cast("binary"), 256)
-    begin = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("every"))
+    none, lists = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
+    begin = F.struct(F.lit("").alias("last"), none.alias("now"), lists.alias("done"))
 
     def add(so_far: Column, t: Column) -> Column:
         now = step(so_far["last"], t)
-        return F.struct(now.alias("last"), F.concat(so_far["every"], F.array(now)).alias("every"))
+        own = F.concat(so_far["now"], F.array(now))
+        full = F.size(so_far["now"]) >= BLOCK - 1  # in blocks, so that no long array is copied for each turn
+        return F.struct(now.alias("last"), F.when(full, none).otherwise(own).alias("now"), F.when(full, F.concat(so_far["done"], F.array(own))).otherwise(so_far["done"]).alias("done"))
 
-    return F.aggregate(turns, begin, add)["every"]
+    return F.aggregate(turns, begin, add, lambda x: F.concat(F.flatten(x["done"]), x["now"]))
 
 
 def rendered(turns: Column) -> Column:
@@ -37,8 +40,8 @@ def rendered(turns: Column) -> Column:
 
 def collapse(logs: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_equal (conversations equal to it) and chat (rendered) of the maximal conversations."""
-    rows = logs.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    rows = logs.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))  # one shuffle; repeated turns meet before it
     convs = settle(convs.withColumn("hashes", rolled(F.col("turns"))), "conversations")
     whole = convs.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.element_at("hashes", -1).alias("hash"))
     unique = whole.groupBy("hash", "n_turns").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_equal"))

@@ -1,6 +1,6 @@
 """Operator 7, secret scans: base patterns, and novelty under dictionary-primed zstandard.
 
-Base kinds are assign, access and hex (fixed patterns below; failing matches are dropped, not retried). Beyond them, a run of token characters in a sensitive context
+Base kinds are assign, access and hex (fixed patterns below; failing matches are dropped, not retried). Beyond them, a run of ``CANDIDATE`` characters (16 or more, with a digit and a letter, or of letters whose case changes as often as at random) in a sensitive context
 (a sensitive word shortly before it on its line or in the ``LINES`` lines above, or a PEM block of a private key) is a candidate. Its marginal compressed size is the difference that it makes to its compressed surroundings,
 under a compressor primed with a dictionary of identifiers; a candidate whose marginal bytes are at least ``NOVEL`` of what random strings of its length and alphabet
 cost in its place (mean of ``DRAWS``) owes nothing to code and names around it and is reported as kind novel, unless a base span covers part of it. Other copies of the
@@ -12,14 +12,12 @@ hex digits, access prefix or sensitive word are not decoded. Repeated rows come
 
 from __future__ import annotations
 
-import builtins
 import hashlib
-import keyword
 import random
 import re
 import string
-import sys
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,7 +35,7 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = (b"passw", b"secret", b"token", b"api", b"credential", b"auth", b"private", b"key", b"bearer")
-NOVEL, DRAWS, REACH, LINES, AROUND, LEVEL = 0.8, 4, 64, 3, 256, 9
+NOVEL, DRAWS, REACH, LINES, AROUND, LEVEL, SWITCHES = 0.8, 4, 64, 3, 256, 9, 0.37
 CONTEXT = re.compile(r"(passw|secret|token|api|credential|auth|private|key|bearer)", re.IGNORECASE | re.ASCII)
 PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----(?:(?!-----)[\s\S])*+", re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
@@ -45,10 +43,26 @@ IS_HEX = np.zeros(256, bool)
 IS_HEX[[*range(48, 58), *range(97, 103)]] = True
 
 
+# fixed values: words that identifiers of code, configuration and prose about them are made of
+IDENTIFIERS = """abstract access account action active address admin agent alias alpha append apply archive argument array assert async attribute author auth await backup base batch begin binary block boolean branch
+break bucket buffer build bytes cache callback catch certificate channel char check class client close cluster code collection column command comment commit compare compile config connect connection const constructor
+container content context continue control copy count create credential current cursor data database date debug decode default define delete deploy description detail device dict directory disable document domain
+download driver element else email enable encode endpoint engine entry enum environment error event except exception execute exists export expression extend false field file filter final finally find first flag float
+folder for format from function generate get global group handle handler hash header hello host html http https identifier ignore image implements import include index info init initialize input insert instance integer
+interface internal invalid item iterator job json key label language last length library license limit line link list listener load local location lock log login logger loop main manager map match max memory message
+metadata method min mode model module mount name namespace network new next node none null number object offset open operation option order output owner package page parameter parent parse password path pattern payload
+permission pipeline platform plugin policy pool port position post prefix previous print private process product profile project property protocol provider proxy public query queue random range read record recursive
+reference region register release remote remove render replace report repository request require reset resource response result return role root route rule run sample save schema scope script search secret section
+select self sequence server service session set settings shared signature size socket sort source space stack start state static status stop storage store stream string struct style submit success suffix super switch
+sync system table tag target task team template test text thread time timeout title token total trace transaction transform true try type undefined union unique update upload url user username utils valid value variable
+vector vendor verify version view virtual void volume wait warning while width window with worker workspace write xml yaml yield zone"""
+
+
 def identifiers() -> bytes:
-    """The priming dictionary: keywords, built-in names and standard module names, with the sensitive words."""
-    names = [*keyword.kwlist, *dir(builtins), *dir(str), *dir(dict), *sorted(sys.stdlib_module_names)]
-    return "\n".join([*names, *(f'{s.decode()} = "' for s in SENSITIVE)]).encode()
+    """The priming dictionary: words of identifiers, joined in the usual ways, with the sensitive words."""
+    names = IDENTIFIERS.split()
+    joined = [*("_".join(names[k : k + 3]) for k in range(0, len(names), 3)), *("".join(x.title() for x in names[k : k + 2]) for k in range(0, len(names), 2))]
+    return "\n".join([*joined, *names, *(f'{s.decode()} = "' for s in SENSITIVE)]).encode()
 
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -63,6 +77,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def like_a_secret(word: str) -> bool:
+    """Digits among letters; or letters alone whose case changes about as often as at random (in names it changes at the borders of words)."""
+    if any(c.isdigit() for c in word):
+        return any(c.isalpha() for c in word)
+    letters = [c.isupper() for c in word if c.isalpha()]
+    return len(letters) >= 16 and sum(a != b for a, b in zip(letters, letters[1:])) >= SWITCHES * (len(letters) - 1)
+
+
 def alphabet(word: str) -> str:
     """The characters that a random string of the kind of `word` is drawn from: digits, its cases of letters (A to F if no others are there) and its signs."""
     held = set(word)
@@ -94,6 +116,7 @@ def sensitive(text: str) -> Callable[[int], bool]:
     starts = [m.start() for m in CONTEXT.finditer(text)]
     lines = [-1, *(m.start() for m in re.finditer("\n", text))]
     keys = [m.span() for m in PEM.finditer(text)]
+    begins = [k[0] for k in keys]
 
     def at(s: int) -> bool:
         k = bisect_left(lines, s) - 1
@@ -102,7 +125,8 @@ def sensitive(text: str) -> Callable[[int], bool]:
         if first < len(words) and words[first] <= s:
             return True
         first = bisect_left(starts, above)
-        return (first < len(words) and words[first] <= lines[k]) or any(x <= s < y for x, y in keys)
+        key = bisect_right(begins, s) - 1
+        return (first < len(words) and words[first] <= lines[k]) or (key >= 0 and s < keys[key][1])
 
     return at
 
@@ -112,12 +136,15 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], zstd: zstandard.Zst
     novel: set[str] = set()
     near = sensitive(text)
 
+    begins, reached = [x for x, _, _ in base], list(accumulate((z for _, _, z in base), max))
+
     def free(s: int, e: int) -> bool:
-        return not any(x < e and s < z for x, _, z in base)
+        k = bisect_left(begins, e) - 1  # the last base span that begins before e
+        return k < 0 or reached[k] <= s
 
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
+        if not like_a_secret(m[0]):
             continue
         runs_of.setdefault(m[0], []).append((s, e))
         if m[0] not in novel and near(s) and free(s, e) and is_novel(m[0], *surroundings(text, s, e), zstd):

@@ -91,6 +91,44 @@ def test_packing_is_no_worse_than_one_length():
     assert total <= min(one) and np.bincount(bins, sizes).max() <= 4096 and (np.bincount(bins, sizes) <= held).all()
 
 
+def test_packing_against_the_optimum():
+    """Small cases against all ways to pack: best fit is near the optimum, and never below it."""
+    rng = np.random.default_rng(2)
+    lengths, price = (4, 8, 16), lambda x: x + 1 + x * x / 64
+
+    def best(sizes, room=()):
+        if not sizes:
+            return sum(min(price(x) for x in lengths if x >= b) for b in room)
+        size, rest = sizes[0], sizes[1:]
+        ways = [best(rest, (*room[:k], room[k] + size, *room[k + 1 :])) for k in range(len(room)) if room[k] + size <= lengths[-1]]
+        return min([*ways, best(rest, (*room, size))])
+
+    ratios = []
+    for _ in range(12):
+        sizes = np.sort(rng.integers(1, 17, 7))[::-1]
+        bins, offsets, held, total = packing.pack(sizes, lengths, price)
+        optimum = best(tuple(sizes.tolist()))
+        assert total >= optimum - 1e-9 and (np.bincount(bins, sizes) <= held).all()
+        ratios.append(total / optimum)
+    assert np.mean(ratios) < 1.1
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    rows = [(k % 40, k % 7 * 1000) for k in range(200)] + [(None, None), (5, None), (None, 9000)] + [(3, 10)] * 30
+    sized = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    one = counted(packing.packed(sized.coalesce(1), block_rows=20).collect())
+    assert one == counted(packing.packed(sized.repartition(5), block_rows=20).collect())
+    assert sum(n for r, n in one.items() if r[0] is None) == 4  # a row without count, and three pieces
+
+
+def test_sequences_hold_the_texts_of_their_bins(docs):
+    sized = docs.select("doc_id", packing.word_count(docs["text"]).alias("n_tokens"))
+    sets = packing.sequences(docs, packing.packed(sized)).collect()
+    assert all(len(brute.words(r["text"])) == r["n_tokens"] <= r["bin_length"] for r in sets)
+    assert sum(r["n_tokens"] for r in sets) == sum(len(brute.words(r["text"])) for r in docs.select("text").collect())
+    assert any("two words" in r["text"] for r in sets)
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(3)
     part = rng.integers(97, 100, 300).astype(np.uint8)
@@ -297,6 +335,25 @@ def test_novel_secrets():
     assert found == ["q8Zr2LxT9vWc4KpN7sYb"]
 
 
+def test_names_and_letters():
+    """Of random letters of both cases most are found; of names made of words, in three spellings, under one in a hundred."""
+    rng, zstd = random.Random(6), secret.compressor(secret.identifiers())
+    around = lambda w: f"{long_text(rng, 40)} private key {w} {long_text(rng, 40)}"
+    found = sum(len(secret.novel_spans(around("".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=40))), [], zstd)) for _ in range(60))
+    names = secret.IDENTIFIERS.split()
+    spelt = [f(rng.sample(names, 4)) for f in (lambda x: "_".join(x), lambda x: "".join(y.title() for y in x), lambda x: "-".join(x) + str(rng.randrange(9))) for _ in range(100)]
+    wrong = sum(len(secret.novel_spans(around(w), [], zstd)) for w in spelt)
+    assert found >= 54 and wrong <= 3
+
+
+def test_secrets_among_very_many_spans():
+    text = "token=abcdef123456 " * 30_000 + "".join(f"key\n{k:x}zQ9\n" for k in range(20_000))
+    began = time.perf_counter()
+    base = secret.base_spans(text)
+    assert len(base) == 30_000 and secret.novel_spans(text, base, secret.compressor(secret.identifiers())) == []
+    assert time.perf_counter() - began < 20
+
+
 @pytest.mark.parametrize("chars", ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEF0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"])
 @pytest.mark.parametrize("length", [20, 64, 128, 344, 1024])
 def test_novelty_does_not_depend_on_length(chars, length):
@@ -428,6 +485,40 @@ def test_sanitising_is_linear_in_a_text(spark):
     assert out[1] == out[2] == " ".join(["[EMAIL]"] * 45_000) and out[3] == "plain"
 
 
+def test_gradient_of_the_classifier():
+    """Against differences of the loss, which is restated from probabilities."""
+    rng = np.random.default_rng(3)
+    text, column, grade = np.repeat(np.arange(9), 3), rng.integers(0, 5, 27), rng.integers(0, 3, 9)
+    p = rng.normal(size=7) * 0.5
+
+    def plain(p):
+        cuts = [p[5], p[5] + np.exp(p[6])]
+        total = 0.0
+        for k in range(9):
+            score = sum(p[column[j]] for j in range(27) if text[j] == k)
+            above = [1, *(1 / (1 + np.exp(c - score)) for c in cuts), 0]
+            total -= np.log(above[grade[k]] - above[grade[k] + 1])
+        return total / 9 + 0.05 * (p[:5] ** 2).sum()
+
+    value, g = classifier.loss(p, text, column, grade, 0.1)
+    assert value == pytest.approx(plain(p))
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-6
+        assert g[k] == pytest.approx((plain(p + step) - plain(p - step)) / 2e-6, abs=1e-6)
+    weights, cuts = np.zeros(classifier.SIZE, np.float32), np.array([0.2, 1.1])
+    weights[:5] = p[:5]
+    got = classifier.predict(text, column, 9, weights, cuts)
+    for k in range(9):
+        score = float(sum(weights[column[j]] for j in range(27) if text[j] == k))
+        assert got[k] == pytest.approx([1 / (1 + np.exp(c - score)) for c in cuts])
+
+
+def test_fit_takes_a_bounded_sample(spark):
+    docs = spark.createDataFrame([(k % 20, f"text {k} " + "word " * (k % 5)) for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    assert classifier.train(docs, labels, max_fit=8) is not None and classifier.train(docs, labels, max_features=1) is None
+
+
 def test_classifier(spark, sf, docs, none):
     d = sf.replace("0.001", "0.1")
     every, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
