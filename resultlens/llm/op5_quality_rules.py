@@ -4,8 +4,10 @@ Each line with a word is described by levelled features (words, symbols, capital
 content and boilerplate, gives emission and transition scores; Viterbi decoding finds each text's best labelling, and the share
 of words in content lines decides: at least ``SHARE`` stays. Base counts (repeated windows, repeated lines, symbols) fail a text beforehand.
 
-The CRF is fit on lines of at most ``MAX_FIT`` rated documents of at most ``FIT_LINES`` lines (those of lowest hash; a bounded sample): lines of
-documents rated good are content, others boilerplate. Every document is decoded, whole. Without ratings of both kinds every line is content.
+The CRF is fit on the lines of at most ``max_fit`` rated documents with at most ``max_lines`` lines in all (those of lowest hash; a bounded sample), each text as chains of up to ``CHAIN`` lines. Lines of
+documents rated bad are boilerplate; so is a line of a good one that recurs all over the corpus: over all documents it stands in ``CONTEXTS`` contexts (lines before and after) or more, none of which makes up more than
+``ONE_CONTEXT`` of its places (so copies of a text do not make its lines boilerplate). Other lines of good documents are content. So labels change within a text, and the scores of label pairs
+are learnt from that. Every document is decoded, whole. Without ratings of both kinds every line is content.
 
 Null counts as no text: no words, so base_failed. Lines end at \\n; lines without a word are left out. Repeated rows come out repeated; other columns are left alone.
 """
@@ -16,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import settle, table
 from .textbytes import U, blocks, mix, owners, prefix_hash, runs, span_hash, words
 
-SHARE, MAX_FIT, FIT_LINES, LEVELS = 0.5, 3000, 200, 8
+SHARE, MAX_FIT, MAX_LINES, CHAIN, LEVELS = 0.5, 3000, 300_000, 200, 8
+CONTEXTS, ONE_CONTEXT = 3, 0.4
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 50, 50, 3
 SYMBOL, CAPITAL, DIGIT, BAR, BANG, STOP = (np.zeros(256, bool) for _ in range(6))
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -34,8 +37,27 @@ STOP[list(b".!?:;,\"')")] = True
 FEATURES = 10
 
 
+def lines(data: np.ndarray, at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and numbers of words of the lines with a word (words start at `starts`)."""
+    begin, end = runs(data != 10, at)
+    count = np.searchsorted(starts, end) - np.searchsorted(starts, begin)
+    return begin[count > 0], end[count > 0], count[count > 0]
+
+
+def line_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and context (hash of the lines before and after, in the text) of the lines with a word, and each text's first line (n + 1)."""
+    begin, end, _ = lines(data, at, words(data, at)[0])
+    h = span_hash(prefix_hash(data), begin, end)
+    first = np.searchsorted(begin, at)
+    before, after = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
+    text = owners(begin, at)
+    inside = text[1:] == text[:-1]
+    before[1:][inside], after[:-1][inside] = h[:-1][inside], h[1:][inside]
+    return h, mix(before + U(1)) + U(3) * mix(after + U(2)), first
+
+
 def base(data: np.ndarray, at: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Counts by text; starts of the lines with a word, their words, and the level of each feature by line."""
+    """Counts by text; starts of the lines with a word, their words, and the level of each feature by line. Lines and windows are compared by hash, lines that agree in it by their bytes."""
     n = len(at) - 1
     starts, ends, first = words(data, at)
     prefix = prefix_hash(data)
@@ -63,14 +85,14 @@ def base(data: np.ndarray, at: np.ndarray) -> tuple[dict[str, np.ndarray], np.nd
         for k in range(WINDOW):
             repeated[whole[twice] + k] = True
     # lines
-    begin, end = runs(data != 10, at)
-    count = np.searchsorted(starts, end) - np.searchsorted(starts, begin)
-    begin, end, count = begin[count > 0], end[count > 0], count[count > 0]
+    begin, end, count = lines(data, at, starts)
     text = owners(begin, at)
     key = span_hash(prefix, begin, end) ^ mix(text.astype(np.uint64) + U(1))
     order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
     earlier = np.zeros(len(key), bool)
-    earlier[order[1:][key[order][1:] == key[order][:-1]]] = True
+    for x, y in zip(order[:-1][same].tolist(), order[1:][same].tolist(), strict=True):
+        earlier[y] = data[begin[x] : end[x]].tobytes() == data[begin[y] : end[y]].tobytes()
     counts = {
         "n_words": np.diff(first),
         "word_chars": chars[at[1:]] - chars[at[:-1]],
@@ -99,18 +121,23 @@ def base(data: np.ndarray, at: np.ndarray) -> tuple[dict[str, np.ndarray], np.nd
     return counts, begin, count, np.stack(columns, 1) + np.arange(FEATURES) * LEVELS
 
 
-def fit(lines: list[np.ndarray], good: np.ndarray, rounds: int = 60, rate: float = 0.15, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Emission weights of content over boilerplate, and scores of label pairs, by Adam on the CRF's likelihood (forward-backward over all texts at once)."""
-    order = np.argsort([-len(x) for x in lines], kind="stable")
-    lines, good = [lines[k] for k in order], good[order].astype(np.int64)
-    size = np.array([len(x) for x in lines])
-    n, longest = len(lines), int(size.max())
-    index = np.zeros((n, longest, FEATURES), np.int64)
+def fit(chains: list[np.ndarray], labels: list[np.ndarray], rounds: int = 60, rate: float = 0.15, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Emission weights of content over boilerplate, and scores of label pairs, by Adam on the CRF's likelihood (forward-backward over all chains at once)."""
+    order = np.argsort([-len(x) for x in chains], kind="stable")
+    chains, labels = [chains[k] for k in order], [labels[k] for k in order]
+    size = np.array([len(x) for x in chains])
+    n, longest = len(chains), int(size.max())
+    index = np.zeros((n, longest, FEATURES), np.int16)
+    good = np.zeros((n, longest), np.int8)
     mask = np.arange(longest) < size[:, None]
-    index[mask] = np.concatenate(lines)
+    index[mask], good[mask] = np.concatenate(chains), np.concatenate(labels)
     p, m, v = np.zeros(FEATURES * LEVELS + 4), 0.0, 0.0
-    share = max(0.01, min(0.99, good.mean()))
-    balance = np.where(good == 1, 0.5 / share, 0.5 / (1 - share)) / size  # both labels weigh alike, and each text
+    mean = np.array([x.mean() for x in labels])
+    share = max(0.01, min(0.99, mean.mean()))
+    balance = (mean * 0.5 / share + (1 - mean) * 0.5 / (1 - share)) / size  # both labels weigh alike, and each chain
+    true = np.zeros((2, 2))
+    for x, y in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        true[x, y] = (((good[:, :-1] == x) & (good[:, 1:] == y) & mask[:, 1:]).sum(1) * balance).sum()
     for t in range(1, rounds + 1):
         emit = np.zeros((n, longest, 2))
         emit[..., 1] = p[: FEATURES * LEVELS][index].sum(-1)
@@ -129,17 +156,14 @@ def fit(lines: list[np.ndarray], good: np.ndarray, rounds: int = 60, rate: float
             both = np.exp(fore[live, k][:, :, None] + pair + ahead[:, None, :] - norm[live, None, None])
             seen += (both * balance[live, None, None]).sum(0)
         likely = np.exp(fore[..., 1] + back[..., 1] - norm[:, None])
-        miss = np.where(mask, (good[:, None] - likely) * balance[:, None], 0)
+        miss = np.where(mask, (good - likely) * balance[:, None], 0)
         g = np.zeros_like(p)
         g[:-4] = -np.bincount(index.ravel(), np.repeat(miss.ravel(), FEATURES), FEATURES * LEVELS) / n
-        true = np.zeros((2, 2))
-        for y in (0, 1):
-            true[y, y] = ((size - 1) * balance)[good == y].sum()
         g[-4:] = (seen - true).ravel() / n
         g += decay * p
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return p[:-4], np.clip(p[-4:], -2, 2).reshape(2, 2)
+    return p[:-4], p[-4:].reshape(2, 2)
 
 
 def viterbi(emit: np.ndarray, first: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -167,26 +191,54 @@ def viterbi(emit: np.ndarray, first: np.ndarray, pair: np.ndarray) -> np.ndarray
     return label
 
 
-def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[np.ndarray, np.ndarray] | None:
+def recurring(docs: DataFrame, known: np.ndarray) -> np.ndarray:
+    """Of the known line hashes (sorted), those that recur all over the documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, at in blocks(b.column("text")):
+                h, context, _ = line_hashes(data, at)
+                k = np.minimum(np.searchsorted(shared.value, h), len(shared.value) - 1)
+                ok = shared.value[k] == h
+                yield pa.RecordBatch.from_arrays([pa.array(k[ok]), pa.array(context[ok].view(np.int64))], ["k", "context"])
+
+    if not len(known):
+        return known
+    places = docs.select("text").mapInArrow(part, "k long, context long").groupBy("k", "context").agg(F.count(F.lit(1)).alias("n"))
+    found = places.groupBy("k").agg(F.count(F.lit(1)).alias("contexts"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    found = found.where((F.col("contexts") >= CONTEXTS) & (F.col("most") <= ONE_CONTEXT * F.col("all"))).select("k").toArrow()  # at most the known lines
+    return np.sort(known[np.asarray(found["k"].combine_chunks())]) if found.num_rows else known[:0]
+
+
+def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_lines: int = MAX_LINES) -> tuple[np.ndarray, np.ndarray] | None:
     rated = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(F.when(F.col("quality") > 0, 1).otherwise(0)).cast("long").alias("__good"))
-    rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)  # max_fit rows bound the broadcast
+    rated = rated.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)  # max_fit rows bound the broadcast
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, at in blocks(b.column("text")):
                 _, begin, _, level = base(data, at)
-                first = np.searchsorted(begin, at)
+                h, _, first = line_hashes(data, at)
                 lists = pa.ListArray.from_arrays(pa.array(first * FEATURES, pa.int32()), pa.array(level.ravel().astype(np.int16)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("__good").slice(i, j - i), lists], ["doc_id", "good", "level"])
+                hashes = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("__good").slice(i, j - i), hashes, lists], ["doc_id", "good", "hashes", "level"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").mapInArrow(part, f"doc_id {kind}, good long, level array<short>")
-    rows = rows.where(F.size("level").between(1, FIT_LINES * FEATURES)).toArrow().to_pandas()
-    rows["text"] = [np.asarray(x, np.int16).tobytes() for x in rows["level"]]
-    rows = rows.sort_values(["doc_id", "text"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").mapInArrow(part, f"doc_id {kind}, good long, hashes array<long>, level array<short>")
+    one = rows.where("size(hashes) > 0").groupBy("doc_id", "good").agg(F.min(F.struct("hashes", "level")).alias("x"))  # one text of a doc_id; max_fit rows at most
+    one = settle(one.select("doc_id", "good", "x.*"), "lines")
+    upto = F.sum(F.size("hashes")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over max_fit rows at most
+    fits = one.select("doc_id", upto.alias("upto")).where(F.col("upto") <= max_lines).select("doc_id")
+    rows = one.join(F.broadcast(fits), "doc_id", "left_semi").toArrow().to_pandas().sort_values("doc_id")
     if rows["good"].nunique() < 2:
         return None
-    return fit([np.asarray(x, np.int64).reshape(-1, FEATURES) for x in rows["level"]], rows["good"].to_numpy())
+    hashes = [np.asarray(x, np.int64).view(np.uint64) for x in rows["hashes"]]
+    levels = [np.asarray(x, np.int16).reshape(-1, FEATURES) for x in rows["level"]]
+    everywhere = recurring(docs, np.unique(np.concatenate([h for h, g in zip(hashes, rows["good"], strict=True) if g])))
+    content = [np.full(len(h), g, np.int8) & ~np.isin(h, everywhere) for h, g in zip(hashes, rows["good"], strict=True)]
+    cut = lambda x: [x[k : k + CHAIN] for k in range(0, len(x), CHAIN)]
+    return fit([c for x in levels for c in cut(x)], [c for x in content for c in cut(x)])
 
 
 def label(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, share: float = SHARE) -> DataFrame:
@@ -211,6 +263,23 @@ def label(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, share: f
     return docs.select("doc_id", "text").mapInArrow(part, schema)
 
 
+def content(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """doc_id and content: the text's content lines, in order, for each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, at in blocks(b.column("text")):
+                _, begin, _, level = base(data, at)
+                _, end, _ = lines(data, at, words(data, at)[0])
+                first = np.searchsorted(begin, at)
+                good = np.ones(len(begin), bool) if shared.value is None else viterbi(shared.value[0][level].sum(1), first, shared.value[1]) == 1
+                texts = [b"\n".join(data[begin[k] : end[k]].tobytes() for k in range(p, q) if good[k]).decode() for p, q in zip(first, first[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(texts, pa.string())], ["doc_id", "content"])
+
+    return docs.select("doc_id", "text").mapInArrow(part, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, content string")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return label(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -305,6 +305,31 @@ def test_rules_keep_clean_documents(spark, sf):
     assert share[1] > 0.97 and share[0] < 0.5
 
 
+def test_lines_within_a_text_are_told_apart(spark):
+    """Menu lines recur in good documents and make up bad ones; a mixed text loses them and keeps its prose."""
+    rng = random.Random(7)
+    prose = lambda: " ".join(rng.choice(VOCABULARY) for _ in range(rng.randrange(12, 25))).capitalize() + "."
+    menus = ["HOME | NEWS | LOGIN | CART", "SHARE | PRINT | MAIL", "COPYRIGHT | TERMS | PRIVACY | 2020", "PREV | NEXT | TOP"]
+    texts = []
+    for k in range(120):
+        lines = [prose() for _ in range(8)]
+        if k % 2:
+            lines = [rng.choice(menus), *lines, rng.choice(menus), rng.choice(menus)]
+        texts.append(("\n".join(lines), 1))
+    texts += [("\n".join(rng.choice(menus) + f" | {rng.randrange(99)}" for _ in range(9)), 0) for _ in range(60)]
+    texts += [texts[0]] * 30  # copies of a text make none of its lines boilerplate
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, g) for k, (_, g) in enumerate(texts)], "doc_id long, quality int")
+    model = rules.train(docs, labels)
+    body = [prose() for _ in range(6)]
+    mixed = spark.createDataFrame([(1, "\n".join([menus[0], menus[1], *body, menus[2], menus[3]])), (2, "\n".join(menus * 20)), (3, texts[0][0]), (4, None), (5, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["content"] for r in rules.content(mixed, model).collect()}
+    assert got == {1: "\n".join(body), 2: "", 3: texts[0][0], 4: "", 5: ""}
+    kept = {r["doc_id"]: (r["kept"], r["content_share"]) for r in rules.label(mixed, model).collect()}
+    assert kept[3][0] and not kept[2][0] and 0.5 < kept[1][1] < 1
+    assert rules.train(docs, labels, max_lines=1) is None
+
+
 def test_chat_collapse(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", "ab"), (5, 0, None, None), (5, 0, None, None), (None, None, "user", "hi"), (None, 1, "user", "x")]
     logs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"hash": F.lit(1), "turns": F.lit(2)})
