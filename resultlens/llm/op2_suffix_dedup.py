@@ -316,7 +316,8 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> tuple[DataFram
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     every, lost = dedup(table(spark, sf_dir, "documents"))
     copies = every.where(F.col("n_bytes") >= SIZE).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    out = every.join(lost.select("h1", "h2", "n_removed", "n_spans", "kept_sha256"), ["h1", "h2"], "left").join(copies, ["h1", "h2"], "left")
+    known = lost.select("h1", "h2", "n_removed", "n_spans", "kept_sha256").join(copies, ["h1", "h2"], "full").withColumn("rows", F.coalesce("n", F.lit(1)))
+    out = join_unique(every, settle(known, "known"), ["h1", "h2"], "rows", "left")  # copies of one text are met by broadcast where they are very many
     whole, zero = F.col("n").isNotNull(), F.lit(0).cast("long")
     return out.select(
         "doc_id", "n_bytes",
