@@ -9,77 +9,115 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import strip
+
 MODES = ("positional", "agnostic", "named", "raw", "graded")
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def float_text(c: Column) -> Column:
-    """One spelling of a number for all engines; null stays null."""
+    """One spelling of a number for all engines, to six places; null stays null."""
     return F.when(c.isNotNull(), F.format_string("%.6f", c.cast("double")))
 
 
+def number_text(c: Column, kind: T.DataType) -> Column:
+    """The spelling that equal numbers share whatever their type: whole numbers as such, others by the shortest spelling of the double. No number meets another: 2**53 and 2**53 + 1 differ, 1e-7 is not 0,
+    0.0 and -0.0 are equal. NaN, like null, has none."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        d = c.cast("double")
+        whole = d.try_cast("decimal(38,0)")  # exact for whole doubles, null where it does not fit
+        text = F.when((F.abs(d) < 1e18) & (d == F.floor(d)), whole.cast("string")).otherwise((d + F.lit(0.0)).cast("string"))
+        return F.when(~F.isnan(d), text)
+    if isinstance(kind, T.DecimalType):
+        return F.when(c == F.floor(c), F.floor(c).cast("decimal(38,0)").cast("string")).otherwise(c.cast("double").cast("string"))
+    return c.cast("string")
+
+
+def _part(*values: Column) -> Column:
+    """Texts as one from which each can be told: every one with its length before it."""
+    return F.concat(*(x for v in values for x in (F.length(v).cast("string"), F.lit(":"), v)))
+
+
 def _typed(c: Column, kind: T.DataType) -> Column:
-    """Numbers by value (1 equals 1.0), tagged apart from text; null as the empty string."""
+    """Numbers by value (1 equals 1.0), tagged apart from text; null and NaN as the empty string."""
     if isinstance(kind, NUMERIC):
-        return F.coalesce(F.concat(F.lit("n"), float_text(c)), F.lit("s"))
+        return F.coalesce(F.concat(F.lit("n"), number_text(c, kind)), F.lit("s"))
     return F.concat(F.lit("s"), F.coalesce(c.cast("string"), F.lit("")))
 
 
-def _text(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit(""))
+def _text(c: Column, kind: T.DataType) -> Column:
+    """As text; null and NaN are empty."""
+    value = F.when(~F.isnan(c), c) if isinstance(kind, (T.FloatType, T.DoubleType)) else c
+    return F.coalesce(value.cast("string"), F.lit(""))
 
 
 def graded_value(c: Column, eps: float = 1e-6) -> Column:
     """Rounded where it is a number or looks like one, else stripped and lower-cased."""
     digits = min(9, max(0, round(-log10(eps)))) if eps > 0 else 6
-    text = F.trim(c.cast("string"))
-    return F.coalesce(float_text(F.bround(text.try_cast("double"), digits)), F.lower(text))
+    text = strip(c.cast("string"))
+    number = F.bround(text.try_cast("double"), digits) + F.lit(0.0)
+    return F.coalesce(F.when(number.isNotNull(), F.format_string(f"%.{max(digits, 1)}f", number)), F.lower(text))
+
+
+def row_text(df: DataFrame, columns: Sequence[str]) -> Column:
+    """The row as signatures spell it: values as text, sorted in the row, joined by bars."""
+    return F.array_join(F.array_sort(F.array(*(_text(df[c], df.schema[c].dataType) for c in columns))), "|")
 
 
 def row_key(df: DataFrame, columns: Sequence[str], mode: str) -> Column:
-    """The key by which rows of a result are compared. positional: column order, numbers by value. agnostic: values as text, sorted in the row.
+    """The key by which rows of a result are compared; different rows have different keys. positional: column order, numbers by value. agnostic: values as text, sorted in the row.
     named: positional in the order of column names. raw: as positional, null stays null. graded: rounded values."""
+    kinds = {c: df.schema[c].dataType for c in columns}
     if mode == "agnostic":
-        return F.array_join(F.array_sort(F.array(*(_text(df[c]) for c in columns))), "|")
+        return F.array_join(F.transform(F.array_sort(F.array(*(_text(df[c], kinds[c]) for c in columns))), lambda v: _part(v)), "")
     if mode == "named":
         columns = sorted(columns)
     if mode == "raw":
-        return F.concat_ws("|", *(F.when(df[c].isNull(), F.lit("0")).otherwise(_typed(df[c], df.schema[c].dataType)) for c in columns))
+        return _part(*(F.when(df[c].isNull(), F.lit("0")).otherwise(_typed(df[c], kinds[c])) for c in columns))
     if mode == "graded":
-        return F.concat_ws("|", *(F.coalesce(graded_value(df[c]), F.lit("")) for c in columns))
-    return F.concat_ws("|", *(_typed(df[c], df.schema[c].dataType) for c in columns))
+        return _part(*(F.coalesce(graded_value(df[c]), F.lit("")) for c in columns))
+    return _part(*(_typed(df[c], kinds[c]) for c in columns))
 
 
-def result_sets(cells: DataFrame, result: str, columns: Sequence[str], mode: str) -> DataFrame:
-    """One row a result: its sorted set of row keys. A result without rows has none here (compare_sets takes it as empty)."""
-    keyed = cells.select(result, row_key(cells, columns, mode).alias("key"))
-    # one shuffle, and repeated rows collapse before it
-    return keyed.groupBy(result).agg(F.array_sort(F.collect_set("key")).alias("keys"))
+def result_digests(cells: DataFrame, result: str, columns: Sequence[str], mode: str) -> DataFrame:
+    """One row a result: n_rows (distinct rows), and the sum and the exclusive or of 64-bit hashes of its distinct row keys (192 bits that equal sets share). Rows are counted map-side; no task holds a whole result."""
+    keyed = cells.select(result, row_key(cells, columns, mode).alias("key")).distinct()
+    half = lambda k: F.conv(F.substring(F.sha2("key", 256), 1 + 15 * k, 15), 16, 10).cast("long")
+    return keyed.groupBy(result).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(half(0).cast("decimal(38,0)")).alias("d1"), F.bit_xor(half(1)).alias("d2"), F.bit_xor(half(2)).alias("d3"))
 
 
 def compare_sets(pairs: DataFrame, cells: DataFrame, columns: Sequence[str], mode: str, left: str = "pred_id", right: str = "gold_id", result: str = "result_id") -> DataFrame:
-    """The pairs with `equal`: whether both results have the same set of rows. A pair with a null side is unequal; two empty results are equal."""
-    sets = result_sets(cells, result, columns, mode)
-    none = F.array().cast("array<string>")
-    one, two = (sets.select(F.col(result).alias(k), F.col("keys").alias(n)) for k, n in ((left, "__p"), (right, "__g")))
+    """The pairs with `equal`: whether both results have the same set of rows. A pair with a null side is unequal; two empty results are equal. mode: one of MODES, or a registered name."""
+    digests = result_digests(cells, result, columns, COMPARATORS.get(mode, mode))
+    one, two = (digests.select(F.col(result).alias(k), F.struct("n_rows", "d1", "d2", "d3").alias(n)) for k, n in ((left, "__p"), (right, "__g")))
     joined = pairs.join(one, left, "left").join(two, right, "left")
-    equal = F.col(left).isNotNull() & F.col(right).isNotNull() & (F.coalesce("__p", none) == F.coalesce("__g", none))
+    equal = F.col(left).isNotNull() & F.col(right).isNotNull() & F.col("__p").eqNullSafe(F.col("__g"))
     return joined.withColumn("equal", equal).drop("__p", "__g")
 
 
+def any_variant(pairs: DataFrame, cells: DataFrame, columns: Sequence[str], mode: str = "agnostic", keys: Sequence[str] = ("sample_id", "idx"), left: str = "pred_id", right: str = "gold_id") -> DataFrame:
+    """keys and `equal`: whether the candidate's result equals that of any variant of the ground truth. pairs: one row for each candidate and variant."""
+    return compare_sets(pairs, cells, columns, mode, left, right).groupBy(*keys).agg(F.bool_or("equal").alias("equal"))
+
+
 COMPARATORS = {"positional": "positional", "agnostic": "agnostic", "named": "named", "raw": "raw"}
 
 
 def register_comparator(name: str, mode: str) -> None:
-    """Make a comparison mode known under a name of one's own."""
+    """Make a comparison mode known under a name of one's own, by which compare_sets then finds it."""
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode}")
     COMPARATORS[name] = mode
 
 
 def signatures(results: DataFrame, cells: DataFrame, columns: Sequence[str], result: str = "result_id", most: int = 200, error_most: int | None = None) -> DataFrame:
-    """The results (with ok, error, and n_rows where rows are not at hand) with `signature`: ERROR, SUCCESS_ROWS_COUNT or SUCCESS_VALUES, the values cut to `most` characters."""
-    sets = result_sets(cells, result, columns, "agnostic").select(result, F.array_join("keys", ";").alias("__v"))
+    """The results (with ok, error, and n_rows where rows are not at hand) with `signature`: ERROR, SUCCESS_ROWS_COUNT or SUCCESS_VALUES, the values cut to `most` characters.
+
+    No more than the first `most` of a result's sorted rows can show, so no more are gathered."""
+    keyed = cells.select(result, row_text(cells, columns).alias("key")).distinct()
+    nth = F.row_number().over(Window.partitionBy(result).orderBy("key"))
+    firsts = keyed.withColumn("__n", nth).where(F.col("__n") <= most + 1)
+    sets = firsts.groupBy(result).agg(F.array_join(F.array_sort(F.collect_list("key")), ";").alias("__v"))
     error = F.coalesce("error", F.lit("None"))
     error = F.substring(error, 1, error_most) if error_most else error
     value = F.concat(F.lit("SUCCESS_VALUES:"), F.substring(F.coalesce("__v", F.lit("")), 1, most))

@@ -151,6 +151,16 @@ def reasoning_id(dataset: Column, db: Column, text: Column) -> Column:
     return F.concat(F.lit("reasoning_"), db, F.lit("_"), F.substring(F.sha1(_joined(dataset, db, text).cast("binary")), 1, 16))
 
 
+def path_id(sample: Column, model: Column) -> Column:
+    """`reasoning_<sample>_<model>`."""
+    return F.concat_ws("_", F.lit("reasoning"), sample.cast("string"), model)
+
+
+def utc_text(ts: Column) -> Column:
+    """A moment in ISO 8601 with its zone."""
+    return F.date_format(ts.cast("timestamp_ltz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+
 def _joined(*parts: Column) -> Column:
     return F.concat_ws("\x00", *(F.coalesce(p, F.lit("")) for p in parts))
 
@@ -200,14 +210,18 @@ def export_line(sql: Column) -> Column:
     return F.when(one == "", "SELECT 1").otherwise(one)
 
 
+#: Separator of exported pairs, and the database of a pair that is missing (fixed values).
+PAIR, NO_DB = "\t----- bird -----\t", "financial"
+
+
 def export_pair(sql: Column, db: Column) -> Column:
-    return F.concat(sql, F.lit("\t----- bird -----\t"), db)
+    return F.concat(sql, F.lit(PAIR), db)
 
 
 def parse_pair(value: Column) -> Column:
     """(sql, db) of an exported pair; null becomes (' ', 'financial')."""
-    parts = F.split(value, "\t----- bird -----\t")
-    return F.when(value.isNull(), F.struct(F.lit(" ").alias("sql"), F.lit("financial").alias("db"))).otherwise(F.struct(F.get(parts, 0).alias("sql"), F.get(parts, 1).alias("db")))
+    parts = F.split(value, PAIR)
+    return F.when(value.isNull(), F.struct(F.lit(" ").alias("sql"), F.lit(NO_DB).alias("db"))).otherwise(F.struct(F.get(parts, 0).alias("sql"), F.get(parts, 1).alias("db")))
 
 
 def mapped_name(name: Column, names: dict[str, str]) -> Column:

@@ -1,13 +1,15 @@
 """Rewriting SQLite spellings to Spark SQL, token by token, outside of string literals.
 
-Beyond spelling, sessions that run such statements switch ANSI mode off (see SETTINGS): division by zero and failing casts then give null. Two differences stay: `/` between integers does
-not truncate, and a cast of text with a leading number gives null instead of that number."""
+Beyond spelling, sessions that run such statements switch ANSI mode off (see SETTINGS): division by zero and failing casts then give null. `/` between integers truncates, a cast of text takes the number that
+the text begins with (0 without one), GLOB becomes a pattern, and LIKE ignores case in sandbox mode only. Numbers keep their value, not always their type: a truncated quotient is a double."""
 
 from __future__ import annotations
 
 import re
 
-_TOKEN = re.compile(r"""'(?:[^']|'')*'|"(?:[^"]|"")*"|\[[A-Za-z_][^\]\n]*\]|[A-Za-z_]\w*|\s+|.""", re.DOTALL)
+_TOKEN = re.compile(r"""'(?:[^']|'')*'|"(?:[^"]|"")*"|`(?:[^`]|``)*`|\[[A-Za-z_][^\]\n]*\]|[A-Za-z_]\w*|\d+(?:\.\d*)?(?:[eE][+-]?\d+)?D?|\.\d+(?:[eE][+-]?\d+)?D?|\s+|.""", re.DOTALL)
+_WHOLE = "('tinyint', 'smallint', 'int', 'bigint')"
+_NUMBER = {"INT": ("bigint", r"^\\s*([+-]?[0-9]+)"), "INTEGER": ("bigint", r"^\\s*([+-]?[0-9]+)"), "BIGINT": ("bigint", r"^\\s*([+-]?[0-9]+)"), "REAL": ("double", r"^\\s*([+-]?[0-9]*\\.?[0-9]+(?:[eE][+-]?[0-9]+)?)"), "FLOAT": ("double", r"^\\s*([+-]?[0-9]*\\.?[0-9]+(?:[eE][+-]?[0-9]+)?)")}
 SETTINGS = {"spark.sql.ansi.enabled": "false"}
 #: Functions that only have another name in Spark.
 RENAMED = {"ifnull": "coalesce", "iif": "if", "total": "sum"}
@@ -41,6 +43,14 @@ def _rewritten(tokens: list[str]) -> str:
             x = "`" + x[1:-1].replace("`", "``") + "`"
         elif x[0] == "'" and len(x) > 1:
             x = x.replace("\\", "\\\\")
+        elif x.upper() == "GLOB" and (at := _next(tokens, k)) < len(tokens) and tokens[at][0] == "'":
+            x, k = f"RLIKE {_glob(tokens[at][1:-1])}", at
+        elif x.upper() == "CAST" and tokens[k + 1 : k + 2] == ["("] and (cast := _cast(tokens, k + 1)):
+            x, k = cast
+        elif x.lower() in ("date", "datetime", "julianday") and tokens[k + 1 : k + 2] == ["("] and (found := _arguments(tokens, k + 1)) and len(found[0]) == 1:
+            (moment,), k = found
+            moment = f"cast({moment} AS timestamp)"
+            x = f"(unix_micros({moment}) / 86400000000D + 2440587.5D)" if x.lower() == "julianday" else f"date_format({moment}, '{'yyyy-MM-dd' if x.lower() == 'date' else 'yyyy-MM-dd HH:mm:ss'}')"
         elif x.lower() in ("group_concat", "strftime") and tokens[k + 1 : k + 2] == ["("] and (found := _arguments(tokens, k + 1)):
             args, k = found
             if x.lower() == "group_concat":
@@ -48,13 +58,107 @@ def _rewritten(tokens: list[str]) -> str:
             else:
                 pattern = re.sub("%.", lambda m: DIRECTIVES.get(m[0], m[0]), args[0])
                 x = f"date_format({args[1]}, {pattern})"
-        else:
+        elif x[0] in ".0123456789" and not x.isdigit() and x != "." and x[-1] != "D":
+            x += "D"  # a double, as with SQLite
+        elif tokens[_next(tokens, k) : _next(tokens, k) + 1] == ["("]:
             x = RENAMED.get(x.lower(), x)
         out.append(x)
         k += 1
     return "".join(out)
 
 
-def to_spark(sql: str) -> str:
-    """Bracketed and double-quoted identifiers become backticked, renamed functions get Spark's name, group_concat and strftime become listagg and date_format, trailing semicolons go."""
-    return _rewritten(_TOKEN.findall(re.sub(r"[;\s]+$", "", sql)))
+def _next(tokens: list[str], k: int) -> int:
+    """The next token that is no white space."""
+    k += 1
+    while k < len(tokens) and tokens[k].isspace():
+        k += 1
+    return k
+
+
+def _glob(pattern: str) -> str:
+    """A GLOB pattern as a literal of a regular expression."""
+    out = "".join({"*": ".*", "?": ".", "[": "[", "]": "]", "^": "^", "-": "-"}.get(c, re.escape(c)) for c in pattern)
+    return "'" + f"(?s)^(?:{out})$".replace("\\", "\\\\") + "'"
+
+
+def _cast(tokens: list[str], at: int) -> tuple[str, int] | None:
+    """CAST(x AS kind), whose parenthesis opens at `at`, for numbers: text gives the number that it begins with."""
+    if not (found := _arguments(tokens, at)) or len(found[0]) != 1:
+        return None
+    m = re.fullmatch(r"(.*\S)\s+AS\s+(\w+)", found[0][0], re.DOTALL | re.IGNORECASE)
+    if not m or m[2].upper() not in _NUMBER:
+        return None
+    kind, pattern = _NUMBER[m[2].upper()]
+    prefix = f"coalesce(try_cast(regexp_extract(cast({m[1]} AS string), '{pattern}', 1) AS {kind}), 0)"
+    return f"(CASE WHEN {m[1]} IS NULL THEN NULL WHEN typeof({m[1]}) = 'string' THEN {prefix} ELSE cast({m[1]} AS {kind}) END)", found[1]
+
+
+def _unit_before(tokens: list[str], k: int) -> int:
+    """Where the operand that ends before token k begins, white space between left in place."""
+    k -= 1
+    while k >= 0 and tokens[k].isspace():
+        k -= 1
+    if k >= 0 and tokens[k] == ")":
+        depth = 0
+        while k >= 0:
+            depth += (tokens[k] == ")") - (tokens[k] == "(")
+            if depth == 0:
+                break
+            k -= 1
+        if k > 0 and re.fullmatch(r"[A-Za-z_]\w*", tokens[k - 1]) and tokens[k - 1].upper() not in ("AND", "OR", "NOT", "IN", "SELECT", "WHERE", "ON", "BY", "THEN", "ELSE", "WHEN", "HAVING", "CASE"):
+            k -= 1
+        return k
+    while k >= 2 and tokens[k - 1] == ".":
+        k -= 2
+    return k
+
+
+def _unit_after(tokens: list[str], k: int) -> int:
+    """Where the operand that begins after token k ends (the token after it)."""
+    k = _next(tokens, k)
+    while k < len(tokens) and tokens[k] in "+-":
+        k = _next(tokens, k)
+    k += tokens[k : k + 1] != ["("]
+    while k + 1 < len(tokens) and tokens[k] == ".":
+        k += 2
+    if k < len(tokens) and tokens[k] == "(":
+        depth = 0
+        while k < len(tokens):
+            depth += (tokens[k] == "(") - (tokens[k] == ")")
+            k += 1
+            if depth == 0:
+                break
+    return k
+
+
+def _divisions(tokens: list[str]) -> list[str]:
+    """Each a / b so that integers truncate. What is multiplied or divided before belongs to a."""
+    k = 0
+    while k < len(tokens):
+        if tokens[k] == "/":
+            begin = _unit_before(tokens, k)
+            while True:  # the chain of factors to the left
+                j = begin - 1
+                while j >= 0 and tokens[j].isspace():
+                    j -= 1
+                if j < 1 or tokens[j] not in ("*", "%"):
+                    break
+                begin = _unit_before(tokens, j)
+            end = _unit_after(tokens, k)
+            if begin < 0 or end > len(tokens):
+                return tokens
+            a, b = "".join(tokens[begin:k]).strip(), "".join(_divisions(tokens[k + 1 : end])).strip()
+            whole = f"typeof({a}) IN {_WHOLE} AND typeof({b}) IN {_WHOLE}"
+            tokens = [*tokens[:begin], "(", f"CASE WHEN {whole} THEN cast(({a}) / ({b}) AS bigint) ELSE ({a}) / ({b}) END", ")", *tokens[end:]]
+            k = begin + 2
+        k += 1
+    return tokens
+
+
+def to_spark(sql: str, sandbox: bool = False) -> str:
+    """Bracketed and double-quoted identifiers become backticked, renamed functions get Spark's name, group_concat, strftime, date, datetime and julianday become Spark's functions, GLOB and casts to numbers and `/` keep
+    SQLite's meaning, trailing semicolons go. In sandbox mode LIKE ignores case."""
+    tokens = _TOKEN.findall(re.sub(r"[;\s]+$", "", sql))
+    if sandbox:
+        tokens = ["ILIKE" if x.upper() == "LIKE" else x for x in tokens]
+    return "".join(_divisions(_TOKEN.findall(_rewritten(tokens)))) if "/" in tokens else _rewritten(tokens)

@@ -117,21 +117,29 @@ def correct_sqls(candidates: DataFrame) -> DataFrame:
     return candidates.where("correct").groupBy("sample_id").agg(F.transform(rows, lambda x: x["sql_text"]).alias("correct_sqls"))
 
 
-def update_by_key(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of target with the values of changes where the key is found; nothing is inserted."""
-    new = [c for c in changes.columns if c not in keys]
-    joined = target.join(changes.select(*keys, *(F.col(c).alias(f"__{c}") for c in new)), list(keys), "left")
-    return joined.select(*(F.coalesce(f"__{c}", c).alias(c) if c in new else c for c in target.columns))
+def _last(rows: DataFrame, keys: Sequence[str], order: str | None) -> DataFrame:
+    """One row a key: the last by `order`, or any where there is none."""
+    if order is None:
+        return rows.dropDuplicates(list(keys))
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
 
 
-def upsert(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """New rows replace those of the same key."""
-    return new.unionByName(target.join(new.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
+def update_by_key(target: DataFrame, changes: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """Rows of target with the values of changes, null among them, where the key is found; nothing is inserted. Of several changes of a key the last by `order` holds."""
+    new = [c for c in changes.columns if c not in keys and c != order]
+    own = _last(changes, keys, order).select(*keys, *(F.col(c).alias(f"__{c}") for c in new), F.lit(True).alias("__found"))
+    joined = target.join(own, list(keys), "left")
+    return joined.select(*(F.when(F.col("__found"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in new else c for c in target.columns))
+
+
+def upsert(target: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """New rows replace those of the same key; of several new rows of a key the last by `order` stays."""
+    return _last(new, keys, order).unionByName(target.join(new.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
 
 
 def insert_ignore(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """New rows whose key target has are ignored."""
-    return target.unionByName(new.join(target.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
+    """New rows whose key target has are ignored, and all but one of new rows with one key."""
+    return target.unionByName(_last(new, keys, None).join(target.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -172,18 +180,14 @@ def stratified(pool: DataFrame, limit: int, order: Sequence[str], stratum: str =
 def prompt_ids(rows: DataFrame, order: Sequence[str], per: int = 100_000) -> DataFrame:
     """prompt_000000, prompt_000001, ... in order. Positions are found by range: ranges are counted, and numbered within; no task gets all rows."""
     parts = max(1, -(-rows.count() // per))
-    if parts == 1:  # `per` rows at most
-        nth = F.row_number().over(Window.orderBy(*order))
-        return rows.withColumn("prompt_id", F.format_string("prompt_%06d", nth - 1))
-    # ranges are found by sampling, so they are fixed in the session's checkpoint folder before they are counted
-    dealt = rows.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()).checkpoint()
-    counts = {r["__p"]: r["count"] for r in dealt.groupBy("__p").count().collect()}  # one row a range
-    ahead, at = {}, 0
-    for p in sorted(counts):
-        ahead[p], at = at, at + counts[p]
-    base = F.create_map(*(F.lit(x) for kv in ahead.items() for x in kv))[F.col("__p")]
+    dealt = rows.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
+    if parts > 1:  # ranges are found by sampling, so they are fixed before they are counted
+        dealt = dealt.checkpoint()
+    ahead = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    counts = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__c")).select("__p", ahead.alias("__ahead"))
     nth = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return dealt.withColumn("prompt_id", F.format_string("prompt_%06d", base + nth - 1)).drop("__p")
+    numbered = dealt.withColumn("__nth", nth).join(counts, "__p")
+    return numbered.withColumn("prompt_id", F.format_string("prompt_%06d", F.col("__ahead") + F.col("__nth") - 1)).drop("__p", "__nth", "__ahead")
 
 
 def sft_rows(pool: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -192,6 +196,13 @@ def sft_rows(pool: DataFrame, order: Sequence[str]) -> DataFrame:
     return prompt_ids(kept, order).select("prompt_id", "sample_id", append_answer(F.col("messages"), F.col("response")).alias("messages"), "model_name")
 
 
+def verdicts_of(chosen: DataFrame, verdicts: DataFrame, keys: Sequence[str] = ("db_id",), sql: str = "sql_text", verdict: str = "verdict") -> DataFrame:
+    """The chosen statements with the verdict on them, by keys and normalised SQL; where a statement was judged more than once, a 0 wins."""
+    normal = normalize_sql(F.col(sql)).alias("normal_sql")
+    least = verdicts.select(*keys, normal, verdict).groupBy(*keys, "normal_sql").agg(F.min(verdict).alias(verdict))
+    return chosen.withColumn("normal_sql", normalize_sql(F.col(sql))).join(least, [*keys, "normal_sql"])
+
+
 def columns_by_table(rows: DataFrame, key: str, columns: str) -> DataFrame:
     """key, table and its sorted columns, from arrays of `table.column`."""
     flat = rows.select(key, F.explode(columns).alias("__c")).where(F.contains("__c", F.lit(".")))

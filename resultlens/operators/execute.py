@@ -63,13 +63,14 @@ def selects(sql: str) -> bool:
     return sql.lstrip().lower().startswith(("select", "with", "explain"))
 
 
-def plan(own: SparkSession, catalog: Catalog, dataset: str, db: str, sql: str) -> DataFrame:
-    """The statement as a DataFrame over the database's tables, as views of the session (which should be one of its own). Raises on commands, and on SQL that does not parse."""
+def plan(own: SparkSession, catalog: Catalog, dataset: str, db: str, sql: str, sandbox: bool = False) -> DataFrame:
+    """The statement as a DataFrame over the database's tables that it may name, as views of the session (which should be one of its own). Raises on commands, and on SQL that does not parse."""
     for key, value in SETTINGS.items():
         own.conf.set(key, value)
     for name, path in catalog.tables(own, dataset, db).items():
-        own.read.parquet(path).createOrReplaceTempView(name)
-    text = to_spark(sql)
+        if name.lower() in sql.lower():
+            own.read.parquet(path).createOrReplaceTempView(name)
+    text = to_spark(sql, sandbox)
     parsed = own._jsparkSession.sessionState().sqlParser().parsePlan(text)
     if kind_of(sql) != "EXPLAIN" and _is_command(own, parsed):
         raise ValueError("only queries run in read-only mode")
@@ -103,7 +104,7 @@ def execute(spark: SparkSession, catalog: Catalog, request: Request) -> Envelope
         jobs.setInterruptOnCancel(True)
         jobs.addJobTag(tag)
         try:
-            found = plan(own, catalog, request.dataset, request.db, request.sql).limit(request.max_rows).toPandas()
+            found = plan(own, catalog, request.dataset, request.db, request.sql, request.mode != "read_only").limit(request.max_rows).toPandas()
         except Exception as e:  # every failure of user SQL is an outcome
             text = str(e).split("\n\nJVM stacktrace")[0]
             return Envelope(False, kind, error="interrupted" if late.is_set() else text, timed_out=late.is_set())

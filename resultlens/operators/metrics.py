@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import error_class
+from ..functions.text import error_class, strip
 
 
 def recall_at_n(candidates: DataFrame) -> DataFrame:
     """recall (any candidate correct), has_sql_rate, n_samples, n_failed."""
-    per = candidates.groupBy("sample_id").agg(F.bool_or("correct").alias("any_correct"), F.bool_or(F.coalesce(F.trim("sql_text"), F.lit("")) != "").alias("any_sql"))
+    per = candidates.groupBy("sample_id").agg(F.bool_or("correct").alias("any_correct"), F.bool_or(F.coalesce(strip(F.col("sql_text")), F.lit("")) != "").alias("any_sql"))
     return per.agg(
         F.round(F.avg(F.col("any_correct").cast("int")), 6).alias("recall"), F.round(F.avg(F.col("any_sql").cast("int")), 6).alias("has_sql_rate"), F.count(F.lit(1)).alias("n_samples"), F.count_if(~F.col("any_correct")).alias("n_failed")
     )
@@ -104,7 +104,7 @@ def pair_quality(pairs: DataFrame) -> DataFrame:
     """For candidates with pred_ok, gold_ok, equal, errors and row counts: one record with every failure path as false, 0 or empty."""
     both = F.col("pred_ok") & F.coalesce("gold_ok", F.lit(False))
     return pairs.withColumns({
-        "has_sql": F.coalesce(F.trim("sql_text"), F.lit("")) != "",
+        "has_sql": F.coalesce(strip(F.col("sql_text")), F.lit("")) != "",
         "execution_correct": F.coalesce(both & F.col("equal"), F.lit(False)),
         "pred_error": F.when(F.col("pred_ok"), "").otherwise(F.coalesce("pred_error", F.lit(""))),
         "pred_rows": F.when(F.col("pred_ok"), F.coalesce("pred_rows", F.lit(0))).otherwise(0).cast("long"),
@@ -114,7 +114,7 @@ def pair_quality(pairs: DataFrame) -> DataFrame:
 
 def verdict(pairs: DataFrame) -> DataFrame:
     """verdict_ok and reason by the first condition that holds."""
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    blank = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) == ""
     reason = (
         F.when(blank("db_id"), "missing dataset or db")
         .when(blank("pred_sql"), "missing predicted sql")

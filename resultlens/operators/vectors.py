@@ -1,7 +1,7 @@
 """Vector memory: filtered nearest neighbours, centroids, contrastive and intrinsic scores, gated inserts.
 
-Neighbour search is exact. Probes (few) meet the memory through a nested-loop join whose probe side is broadcast only up to ``MAX_PROBES`` rows, checked; beyond that probes are
-taken in blocks of that size, each against the whole memory. Top-k is taken per probe with a window whose limit Spark pushes into both sides of the shuffle."""
+Neighbour search is exact. Probes (few) meet the memory through a nested-loop join whose probe side is broadcast only up to ``MAX_PROBES`` rows, checked; beyond that blocks of probes and of
+memory meet in pairs, in one plan. Top-k is taken per probe with a window whose limit Spark pushes into both sides of the shuffle."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, l2_squared
 
-MAX_PROBES = 10_000
+MAX_PROBES, MEMORY_BLOCK = 10_000, 100_000
 SCOPES = ("other", "same", "any")
 
 
@@ -21,17 +21,20 @@ def nearest(probes: DataFrame, memory: DataFrame, k: int, scope: str = "any", dr
     if scope not in SCOPES:
         raise ValueError(f"no such scope: {scope}")
     p = probes.select(F.col("id").alias("probe_id"), F.col("db_id").alias("probe_db"), F.col("embedding").alias("probe"))
+    # theta join: the memory against a bounded block of probes, or blocks of both sides dealt in pairs, where a task gets one block of each
+    cond = {"other": F.col("db_id") != F.col("probe_db"), "same": F.col("db_id") == F.col("probe_db"), "any": F.lit(True)}[scope]
     n = p.count()
-    parts = [p] if n <= MAX_PROBES else [p.where(F.pmod(F.xxhash64("probe_id"), F.lit(-(-n // MAX_PROBES))) == b) for b in range(-(-n // MAX_PROBES))]
-    found = None
-    for part in parts:
-        # theta join: every vector of the memory against a bounded block of probes
-        cond = {"other": F.col("db_id") != F.col("probe_db"), "same": F.col("db_id") == F.col("probe_db"), "any": F.lit(True)}[scope]
-        one = memory.join(F.broadcast(part), cond)
-        one = one.select("probe_id", "probe_db", "id", "db_id", l2_squared(F.col("embedding"), F.col("probe")).alias("distance"))
-        place = F.row_number().over(Window.partitionBy("probe_id").orderBy("distance", "id"))
-        one = one.withColumn("place", place.cast("long")).where(F.col("place") <= k)
-        found = one if found is None else found.unionByName(one)
+    if n <= MAX_PROBES:
+        one = memory.join(F.broadcast(p), cond)
+    else:
+        a, b = -(-n // MAX_PROBES), max(1, -(-memory.count() // MEMORY_BLOCK))
+        each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        mine = p.withColumn("__a", F.pmod(F.xxhash64("probe_id"), F.lit(a)).cast("int")).withColumn("__b", each(b))
+        other = memory.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int")).withColumn("__a", each(a))
+        one = other.join(mine, ["__a", "__b"]).where(cond)
+    one = one.select("probe_id", "probe_db", "id", "db_id", l2_squared(F.col("embedding"), F.col("probe")).alias("distance"))
+    place = F.row_number().over(Window.partitionBy("probe_id").orderBy("distance", "id"))
+    found = one.withColumn("place", place.cast("long")).where(F.col("place") <= k)
     if drop_same_after:
         found = found.where("db_id != probe_db")
     return found.select("probe_id", "id", "distance", "place")
@@ -71,12 +74,27 @@ def intrinsic(score: Column, beta_s: float = 0.5, beta_e: float = 0.5, explorati
     return beta_s * (score + 1) / 2 + beta_e * exploration
 
 
+def greatest_cosine(probes: DataFrame, memory: DataFrame) -> DataFrame:
+    """probe_id and similarity, the greatest cosine with any vector of the memory. Pairs never leave their task: each keeps its greatest value by probe."""
+    p = probes.select(F.col("id").alias("probe_id"), F.col("embedding").alias("probe"))
+    n = p.count()
+    vectors = memory.select("id", "embedding")
+    if n <= MAX_PROBES:
+        pairs = vectors.join(F.broadcast(p))
+    else:
+        a, b = -(-n // MAX_PROBES), max(1, -(-vectors.count() // MEMORY_BLOCK))
+        each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        mine = p.withColumn("__a", F.pmod(F.xxhash64("probe_id"), F.lit(a)).cast("int")).withColumn("__b", each(b))
+        pairs = vectors.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int")).withColumn("__a", each(a)).join(mine, ["__a", "__b"])
+    return pairs.groupBy("probe_id").agg(F.max(cosine(F.col("embedding"), F.col("probe"))).alias("similarity"))
+
+
 def exploit_explore(probes: DataFrame, memory: DataFrame) -> DataFrame:
     """exploit: minus the distance to the centroid of correct vectors (0 without any). explore: 1 minus the best cosine with incorrect ones (1 without any). memory: is_correct (null: true)."""
     flagged = memory.withColumn("is_correct", F.coalesce("is_correct", F.lit(True)))
     mean = centroid(flagged.where("is_correct").withColumn("one", F.lit(1)), "one")  # one row
     wrong = flagged.where("NOT is_correct").select("id", "db_id", "embedding")
-    best = _best(probes, nearest(probes, wrong, 1_000_000_000), wrong, "best")
+    best = greatest_cosine(probes, wrong).withColumnRenamed("similarity", "best")
     out = probes.select(F.col("id").alias("probe_id"), "embedding", F.lit(1).alias("one")).join(F.broadcast(mean), "one", "left").join(best, "probe_id", "left")
     exploit = F.when(F.col("centroid").isNotNull(), -F.sqrt(l2_squared(F.col("embedding"), F.col("centroid")))).otherwise(0.0)
     explore = F.when(F.col("best").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("best"))).otherwise(1.0)  # a cosine may round to over 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import all_zero, first_line, is_infra
+from ..functions.text import all_zero, first_line, is_infra, strip
 
 VALUES = "SUCCESS_VALUES:"
 
@@ -18,7 +18,7 @@ def groups(signed: DataFrame) -> DataFrame:
 def _useful() -> Column:
     """Whether a group holds values that are neither empty nor all zero."""
     value = F.substring("signature", len(VALUES) + 1, 1 << 30)
-    return F.startswith("signature", F.lit(VALUES)) & (F.trim(value) != "") & ~all_zero(value)
+    return F.startswith("signature", F.lit(VALUES)) & (strip(value) != "") & ~all_zero(value)
 
 
 def ranked(grouped: DataFrame, strategy: str = "vav") -> DataFrame:

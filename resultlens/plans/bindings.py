@@ -103,10 +103,10 @@ def memory(spark: SparkSession, d: str) -> DataFrame:
 
 
 def probes(spark: SparkSession, d: str) -> DataFrame:
-    return memory(spark, d).where("id < 20").select("id", "db_id", "embedding")
+    return memory(spark, d).where("id % 100 = 0").select("id", "db_id", "embedding")
 
 
-MEMORY = "memory AS (SELECT vec_id AS id, label AS db_id, CAST(embedding AS DOUBLE[]) AS embedding, vec_id % 4 <> 0 AS is_correct FROM embeddings), probes AS (SELECT * FROM memory WHERE id < 20)"
+MEMORY = "memory AS (SELECT vec_id AS id, label AS db_id, CAST(embedding AS DOUBLE[]) AS embedding, vec_id % 4 <> 0 AS is_correct FROM embeddings), probes AS (SELECT * FROM memory WHERE id % 100 = 0)"
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:

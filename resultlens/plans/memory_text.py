@@ -55,15 +55,14 @@ def _(spark, d):
     return b.thoughts(spark, d).select("doc_id", F.round(text.bigram_ttr(F.col("text")), 6).alias("ttr"))
 
 
-_HITS = "list_sum(list_transform(list_filter(cols, lambda c: c <> ''), lambda c: len(regexp_extract_all(lower(text), '\\b' || c || '\\b'))))"
+_HITS = "list_sum(list_transform(list_filter(cols, lambda c: c <> ''), lambda c: len(regexp_extract_all(' ' || regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_]', '  ', 'g'), '^|$', ' ', 'g') || ' ', ' ' || c || ' '))))"
 
 
-@query("quality_gate", f"""WITH {_TH}, g AS (SELECT doc_id, n_words, coalesce({_HITS}, 0) AS hits, {_TTR} AS ttr, len(list_filter(cols, lambda c: c <> '')) AS n_cols FROM words WHERE regexp_full_match(text, '[\\x00-\\x7F]*')),
+@query("quality_gate", f"""WITH {_TH}, g AS (SELECT doc_id, n_words, coalesce({_HITS}, 0) AS hits, {_TTR} AS ttr, len(list_filter(cols, lambda c: c <> '')) AS n_cols FROM words),
 s AS (SELECT *, hits / CAST(greatest(n_words, 1) AS DOUBLE) AS density, n_words BETWEEN 30 AND 2000 AND n_cols > 0 AS possible FROM g)
 SELECT doc_id, round(CASE WHEN possible THEN CAST(0.33 AS DOUBLE) * (CASE WHEN n_words < 50 THEN 0 ELSE 1 END) + CAST(0.33 AS DOUBLE) * least(1.0, 10 * density) + CAST(0.34 AS DOUBLE) * ttr ELSE 0 END, 6) AS score, possible AND hits >= 2 AND density >= 0.05 AND ttr >= 0.6 AS accepted FROM s""")
 def _(spark, d):
-    th = b.thoughts(spark, d).where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return text.quality_gate(th, "text", text.prompt_columns(F.col("prompt"))).select("doc_id", F.round("score", 6).alias("score"), "accepted")
+    return text.quality_gate(b.thoughts(spark, d), "text", text.prompt_columns(F.col("prompt"))).select("doc_id", F.round("score", 6).alias("score"), "accepted")
 
 
 @query("content_id_sha1", f"WITH {b.THOUGHTS} SELECT doc_id, 'mem_' || sha1('set' || chr(0) || db_id || chr(0) || text) AS id FROM thoughts")
@@ -129,15 +128,14 @@ def _(spark, d):
     return vectors.exploit_explore(b.probes(spark, d), b.memory(spark, d)).select("probe_id", F.round("exploit", 6).alias("exploit"), F.round("explore", 6).alias("explore"))
 
 
-@query("near_dup_candidates", f"""WITH {b.MEMORY}, old AS (SELECT * FROM memory WHERE id >= 20), near AS {_near("true", "old", 1)} SELECT probe_id AS id, id AS nearest_id, {_COS.format("e", "p")} < 0.9 AS is_new, round({_COS.format("e", "p")}, 6) AS similarity FROM near""")
+@query("near_dup_candidates", f"""WITH {b.MEMORY}, old AS (SELECT * FROM memory WHERE id % 100 <> 0), near AS {_near("true", "old", 1)} SELECT probe_id AS id, id AS nearest_id, {_COS.format("e", "p")} < 0.9 AS is_new, round({_COS.format("e", "p")}, 6) AS similarity FROM near""")
 def _(spark, d):
-    return vectors.near_duplicates(b.probes(spark, d), b.memory(spark, d).where("id >= 20")).select("id", "nearest_id", "is_new", F.round("similarity", 6).alias("similarity"))
+    return vectors.near_duplicates(b.probes(spark, d), b.memory(spark, d).where("id % 100 != 0")).select("id", "nearest_id", "is_new", F.round("similarity", 6).alias("similarity"))
 
 
-@query("insert_if_absent", "SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 <> 0 UNION SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0")
+@query("insert_if_absent", "SELECT vec_id AS id FROM embeddings UNION SELECT doc_id FROM documents")
 def _(spark, d):
-    m = b.memory(spark, d).select("id")
-    return vectors.insert_if_absent(m.where("id % 3 != 0"), m.where("id % 2 = 0"))
+    return vectors.insert_if_absent(b.memory(spark, d).select("id"), b.t(spark, d, "documents").select(F.col("doc_id").alias("id")))
 
 
 @query("gt_cache_join", f"WITH {b.CAND}, {b.GT_CACHE} SELECT c.result_id, sample_id, status, n_rows FROM cand c LEFT JOIN gt_cache USING (result_id)")
@@ -213,16 +211,17 @@ def _(spark, d):
     return etl.update_by_key(o, o.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
 
 
-@query("upsert_replace", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 5 = 0")
+@query("upsert_replace", "SELECT o_orderkey AS k, o_orderstatus AS v FROM orders UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_orderkey FROM orders)")
 def _(spark, d):
-    o = b.t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return etl.upsert(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
+    o, c = b.t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v")), b.t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
+    return etl.upsert(c, o, ["k"])
 
 
-@query("insert_ignore", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'X' END AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 5 = 0")
+@query("insert_ignore", "SELECT c_custkey AS k, c_mktsegment AS v FROM customer UNION ALL SELECT DISTINCT -1 - o_custkey, 'new' FROM orders")
 def _(spark, d):
-    o = b.t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return etl.insert_ignore(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
+    c, o = b.t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v")), b.t(spark, d, "orders")
+    new = o.select(F.col("o_custkey").alias("k"), F.lit("ignored").alias("v")).unionByName(o.select((-1 - F.col("o_custkey")).alias("k"), F.lit("new").alias("v")))
+    return etl.insert_ignore(c, new, ["k"])
 
 
 @query("ckpt_improvements", f"WITH {b.RUNS} SELECT sample_id, coalesce(difficulty, 'unknown') AS difficulty, n_chars FROM runs WHERE NOT cp0_ok AND cpn_ok")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
+from ..operators import execute
+from ..sources.catalog import Catalog
 from .catalogue import query
 
 STATEMENTS = {
@@ -38,17 +38,62 @@ STATEMENTS = {
     "sql_pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus",
     "sql_star_join": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_nationkey = s_nationkey GROUP BY n_name",
 }
-_TABLE = re.compile(r"\b(region|nation|customer|supplier|part|orders|lineitem|events)\b")
+#: Statements in the spelling of the databases that the engine stands in for, with the same for the independent engine.
+SPELLED = {
+    "exec_scan_limit": ('SELECT [o_orderkey], "o_totalprice" FROM orders ORDER BY o_orderkey LIMIT 100;', "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100"),
+    "exec_right_join": ("SELECT n_name, r_name FROM region RIGHT JOIN nation ON n_regionkey = r_regionkey AND r_name LIKE 'A%'", None),
+    "exec_integer_division": ("SELECT o_orderkey, o_orderkey / 7 AS q, -o_orderkey * 3 / 2 AS r, (o_orderkey + 1) / (o_custkey - o_custkey) AS none, o_totalprice / 2 AS h, 7 / 2.0 AS f FROM orders",
+        "SELECT o_orderkey, CAST(o_orderkey // 7 AS DOUBLE) AS q, CAST(trunc(-o_orderkey * 3 / 2) AS DOUBLE) AS r, CAST(NULL AS DOUBLE) AS none, o_totalprice / 2 AS h, CAST(3.5 AS DOUBLE) AS f FROM orders"),
+    "exec_cast_prefix": ("SELECT c_custkey, CAST(substr(c_name, 10) || 'abc' AS INTEGER) AS n, CAST(c_mktsegment AS INTEGER) AS zero, CAST(c_acctbal AS INTEGER) AS whole FROM customer",
+        "SELECT c_custkey, CAST(substr(c_name, 10) AS BIGINT) AS n, CAST(0 AS BIGINT) AS zero, CAST(trunc(c_acctbal) AS BIGINT) AS whole FROM customer"),
+    "exec_glob": ("SELECT p_partkey FROM part WHERE p_brand GLOB 'Brand#[12]?' AND NOT p_name GLOB '*z*'", "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#[12].') AND NOT contains(p_name, 'z')"),
+    "exec_dates": ("SELECT o_orderkey, date(o_orderdate) AS day, julianday(o_orderdate) - julianday('1992-01-01') AS days, strftime('%Y-%m', o_orderdate) AS month FROM orders",
+        "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, epoch(o_orderdate - TIMESTAMP '1992-01-01') / 86400 AS days, strftime(o_orderdate, '%Y-%m') AS month FROM orders"),
+    "exec_group_concat": ("SELECT n_regionkey, count(*) AS n, group_concat(DISTINCT n_regionkey) AS keys, total(n_nationkey) AS t, iif(n_regionkey > 2, 'high', 'low') AS half FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, count(*) AS n, CAST(n_regionkey AS VARCHAR) AS keys, CAST(sum(n_nationkey) AS BIGINT) AS t, CASE WHEN n_regionkey > 2 THEN 'high' ELSE 'low' END AS half FROM nation GROUP BY n_regionkey"),
+    "exec_null_order": ("SELECT k FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 3 UNION ALL SELECT NULL) t ORDER BY k LIMIT 2", "SELECT k FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 3 UNION ALL SELECT NULL) t ORDER BY k NULLS FIRST LIMIT 2"),
+    "exec_last_of_equal_names": ("SELECT r_regionkey AS k, r_regionkey + 1 AS k FROM region", "SELECT r_regionkey + 1 AS k FROM region"),
+}
+#: LIKE of sandbox mode ignores case.
+SANDBOX = {"exec_sandbox_like": ("SELECT p_partkey FROM part WHERE p_brand LIKE 'BRAND#1%'", "SELECT p_partkey FROM part WHERE p_brand ILIKE 'BRAND#1%'")}
+#: Statements and modes whose envelopes are compared, and what they are to hold.
+ENVELOPES = (
+    ("select", "SELECT r_name FROM region ORDER BY r_name", "read_only", "true, 'SELECT', 5, false, false"),
+    ("capped", "SELECT n_name FROM nation ORDER BY n_name", "read_only", "true, 'SELECT', 10, false, false"),
+    ("empty", "SELECT n_name FROM nation WHERE 1 = 0", "read_only", "true, 'SELECT', 0, false, false"),
+    ("write", " delete from nation", "read_only", "false, 'DELETE', NULL, false, true"),
+    ("sandboxed write", "DELETE FROM nation", "sandbox_rollback", "true, 'DELETE', NULL, true, false"),
+    ("command", "SHOW TABLES", "read_only", "false, 'SHOW', NULL, false, true"),
+    ("no such column", "SELECT nothing FROM nation", "read_only", "false, 'SELECT', NULL, false, true"),
+    ("nothing", "  ", "read_only", "false, 'UNKNOWN', NULL, false, true"),
+)
+
+
+def _database(d: str) -> tuple[Catalog, str]:
+    """The tables below d as a database of a catalogue."""
+    root, name = d.rstrip("/").rsplit("/", 1)
+    top, folder = root.rsplit("/", 1)
+    return Catalog(top, roots={"set": [folder]}), name
 
 
-def _register(name: str, sql: str) -> None:
-    @query(name, sql)
+def _register(name: str, sql: str, other: str | None = None, sandbox: bool = False) -> None:
+    @query(name, other or sql.rstrip(";"))
     def _(spark, d):
-        own = spark.newSession()
-        for table in sorted(set(_TABLE.findall(sql))):
-            own.read.parquet(f"{d}/{table}.parquet").createOrReplaceTempView(table)
-        return own.sql(sql)
+        catalog, db = _database(d)
+        return execute.plan(spark.newSession(), catalog, "set", db, sql, sandbox)
 
 
 for _name, _sql in STATEMENTS.items():
     _register(_name, _sql)
+for _name, (_sql, _other) in SPELLED.items():
+    _register(_name, _sql, _other)
+for _name, (_sql, _other) in SANDBOX.items():
+    _register(_name, _sql, _other, True)
+
+
+@query("exec_envelopes", "SELECT * FROM (VALUES " + ", ".join(f"('{name}', {held})" for name, _, _, held in ENVELOPES) + ") t(name, ok, kind, row_count, has_notice, has_error)")
+def _(spark, d):
+    catalog, db = _database(d)
+    found = [(name, execute.execute(spark, catalog, execute.Request("set", db, sql, mode, max_rows=10))) for name, sql, mode, _ in ENVELOPES]
+    rows = [(name, e.ok, e.statement_type, e.row_count, e.notice is not None, e.error is not None) for name, e in found]
+    return spark.createDataFrame(rows, "name string, ok boolean, kind string, row_count long, has_notice boolean, has_error boolean")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import export_line, export_pair
-from ..operators.etl import keep_larger
+from ..operators.etl import keep_larger, prompt_ids
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -61,9 +61,24 @@ def pairs_export(rows: DataFrame) -> DataFrame:
 
 
 def lines_export(rows: DataFrame) -> DataFrame:
-    """sample_id, line (its place), value: one line of SQL a sample."""
+    """line (its place, from 0), sample_id, value: one line of SQL a sample, in the order of sample_id. line and sample_id are the index mapping."""
     ordered = rows.select(F.col("sample_id").cast("long").alias("sample_id"), export_line(F.col("sql")).alias("value"))
-    return ordered.orderBy("sample_id")
+    numbered = prompt_ids(ordered, ["sample_id", "value"]).withColumn("line", F.substring("prompt_id", 8, 20).cast("long"))
+    return numbered.select("line", "sample_id", "value").orderBy("line")
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """path/lines (text, in order) and path/mapping (line, sample_id)."""
+    out = lines_export(rows)
+    out.select("value").write.mode("overwrite").text(f"{path}/lines")
+    out.select("line", "sample_id").write.mode("overwrite").option("header", "true").csv(f"{path}/mapping")
+
+
+def write_samples(samples: DataFrame, rows: DataFrame, path: str, key: str = "instance_id") -> None:
+    """A folder for each sample below result (its rows as CSV), sql (its statement) and log (its log). samples: key, sql, log; rows: key and the columns of the results."""
+    write_per_sample(rows, f"{path}/result", key)
+    for name in ("sql", "log"):
+        samples.select(key, F.coalesce(name, F.lit("")).alias("value")).write.mode("overwrite").partitionBy(key).text(f"{path}/{name}")
 
 
 def train_test(rows: DataFrame, path: str, order: str = "prompt_id", test: int = 10) -> None:

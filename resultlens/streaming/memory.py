@@ -9,19 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.vectors import near_duplicates
 
 
 def greedy_new(rows: pd.DataFrame, threshold: float) -> np.ndarray:
     """Which rows of one collection, in order, are less alike than the threshold to all rows kept before."""
-    kept: list[np.ndarray] = []
     keep = np.zeros(len(rows), bool)
+    kept, n = np.zeros((0, 0)), 0
     for k, e in enumerate(rows["embedding"]):
         v = np.asarray(e, float)
         v = v / max(np.linalg.norm(v), 1e-8)
-        if not kept or float(np.max(np.stack(kept) @ v)) < threshold:
-            kept.append(v)
+        if not n or float(np.max(kept[:n] @ v)) < threshold:
+            if n == len(kept):
+                kept = np.concatenate([kept.reshape(-1, len(v)), np.zeros((max(64, n), len(v)))])
+            kept[n] = v
+            n += 1
             keep[k] = True
     return keep
 
@@ -42,22 +46,29 @@ def grow_memory(stream: DataFrame, path: str, checkpoint: str, threshold: float
     """Feed a stream of vectors into the memory table at path; each batch sees all that earlier ones added."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        memory = _read(spark, path, batch)
-        # rewritten by batch, so a batch that runs again leaves no second copy
-        admit(batch, memory.where(F.col("batch_id") < batch_id).drop("batch_id"), threshold).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/part={batch_id}")
+        # only what earlier batches wrote counts, and a batch that runs again writes its own part anew
+        memory = _earlier(batch.sparkSession, path, batch_id, batch.schema)
+        memory = batch.limit(0) if memory is None else memory
+        admit(batch, memory, threshold).write.mode("overwrite").parquet(_part(path, batch_id))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    schema = like.withColumn("batch_id", F.lit(0)).schema
-    try:
-        return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+def _part(path: str, batch_id: int) -> str:
+    return f"{path.rstrip('/')}/part={batch_id}"
+
+
+def _earlier(spark: SparkSession, path: str, batch_id: int, schema: StructType | None = None) -> DataFrame | None:
+    """What earlier batches wrote at path; parts of this batch and later ones (a run that was broken off) are left out. None if there is nothing."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return None
+    names = [f.getPath().getName() for f in fs.listStatus(hadoop) if f.isDirectory()]
+    earlier = [f"{path.rstrip('/')}/{n}" for n in names if n.startswith("part=") and int(n[5:]) < batch_id]
+    if not earlier:
+        return None
+    return (spark.read.schema(schema) if schema else spark.read).parquet(*earlier)
 
 
 def missing(entries: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,15 +80,10 @@ def fill_cache(stream: DataFrame, cache_path: str, checkpoint: str, keys: list[s
     """Compute and append what the cache lacks, batch by batch. compute gives rows with the cache's columns, `status` among them."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            cache = spark.read.option("recursiveFileLookup", "true").parquet(cache_path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            cache = None
+        batch = batch.dropna(subset=keys)  # an entry without a part of its key can't be looked up
+        cache = _earlier(batch.sparkSession, cache_path, batch_id)
         todo = batch.dropDuplicates(keys) if cache is None else missing(batch, cache, keys)
-        compute(todo).write.mode("overwrite").parquet(f"{cache_path}/part={batch_id}")
+        compute(todo).write.mode("overwrite").parquet(_part(cache_path, batch_id))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

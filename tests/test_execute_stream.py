@@ -54,7 +54,11 @@ def test_names_do_not_leave_the_root():
 
 def test_files(spark, tmp_path):
     rows = spark.createDataFrame([("2", "q2", "SELECT\n 2", "b"), ("10", "q10", " ", "a")], "sample_id string, question string, sql string, db_id string")
-    assert [r["value"] for r in sinks.lines_export(rows).collect()] == ["SELECT 2", "SELECT 1"]
+    assert [tuple(r) for r in sinks.lines_export(rows).collect()] == [(0, 2, "SELECT 2"), (1, 10, "SELECT 1")]
+    sinks.write_lines(rows, str(tmp_path / "lines"))
+    assert spark.read.option("header", "true").csv(str(tmp_path / "lines/mapping")).count() == 2
+    sinks.write_samples(rows.withColumn("log", F.lit("fine")), rows.select("sample_id", "question"), str(tmp_path / "samples"), "sample_id")
+    assert (tmp_path / "samples/sql/sample_id=2").exists() and (tmp_path / "samples/result/sample_id=10").exists()
     assert sinks.pairs_export(rows).count() == 2
     (tmp_path / "gold.sql").write_text("SELECT 1\tdb1\nSELECT 2\tdb2\n")
     assert [tuple(r) for r in readers.gold_lines(spark, str(tmp_path / "gold.sql")).orderBy("sample_idx").collect()] == [(0, "SELECT 1", "db1"), (1, "SELECT 2", "db2")]
@@ -91,6 +95,21 @@ def test_cache_takes_what_is_missing(spark, tmp_path):
     assert spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "c")).count() == 4
 
 
+def test_batches_that_run_again_lose_nothing(spark, tmp_path):
+    """A retry of a batch, as after a crash, and of an earlier one."""
+    source = tmp_path / "in"
+    for k in range(3):
+        spark.createDataFrame([(k, str(k), "c", 1, [float(k == 0), float(k == 1), float(k == 2)]), (k + 3, str(k + 3), "c", 1, [1.0, 0.0, 0.0])], "arrival int, id string, collection string, db_id int, embedding array<float>").coalesce(1).write.mode("append").parquet(str(source))
+    schema = spark.read.parquet(str(source)).schema
+    for again in range(2):  # a lost checkpoint makes every batch run again
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        memory.grow_memory(stream, str(tmp_path / "mem"), str(tmp_path / f"ck{again}")).awaitTermination()
+        assert spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "mem")).count() == 3
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        memory.fill_cache(stream.select("id"), str(tmp_path / "c"), str(tmp_path / f"cc{again}"), ["id"], lambda df: df.withColumn("status", F.lit("rows"))).awaitTermination()
+        assert spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "c")).count() == 6
+
+
 def test_reward_callback(spark):
     call = as_callback(spark, lambda df: df.select("row", F.length("completion").cast("double").alias("reward")))
     assert call(["p", "q"], ["abc", "a"], db=["x", "y"]) == [3.0, 1.0]
