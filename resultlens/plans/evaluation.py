@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import compare, text
-from ..operators import metrics, vote
+from ..operators import etl, metrics, vote
 from . import bindings as b
 from .catalogue import query
 
@@ -70,6 +70,27 @@ _equality("result_eq_named", "named", "c1 || '|' || c2 || '|' || c3")
 _equality("result_eq_raw", "raw", "c2 || '|' || c1 || '|' || c3")
 
 
+@query("result_eq_with_bars", f"""WITH {b.CAND}, {b.PAIRS}, texts AS (SELECT l_orderkey AS result_id, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag || '|s' || l_linestatus ELSE l_returnflag END AS c1, CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate::DATE::VARCHAR ELSE l_linestatus || '|s' || l_shipdate::DATE END AS c2, l_discount AS c3 FROM lineitem),
+sets AS (SELECT result_id, list_sort(list(DISTINCT {{'a': c1, 'b': c2, 'c': c3}})) AS keys FROM texts GROUP BY result_id)
+SELECT p.sample_id, p.idx, coalesce(x.keys, []) = coalesce(y.keys, []) AS equal FROM pairs p LEFT JOIN sets x ON x.result_id = pred_id LEFT JOIN sets y ON y.result_id = gold_id""")
+def _(spark, d):
+    li = b.t(spark, d, "lineitem")
+    even, day = F.col("l_linenumber") % 2 == 0, F.col("l_shipdate").cast("date").cast("string")
+    cells = li.select(
+        F.col("l_orderkey").alias("result_id"), F.when(even, F.concat("l_returnflag", F.lit("|s"), "l_linestatus")).otherwise(F.col("l_returnflag")).alias("c1"),
+        F.when(even, day).otherwise(F.concat("l_linestatus", F.lit("|s"), day)).alias("c2"), F.col("l_discount").alias("c3"),
+    )
+    return compare.compare_sets(b.pairs(spark, d), cells, ["c1", "c2", "c3"], "positional").select("sample_id", "idx", "equal")
+
+
+@query("verdict_join", f"""WITH {b.CAND}, v AS (SELECT sample_id, regexp_replace(trim(regexp_replace(sql_text, '[;\\s]+$', '')), '\\s+', ' ', 'g') AS normal_sql, min(result_id % 2) AS verdict FROM cand WHERE ok GROUP BY ALL)
+SELECT c.result_id, v.normal_sql, CAST(v.verdict AS BIGINT) AS verdict FROM cand c JOIN v ON v.sample_id = c.sample_id AND v.normal_sql = regexp_replace(trim(regexp_replace(c.sql_text, '[;\\s]+$', '')), '\\s+', ' ', 'g')""")
+def _(spark, d):
+    c = b.cand(spark, d)
+    judged = c.where("ok").select("sample_id", "sql_text", (F.col("result_id") % 2).alias("verdict"))
+    return etl.verdicts_of(c, judged, ["sample_id"]).select("result_id", "normal_sql", "verdict")
+
+
 @query("result_signature", f"""WITH {b.CAND}, {b.CELLS}, keys AS (SELECT result_id, string_agg(k, ';' ORDER BY k) AS v FROM (SELECT DISTINCT result_id, {ROWSTR} AS k FROM cells) GROUP BY result_id)
 SELECT result_id, CASE WHEN ok THEN 'SUCCESS_VALUES:' || substring(coalesce(v, ''), 1, 200) ELSE 'ERROR: ' || error END AS signature FROM cand LEFT JOIN keys USING (result_id)""")
 def _(spark, d):
@@ -177,12 +198,26 @@ def _(spark, d):
     return maps.select("sample_id", "signature", "g.size", "g.is_majority", "g.is_correct", F.size("g.sqls").cast("long").alias("n_sqls"))
 
 
-_CORRECT = f"{SIGNED}, candidates AS (SELECT s.*, coalesce(ok AND signature = gold_signature, false) AS correct FROM signed s JOIN gold USING (sample_id))"
+_CORRECT = f"""{SIGNED}, results AS (SELECT c.sample_id, c.idx, c.ok, c.sql_text, coalesce(v, '') AS v FROM cand c LEFT JOIN keys USING (result_id)),
+candidates AS (SELECT r.*, r.ok AND g.ok AND r.v = g.v AS correct FROM results r JOIN results g ON r.sample_id = g.sample_id AND g.idx = 0)"""
 
 
 def _candidates(spark, d):
-    s = signed(spark, d)
-    return s.join(gold(s), "sample_id").withColumn("correct", F.col("ok") & (F.col("signature") == F.col("gold_signature")))
+    """Candidates with `correct`: whether they and the ground truth ran, and their results are equal by value."""
+    c = b.cand(spark, d)
+    gold = c.where("idx = 0").select("sample_id", F.when(F.col("ok"), F.col("result_id")).alias("gold_id"))
+    pairs = c.join(gold, "sample_id").withColumn("pred_id", F.when(F.col("ok"), F.col("result_id")))
+    return compare.compare_sets(pairs, b.bag(spark, d), ["c3"], "positional").withColumnRenamed("equal", "correct")
+
+
+@query("any_variant", f"""WITH {b.CAND}, {b.CELLS}, sets AS (SELECT result_id, list_sort(list(DISTINCT {ROWSTR})) AS keys FROM cells GROUP BY result_id),
+variants AS (SELECT sample_id, result_id AS gold_id FROM cand WHERE ok AND idx < 3)
+SELECT c.sample_id, c.idx, bool_or(coalesce(x.keys, []) = coalesce(y.keys, [])) AS equal FROM cand c JOIN variants USING (sample_id) LEFT JOIN sets x ON x.result_id = c.result_id LEFT JOIN sets y ON y.result_id = gold_id WHERE c.ok GROUP BY ALL""")
+def _(spark, d):
+    c = b.cand(spark, d).where("ok")
+    variants = c.where("idx < 3").select("sample_id", F.col("result_id").alias("gold_id"))
+    pairs = c.select("sample_id", "idx", F.col("result_id").alias("pred_id")).join(variants, "sample_id")
+    return compare.any_variant(pairs, b.bag(spark, d), ["c1", "c2", "c3"])
 
 
 @query("recall_at_n", f"""WITH {_CORRECT}, per AS (SELECT sample_id, bool_or(correct) AS c, bool_or(trim(sql_text) <> '') AS s FROM candidates GROUP BY ALL)

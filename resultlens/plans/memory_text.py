@@ -330,7 +330,47 @@ def _(spark, d):
 
 
 _OPS = {0: "SELECT a FROM t", 1: "SELECT a, b FROM t WHERE a > 1", 2: "SELECT COUNT(*) FROM t GROUP BY b", 3: "SELECT a FROM t WHERE b = 2 ORDER BY a LIMIT 3"}
-_OPS_LISTS = {k: sqlops.sql_ops(v) for k, v in _OPS.items()}
+#: Their operations, written by hand.
+_OPS_LISTS = {
+    0: ["FROM(t as T1)", "SELECT_COL(a)"],
+    1: ["FROM(t as T1)", "SELECT_COL(a)", "SELECT_COL(b)", "WHERE_PRED(GT, a, VALUE(1))"],
+    2: ["FROM(t as T1)", "SELECT_AGG(COUNT, *)", "GROUP_BY(b)"],
+    3: ["FROM(t as T1)", "SELECT_COL(a)", "WHERE_PRED(EQ, b, VALUE(2))", "ORDER_BY(a, ASC)", "LIMIT(3)"],
+}
+#: Statements and their operations, written by hand; `#` is the key that each row puts in.
+_DECOMPOSED = {
+    "SELECT x.a, COUNT(DISTINCT y.b) AS n FROM t x INNER JOIN u AS y ON x.id = y.id AND y.c > # GROUP BY x.a HAVING COUNT(DISTINCT y.b) < 5": ["FROM(t as T1)", "JOIN(u, INNER)", "ON_EQ(T1.id, T2.id)", "ON_PRED(GT, T2.c, VALUE(#))", "SELECT_COL(a)", "SELECT_AGG(COUNT, DISTINCT b)", "ALIAS(COLUMN, COUNT(DISTINCT b), n)", "GROUP_BY(a)", "HAVING_PRED(LT, COUNT(DISTINCT b), VALUE(5))"],
+    "SELECT DISTINCT a FROM t WHERE a BETWEEN 1 AND # AND b LIKE 'x%' AND c IS NULL": ["FROM(t as T1)", "SELECT_COL(a)", "DISTINCT", "WHERE_PRED(BETWEEN, a, [VALUE(1), VALUE(#)])", "WHERE_PRED(LIKE, b, VALUE('x%'))", "WHERE_PRED(IS, c, VALUE(NULL))"],
+    "SELECT a FROM t WHERE b = # OR c = 2": ["FROM(t as T1)", "SELECT_COL(a)", "WHERE_PRED_TREE(b = # OR c = 2)"],
+    "SELECT a FROM t WHERE a NOT IN (#, 2)": ["FROM(t as T1)", "SELECT_COL(a)", "WHERE_PRED_TREE(NOT a IN (#, 2))"],
+    "SELECT a FROM t WHERE a IN (SELECT b FROM u WHERE c = #)": ["FROM(t as T1)", "SELECT_COL(a)", "ENTER_SUBQUERY(WHERE_IN)", "FROM(u as T1)", "SELECT_COL(b)", "WHERE_PRED(EQ, c, VALUE(#))", "EXIT_SUBQUERY", "WHERE_PRED(IN_SUBQ, a, SUBQ_LAST)"],
+    "SELECT a FROM t WHERE a > (SELECT AVG(b) FROM u) AND EXISTS (SELECT 1 FROM v WHERE v.k = #)": ["FROM(t as T1)", "SELECT_COL(a)", "ENTER_SUBQUERY(WHERE_EXISTS)", "FROM(v as T1)", "SELECT_EXPR(VALUE(1))", "WHERE_PRED(EQ, k, VALUE(#))", "EXIT_SUBQUERY", "WHERE_PRED(EXISTS_SUBQ, TRUE, SUBQ_LAST)",
+        "ENTER_SUBQUERY(WHERE_SCALAR)", "FROM(u as T1)", "SELECT_AGG(AVG, b)", "EXIT_SUBQUERY", "WHERE_PRED(GT, a, SUBQ_LAST)"],
+    "WITH c AS (SELECT a FROM t WHERE b = #) SELECT MAX(a) FROM c": ["WITH_CTE(c)", "ENTER_SUBQUERY(CTE)", "FROM(t as T1)", "SELECT_COL(a)", "WHERE_PRED(EQ, b, VALUE(#))", "EXIT_SUBQUERY", "FROM(c as T1)", "SELECT_AGG(MAX, a)"],
+    "SELECT a, RANK() OVER (PARTITION BY b ORDER BY c DESC) AS r FROM t ORDER BY a DESC, r LIMIT #": ["FROM(t as T1)", "SELECT_COL(a)", "WINDOW(partition_by=[b], order_by=[c DESC])", "SELECT_WIN(RANK, )", "ALIAS(COLUMN, RANK(), r)", "ORDER_BY(a, DESC)", "ORDER_BY(r, ASC)", "LIMIT(#)"],
+    "SELECT a FROM t UNION SELECT b FROM u WHERE c = #": ["FROM(t as T1)", "SELECT_COL(a)", "UNION", "ENTER_SUBQUERY(SET_RIGHT)", "FROM(u as T1)", "SELECT_COL(b)", "WHERE_PRED(EQ, c, VALUE(#))", "EXIT_SUBQUERY"],
+    "SELECT CAST(a AS INT), UPPER(b) FROM (SELECT a, b FROM t WHERE c <> #) s": ["ENTER_SUBQUERY(FROM)", "FROM(t as T1)", "SELECT_COL(a)", "SELECT_COL(b)", "WHERE_PRED(NEQ, c, VALUE(#))", "EXIT_SUBQUERY", "FROM(SUBQUERY as T1)", "SELECT_EXPR(CAST(a AS INT))", "SELECT_EXPR(UPPER(b))"],
+    "SELECT COUNT(*) FILTER (WHERE a > #) FROM t WHERE b GLOB 'x*'": ["FROM(t as T1)", "SELECT_EXPR(COUNT(*) FILTER(WHERE a > #))", "WHERE_PRED_TREE(b GLOB 'x*')"],
+    "SELEC a FROM t WHERE #": [],
+}
+
+
+def _literal(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_DECOMPOSED_SQL = " UNION ALL ".join(f"SELECT {k} AS form, {n} AS pos, {_literal(op)} AS op" for k, ops in enumerate(_DECOMPOSED.values()) for n, op in enumerate(ops))
+
+
+@query("ops_decompose", f"SELECT o_custkey, form, pos, replace(op, '#', CAST(o_custkey AS VARCHAR)) AS op FROM (SELECT DISTINCT o_custkey FROM orders) JOIN ({_DECOMPOSED_SQL}) ON form = o_custkey % {len(_DECOMPOSED)}")
+def _(spark, d):
+    """Operations of a statement of each customer, by their place."""
+    k = F.col("o_custkey")
+    forms = F.array(*map(F.lit, _DECOMPOSED))
+    rows = b.t(spark, d, "orders").select(k).distinct().withColumn("form", (k % len(_DECOMPOSED)).cast("int")).withColumn("sql", F.replace(F.element_at(forms, F.col("form") + 1), F.lit("#"), k.cast("string")))
+    return sqlops.with_ops(rows, "sql").select("o_custkey", "form", F.posexplode("ops").alias("pos", "op"))
+
+
 _OPS_CASE = "CASE " + " ".join(f"WHEN {{0}} % 4 = {k} THEN {v!r}" for k, v in _OPS_LISTS.items()) + " END"
 _OPS_SQL = f"ops AS (SELECT o_orderkey, {_OPS_CASE.format('o_orderkey')} AS p, {_OPS_CASE.format('o_custkey')} AS g FROM orders), j AS (SELECT o_orderkey, CAST(len(list_intersect(p, g)) AS DOUBLE) / len(list_distinct(list_concat(p, g))) AS s FROM ops)"
 
