@@ -18,6 +18,7 @@ HOT_ROWS, HOT_KEYS = 2000, 1 << 16
 #: Bloom filters: least size, and the most words (16 bytes each) that are broadcast.
 MIN_BITS, SENT_WORDS = 1 << 16, 1 << 20
 _own: dict[str, str] = {}
+_scratch: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,9 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's folder in the shared one; the driver deletes it when it ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/resultlens/{spark.sparkContext.applicationId}"
+    if path not in _scratch:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _scratch.add(path)
+    return path
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it from there: a lost executor costs no recomputation, and no later plan repeats it."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/resultlens/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -37,7 +37,7 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = (b"passw", b"secret", b"token", b"api", b"credential", b"auth", b"private", b"key", b"bearer")
 NOVEL, DRAWS, REACH, LINES, AROUND, LEVEL, SWITCHES = 0.8, 4, 64, 3, 256, 9, 0.37
 CONTEXT = re.compile(r"(passw|secret|token|api|credential|auth|private|key|bearer)", re.IGNORECASE | re.ASCII)
-PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----(?:(?!-----)[\s\S])*+", re.ASCII)
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*+)-----(?:(?!-----)[\s\S])*+", re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 IS_HEX = np.zeros(256, bool)
 IS_HEX[[*range(48, 58), *range(97, 103)]] = True
@@ -115,7 +115,7 @@ def sensitive(text: str) -> Callable[[int], bool]:
     words = [m.end() for m in CONTEXT.finditer(text)]
     starts = [m.start() for m in CONTEXT.finditer(text)]
     lines = [-1, *(m.start() for m in re.finditer("\n", text))]
-    keys = [m.span() for m in PEM.finditer(text)]
+    keys = [m.span() for m in PEM.finditer(text) if "PRIVATE KEY" in m[1]]
     begins = [k[0] for k in keys]
 
     def at(s: int) -> bool:

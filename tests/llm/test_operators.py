@@ -371,6 +371,17 @@ def test_names_and_letters():
     assert found >= 54 and wrong <= 3
 
 
+def test_key_blocks_in_linear_time():
+    rng = random.Random(8)
+    body = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=64)) for _ in range(8)]
+    for kind, inside in (("RSA PRIVATE KEY", True), ("CERTIFICATE", False)):
+        text = "\n".join([f"-----BEGIN {kind}-----", *body, f"-----END {kind}-----"])
+        near = secret.sensitive(text)
+        assert near(text.index(body[7])) is inside
+    secret.sensitive("-----BEGIN " + "PRIVATE KEY " * 80_000)
+    secret.sensitive("-----BEGIN A" * 80_000)
+
+
 def test_secrets_among_very_many_spans():
     text = "token=abcdef123456 " * 30_000 + "".join(f"key\n{k:x}zQ9\n" for k in range(20_000))
     began = time.perf_counter()
