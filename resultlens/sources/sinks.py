@@ -45,7 +45,7 @@ def write_cache(fresh: DataFrame, path: str, most: int = 50_000) -> bool:
     try:
         disk = spark.read.parquet(path)
     except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        if not any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):  # no folder, or an empty one
             raise
         disk = None
     if not keep_larger(disk, fresh, most):
