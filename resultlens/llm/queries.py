@@ -18,6 +18,9 @@ _MODULES = (
     "op8_exact_dedup",
     "op9_pii_sanitising",
     "op10_quality_classifier",
+    "op11_vector_codes",
+    "op12_importance_resampling",
+    "op13_decontamination",
 )
 
 
