@@ -81,7 +81,12 @@ def row_key(df: DataFrame, columns: Sequence[str], mode: str) -> Column:
 
 def result_digests(cells: DataFrame, result: str, columns: Sequence[str], mode: str) -> DataFrame:
     """One row a result: n_rows (distinct rows), and the sum and the exclusive or of 64-bit hashes of its distinct row keys (192 bits that equal sets share). Rows are counted map-side; no task holds a whole result."""
-    keyed = cells.select(result, row_key(cells, columns, mode).alias("key")).distinct()
+    return key_digests(cells.select(result, row_key(cells, columns, mode).alias("key")), result)
+
+
+def key_digests(keyed: DataFrame, result: str) -> DataFrame:
+    """The digests of results whose row keys (`key`) are at hand."""
+    keyed = keyed.select(result, "key").distinct()
     half = lambda k: F.conv(F.substring(F.sha2("key", 256), 1 + 15 * k, 15), 16, 10).cast("long")
     return keyed.groupBy(result).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(half(0).cast("decimal(38,0)")).alias("d1"), F.bit_xor(half(1)).alias("d2"), F.bit_xor(half(2)).alias("d3"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import threading
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
@@ -16,6 +18,8 @@ from ..sources.catalog import Catalog
 from .dialect import SETTINGS, to_spark
 
 MAX_TIMEOUT_MS, MAX_ROWS, TIMEOUT_MS, ROWS, CONCURRENT = 120_000, 50_000, 120_000, 10_000, 100
+#: Spark's name for the scheduler pool of a thread's jobs.
+POOL = "spark.scheduler.pool"
 _gate = threading.BoundedSemaphore(CONCURRENT)
 
 
@@ -82,36 +86,56 @@ def _is_command(own: SparkSession, parsed: Any) -> bool:
     return command.isInstance(parsed) or parsed.getClass().getSimpleName().endswith("Statement")
 
 
+@contextmanager
+def limited(spark: SparkSession, timeout_ms: int, pool: str | None = None) -> Iterator[threading.Event]:
+    """The jobs that this thread starts within are cancelled when the time is up, which sets the event. With a FAIR scheduler they run in the pool. Running tasks are interrupted; one that doesn't heed it (a
+    tight loop of generated code) holds its core until it ends, or until Spark's task reaper (spark.task.reaper.*) ends its executor."""
+    jobs, tag, late, done = spark.sparkContext, f"execute-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not done.wait(timeout_ms / 1000):
+            late.set()
+            while not done.wait(0.2):  # again and again, as a plan may be about to start jobs
+                jobs.cancelJobsWithTag(tag)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    jobs.setInterruptOnCancel(True)
+    jobs.addJobTag(tag)
+    before = jobs.getLocalProperty(POOL)
+    jobs.setLocalProperty(POOL, pool or before)
+    try:
+        yield late
+    finally:
+        done.set()
+        watcher.join()
+        jobs.removeJobTag(tag)
+        jobs.setLocalProperty(POOL, before)
+
+
+def refused(kind: str, sql: str, mode: str) -> Envelope | None:
+    """The envelope of a statement that isn't run at all."""
+    if mode == "read_only" and kind in WRITE_PREFIXES:
+        return Envelope(False, kind, error=f"{kind} is not allowed in read-only mode")
+    if mode == "sandbox_rollback" and not selects(sql):
+        return Envelope(True, kind, notice="statements other than queries are not run")
+    return None
+
+
+def failure(kind: str, error: Exception, late: bool) -> Envelope:
+    return Envelope(False, kind, error="interrupted" if late else str(error).split("\n\nJVM stacktrace")[0], timed_out=late)
+
+
 def execute(spark: SparkSession, catalog: Catalog, request: Request) -> Envelope:
     """Run the request. Errors and timeouts come back as envelopes. Rows are capped at max_rows by a limit, in the order that the statement gives."""
     kind = kind_of(request.sql)
-    with _gate:
-        if request.mode == "read_only" and kind in WRITE_PREFIXES:
-            return Envelope(False, kind, error=f"{kind} is not allowed in read-only mode")
-        if request.mode == "sandbox_rollback" and not selects(request.sql):
-            return Envelope(True, kind, notice="statements other than queries are not run")
-        own, jobs = spark.newSession(), spark.sparkContext
-        tag, late, done = f"execute-{uuid.uuid4().hex}", threading.Event(), threading.Event()
-
-        def watch() -> None:
-            if not done.wait(request.timeout_ms / 1000):
-                late.set()
-                while not done.wait(0.2):  # again and again, as a plan may be about to start jobs
-                    jobs.cancelJobsWithTag(tag)
-
-        watcher = threading.Thread(target=watch, daemon=True)
-        watcher.start()
-        jobs.setInterruptOnCancel(True)
-        jobs.addJobTag(tag)
+    if not_run := refused(kind, request.sql, request.mode):
+        return not_run
+    with _gate, limited(spark, request.timeout_ms) as late:
         try:
-            found = plan(own, catalog, request.dataset, request.db, request.sql, request.mode != "read_only").limit(request.max_rows).toPandas()
+            found = plan(spark.newSession(), catalog, request.dataset, request.db, request.sql, request.mode != "read_only").limit(request.max_rows).toPandas()
         except Exception as e:  # every failure of user SQL is an outcome
-            text = str(e).split("\n\nJVM stacktrace")[0]
-            return Envelope(False, kind, error="interrupted" if late.is_set() else text, timed_out=late.is_set())
-        finally:
-            done.set()
-            watcher.join()
-            jobs.removeJobTag(tag)
+            return failure(kind, e, late.is_set())
         rows = found.to_dict("records")
         return Envelope(True, kind, rows, len(rows), found.to_string(index=False) if rows else "Empty result set")
 

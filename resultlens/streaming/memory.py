@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.result_cache import ResultCache
 from ..operators.vectors import near_duplicates
 
 
@@ -88,6 +89,11 @@ def fill_cache(stream: DataFrame, cache_path: str, checkpoint: str, keys: list[s
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_into_cache(stream: DataFrame, cache: ResultCache, checkpoint: str) -> StreamingQuery:
+    """Run the statements of a stream (dataset, db, sql) into the cache of their results, those that it lacks. A batch that runs again finds what it did."""
+    return stream.writeStream.foreachBatch(lambda batch, _: cache.fill(batch) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def merge_successes(cache: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The cache and new successes whose key it lacks."""
     good = new.where(F.col("ok") & ~F.coalesce("timed_out", F.lit(False)))
