@@ -69,7 +69,7 @@ GT_CACHE = """gt_cache AS (SELECT o_orderkey AS result_id, CASE WHEN o_orderkey
 
 
 def thoughts(spark: SparkSession, d: str) -> DataFrame:
-    docs = t(spark, d, "documents").where("lang = 'en'")
+    docs = t(spark, d, "documents")
     word = lambda k: F.regexp_replace(F.lower(F.coalesce(F.get(F.split(F.trim("text"), r"[ \t\n]+"), k), F.lit(""))), "[^a-z0-9_]", "")
     out = docs.select("doc_id", F.col("source").alias("db_id"), "text", word(0).alias("w1"), word(1).alias("w2"))
     return out.withColumn("prompt", F.concat(F.lit("t."), "w1", F.lit(" : x t."), "w2", F.lit(" : y")))
@@ -77,7 +77,7 @@ def thoughts(spark: SparkSession, d: str) -> DataFrame:
 
 THOUGHTS = r"""thoughts AS (SELECT *, 't.' || w1 || ' : x t.' || w2 || ' : y' AS prompt FROM (SELECT doc_id, source AS db_id, text,
   regexp_replace(lower(coalesce(string_split_regex(trim(text), '[ \t\n]+')[1], '')), '[^a-z0-9_]', '', 'g') AS w1,
-  regexp_replace(lower(coalesce(string_split_regex(trim(text), '[ \t\n]+')[2], '')), '[^a-z0-9_]', '', 'g') AS w2 FROM documents WHERE lang = 'en'))"""
+  regexp_replace(lower(coalesce(string_split_regex(trim(text), '[ \t\n]+')[2], '')), '[^a-z0-9_]', '', 'g') AS w2 FROM documents))"""
 
 
 def completions(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +95,7 @@ def completions(spark: SparkSession, d: str) -> DataFrame:
 
 
 COMPLETIONS = """completions AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'so <think>' || body || '</think> SELECT 1' WHEN 1 THEN '<think>' || body || ' SELECT 1' WHEN 2 THEN '<think>' || body || '</think>  '
-  WHEN 3 THEN '<think>short</think> SELECT 1' ELSE ' <think>' || body || '</think>' || chr(10) || ' SELECT  2 ;' END AS completion FROM (SELECT doc_id, replace(text, '<', ' ') AS body FROM documents WHERE lang = 'en'))"""
+  WHEN 3 THEN '<think>short</think> SELECT 1' ELSE ' <think>' || body || '</think>' || chr(10) || ' SELECT  2 ;' END AS completion FROM (SELECT doc_id, replace(text, '<', ' ') AS body FROM documents))"""
 
 
 def memory(spark: SparkSession, d: str) -> DataFrame:

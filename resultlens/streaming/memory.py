@@ -2,45 +2,130 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..functions import text
 from ..operators.result_cache import ResultCache
-from ..operators.vectors import near_duplicates
-
-
-def greedy_new(rows: pd.DataFrame, threshold: float) -> np.ndarray:
-    """Which rows of one collection, in order, are less alike than the threshold to all rows kept before."""
-    keep = np.zeros(len(rows), bool)
-    kept, n = np.zeros((0, 0)), 0
-    for k, e in enumerate(rows["embedding"]):
-        v = np.asarray(e, float)
-        v = v / max(np.linalg.norm(v), 1e-8)
-        if not n or float(np.max(kept[:n] @ v)) < threshold:
-            if n == len(kept):
-                kept = np.concatenate([kept.reshape(-1, len(v)), np.zeros((max(64, n), len(v)))])
-            kept[n] = v
-            n += 1
-            keep[k] = True
-    return keep
+from ..operators.vector_index import squared_distances
+
+#: Rows of a micro-batch that are settled at a time.
+BLOCK = 4096
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x @ y.T) / np.maximum(np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1), 1e-8)
+
+
+def _nearest_of(x: np.ndarray, kinds: list, memory: DataFrame) -> dict[int, tuple[float, str, float]]:
+    """For each row of x that has any: distance, id and cosine of its nearest in the memory of its collection. A task returns one candidate a row."""
+    places: dict[Any, np.ndarray] = {c: np.array([k for k, kind in enumerate(kinds) if kind == c]) for c in set(kinds)}
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[float, str, float]] = {}
+        for b in batches:
+            own, ids, vectors = np.array(b.column("collection").to_pylist(), object), b.column("id").to_pylist(), _vectors(b.column("embedding"))
+            for c, at in places.items():
+                rows = np.flatnonzero(own == c)
+                for k in range(0, len(rows), 2048):
+                    some = rows[k : k + 2048]
+                    d = np.round(squared_distances(x[at], vectors[some]), 9)
+                    low = d.min(1)
+                    for n, i in enumerate(at):
+                        tied = some[np.flatnonzero(d[n] == low[n])]
+                        j = min(tied, key=lambda t: ids[t])
+                        found = (float(low[n]), ids[j], float(_cosines(x[i : i + 1], vectors[j : j + 1])[0, 0]))
+                        if i not in held or found[:2] < held[i][:2]:
+                            held[int(i)] = found
+        if held:
+            yield pa.RecordBatch.from_pydict({"row": pa.array(list(held), pa.int32()), "distance": [h[0] for h in held.values()], "id": [h[1] for h in held.values()], "cosine": [h[2] for h in held.values()]})
+
+    found = memory.select("id", "collection", "embedding").mapInArrow(best, "row int, distance double, id string, cosine double")
+    least = found.groupBy("row").agg(F.min(F.struct("distance", "id", "cosine")).alias("m")).collect()  # a row for each of x
+    return {r["row"]: tuple(r["m"]) for r in least}
+
+
+def _entering(x: np.ndarray, ids: list[str], kinds: list, before: dict[int, tuple[float, str, float]], known: set[tuple[Any, str]], threshold: float) -> list[int]:
+    """Which rows of a block enter, one after another: the nearest of all that is in by then must be less alike than the threshold, and the id not be in. known: ids that were in before."""
+    kept: dict[Any, list[int]] = {}
+    known = set(known)
+    alike, apart = _cosines(x, x), np.round(squared_distances(x, x), 9)
+    for k, c in enumerate(kinds):
+        near, own = before.get(k), kept.setdefault(c, [])
+        if own:
+            d = apart[k, own]
+            j = min((own[t] for t in np.flatnonzero(d == d.min())), key=lambda t: ids[t])
+            here = (float(apart[k, j]), ids[j], float(alike[k, j]))
+            near = here if near is None or here[:2] < near[:2] else near
+        if (c, ids[k]) not in known and (near is None or near[2] < threshold):
+            own.append(k)
+            known.add((c, ids[k]))
+    return sorted(k for rows in kept.values() for k in rows)
+
+
+def admit(batch: DataFrame, memory: DataFrame, path: str, threshold: float = 0.9, order: str = "arrival", block: int = BLOCK) -> DataFrame:
+    """The rows of the batch (id, collection, embedding and an order) that enter the memory, written to the path: one enters unless the nearest of its collection in the memory, earlier rows that entered among
+    them, is as alike as the threshold. So the result doesn't depend on how a stream is cut in batches.
+
+    What is in by then depends on every row before, so rows are taken in order, in blocks of about `block`: a block's vectors travel to the memory's partitions, each of which returns one nearest candidate a row, and
+    the block itself is settled row by row. A block is all that the driver holds, whatever the sizes of batch, collections and memory. An id enters a collection once; rows of a null vector don't enter."""
+    spark, rows = batch.sparkSession, batch.where("embedding IS NOT NULL")
+    at = f"{path.rstrip('/')}/_blocks"
+    rows.repartitionByRange(max(1, -(-rows.count() // block)), order, "id").sortWithinPartitions(order, "id").write.mode("overwrite").parquet(at)
+    files = sorted(spark.read.schema(batch.schema).parquet(at).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_name").alias("n")).distinct().collect(), key=lambda r: int(re.search(r"part-(\d+)", r["n"])[1]))
+    done: list[str] = []
+    for k, f in enumerate(files):
+        block_rows = spark.read.schema(batch.schema).parquet(f["f"]).orderBy(order, "id")
+        held = block_rows.select("id", "collection", order, "embedding").toArrow()
+        ids, kinds, orders, x = held["id"].to_pylist(), held["collection"].to_pylist(), held[order].to_pylist(), _vectors(held["embedding"].combine_chunks())
+        so_far = memory.select("id", "collection", "embedding")
+        if done:
+            so_far = so_far.unionByName(spark.read.schema(batch.schema).parquet(*done).select("id", "collection", "embedding"))
+        named = so_far.select("id", "collection").join(F.broadcast(block_rows.select("id", "collection").distinct()), ["id", "collection"], "left_semi").distinct()
+        enter = _entering(x, ids, kinds, _nearest_of(x, kinds, so_far), {(r["collection"], r["id"]) for r in named.collect()}, threshold)
+        if enter:
+            names = spark.createDataFrame([(ids[i], kinds[i], orders[i]) for i in enter], block_rows.select("id", "collection", order).schema)
+            block_rows.join(F.broadcast(names), ["id", "collection", order], "left_semi").dropDuplicates(["id", "collection"]).write.mode("overwrite").parquet(f"{path.rstrip('/')}/block={k}")
+            done.append(f"{path.rstrip('/')}/block={k}")
+    return spark.read.schema(batch.schema).parquet(*done) if done else batch.limit(0)
+
+
+def remembered(batch: DataFrame, **gate: float) -> DataFrame:
+    """Thoughts (dataset, db, prompt, thought, correct, embedding, arrival) as candidates of the memory: those of quality, with the id of their content, in the collection of correct or of failed ones."""
+    columns = text.prompt_columns(F.col("prompt"))
+    good = text.quality_gate(batch.where("thought IS NOT NULL"), "thought", columns, **gate).where("accepted").drop("accepted")
+    kind = F.when(F.coalesce("correct", F.lit(False)), "correct").otherwise("failed")
+    return good.withColumns({"id": text.content_id(F.col("dataset"), F.col("db"), F.col("thought")), "collection": kind})
+
+
+def grow_thoughts(stream: DataFrame, path: str, checkpoint: str, threshold: float = 0.9, block: int = BLOCK, **gate: float) -> StreamingQuery:
+    """Quality gate, near-duplicate gate and insertion of a stream of thoughts; each row sees all that entered before it, in its own batch too."""
+    schema = remembered(stream, **gate).schema
 
+    def step(batch: DataFrame, batch_id: int) -> None:
+        memory = _earlier(batch.sparkSession, path, batch_id, schema)
+        _insert(remembered(batch, **gate), memory, _part(path, batch_id), threshold, block)
 
-def admit(batch: DataFrame, memory: DataFrame, threshold: float = 0.9, order: str = "arrival") -> DataFrame:
-    """Rows of the batch that enter the memory: not near anything in it, nor near an earlier row of the batch that enters. Insertion depends on order, so within a collection the
-    (already filtered) rows of one batch are taken one after another."""
-    fresh = near_duplicates(batch, memory, threshold).where("is_new").select(*batch.columns)
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([order, "id"])
-        return rows[greedy_new(rows, threshold)]
 
-    return fresh.groupBy("collection").applyInPandas(take, batch.schema)
+def _insert(batch: DataFrame, memory: DataFrame | None, part: str, threshold: float, block: int = BLOCK) -> None:
+    admit(batch, batch.limit(0) if memory is None else memory, f"{part}-work", threshold, block=block).write.mode("overwrite").parquet(part)
+    place = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{part}-work")
+    place.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def grow_memory(stream: DataFrame, path: str, checkpoint: str, threshold: float = 0.9) -> StreamingQuery:
@@ -48,9 +133,7 @@ def grow_memory(stream: DataFrame, path: str, checkpoint: str, threshold: float
 
     def step(batch: DataFrame, batch_id: int) -> None:
         # only what earlier batches wrote counts, and a batch that runs again writes its own part anew
-        memory = _earlier(batch.sparkSession, path, batch_id, batch.schema)
-        memory = batch.limit(0) if memory is None else memory
-        admit(batch, memory, threshold).write.mode("overwrite").parquet(_part(path, batch_id))
+        _insert(batch, _earlier(batch.sparkSession, path, batch_id, batch.schema), _part(path, batch_id), threshold)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -66,7 +149,7 @@ def _earlier(spark: SparkSession, path: str, batch_id: int, schema: StructType |
     if not fs.exists(hadoop):
         return None
     names = [f.getPath().getName() for f in fs.listStatus(hadoop) if f.isDirectory()]
-    earlier = [f"{path.rstrip('/')}/{n}" for n in names if n.startswith("part=") and int(n[5:]) < batch_id]
+    earlier = [f"{path.rstrip('/')}/{n}" for n in names if re.fullmatch(r"part=\d+", n) and int(n[5:]) < batch_id]
     if not earlier:
         return None
     return (spark.read.schema(schema) if schema else spark.read).parquet(*earlier)

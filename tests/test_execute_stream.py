@@ -83,7 +83,7 @@ def test_memory_grows_as_one_batch_or_many(spark, tmp_path):
     stream = spark.readStream.schema(full.schema).option("maxFilesPerTrigger", 2).parquet(str(source))
     memory.grow_memory(stream, str(tmp_path / "mem"), str(tmp_path / "ck")).awaitTermination()
     kept = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "mem"))
-    once = memory.admit(full, full.limit(0))
+    once = memory.admit(full, full.limit(0), str(tmp_path / "once"), block=4)
     assert kept.count() == once.count() == 3
 
 
