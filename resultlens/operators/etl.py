@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.text import append_answer, normalize_sql
 
@@ -51,6 +53,42 @@ def filter_summary(samples: DataFrame, stages: dict[str, Column]) -> DataFrame:
     return out.withColumn("rate", F.round(F.coalesce(F.try_divide(F.col("n_after"), F.col("n_before")), F.lit(0.0)), 6))
 
 
+class StageCounts(StreamingQueryListener):
+    """Counts rows before and after conditions that are applied one after another, in the job that applies them: use `filtered` in a batch plan or a stream, and read `summary` once it ran.
+
+    A stream must have this as a listener (spark.streams.addListener); its batches add up."""
+
+    def __init__(self, stages: dict[str, Column], name: str | None = None) -> None:
+        self.stages, self.name, self._batch = stages, name or f"stages-{uuid.uuid4().hex[:8]}", Observation()
+        self._counts = [0] * (len(stages) + 1)
+
+    def filtered(self, rows: DataFrame) -> DataFrame:
+        keep, sums = F.lit(True), [F.count(F.lit(1)).alias("n0")]
+        for k, cond in enumerate(self.stages.values(), 1):
+            keep = keep & F.coalesce(cond, F.lit(False))
+            sums.append(F.count_if(keep).alias(f"n{k}"))
+        return (rows.observe(self.name, *sums) if rows.isStreaming else rows.observe(self._batch, *sums)).where(keep)
+
+    def summary(self, spark: SparkSession) -> DataFrame:
+        """stage, n_before, n_after, rate."""
+        n = self._counts if any(self._counts) else [self._batch.get[f"n{k}"] for k in range(len(self.stages) + 1)]
+        rows = [(name, n[k], n[k + 1], round(n[k + 1] / n[k], 6) if n[k] else 0.0) for k, name in enumerate(self.stages)]
+        return spark.createDataFrame(rows, "stage string, n_before long, n_after long, rate double")
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        if seen := event.progress.observedMetrics.get(self.name):
+            self._counts = [a + (seen[f"n{k}"] or 0) for k, a in enumerate(self._counts)]
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """The frame itself if it has all columns; else an error that names those missing."""
     if lacking := [c for c in columns if c not in df.columns]:

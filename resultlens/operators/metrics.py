@@ -80,6 +80,13 @@ def quartiles(df: DataFrame, level: str, value: str, missing: str = "unknown") -
     return out.select(level, "n", "low", *(F.round(F.col("__q")[k], 4).alias(f"q{k + 1}") for k in range(3)), "high")
 
 
+def quartile_sketch(df: DataFrame, level: str, value: str, accuracy: int = 10_000, missing: str = "unknown") -> DataFrame:
+    """Box-plot statistics by level and overall from mergeable quantile summaries: a quartile is a value that occurs, whose rank is off by n / accuracy at most. A summary holds some `accuracy` values, however many there are."""
+    q = F.percentile_approx(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(accuracy))
+    out = by_level(df, level, F.count(F.lit(1)).alias("n"), F.min(value).cast("double").alias("low"), q.alias("__q"), F.max(value).cast("double").alias("high"), missing=missing)
+    return out.select(level, "n", "low", *(F.col("__q")[k].cast("double").alias(f"q{k + 1}") for k in range(3)), "high")
+
+
 def preferred_order(level: str = "difficulty", first: Sequence[str] = ("simple", "moderate", "challenging"), last: str = "overall") -> list[Column]:
     """Ordering: known levels as listed, then others by name, the total last."""
     rank = F.when(F.col(level) == last, len(first) + 1)

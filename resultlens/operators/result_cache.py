@@ -97,6 +97,29 @@ class ResultCache:
                 n += len(chunk)
         return n
 
+    def time(self, statements: DataFrame, iterations: int = 3) -> DataFrame:
+        """key, iteration, seconds of repeated runs of the distinct statements, one at a time and without fetching rows; seconds are null where a run failed, and a late run is a statement's last."""
+        todo = keyed(statements).where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("dataset", "db", "sql")).alias("s")).select("key", "s.*")
+        at, chunk = f"{self.path}/_times/{uuid.uuid4().hex}", 0
+        source = todo.toLocalIterator()
+        while some := list(islice(source, self.every)):
+            rows = [(s["key"], n, seconds) for s in some for n, seconds in enumerate(self._times(s, iterations))]
+            self.spark.createDataFrame(rows, "key string, iteration int, seconds double").coalesce(1).write.parquet(f"{at}/{chunk}")
+            chunk += 1
+        return self.spark.read.parquet(*(f"{at}/{k}" for k in range(chunk))) if chunk else self.spark.createDataFrame([], "key string, iteration int, seconds double")
+
+    def _times(self, s: Any, iterations: int) -> Iterator[float | None]:
+        for _ in range(iterations):
+            with execute.limited(self.spark, self.timeout_ms, self.pool) as late:
+                try:
+                    if execute.refused(execute.kind_of(s["sql"]), s["sql"], self.mode):
+                        raise ValueError("not run")
+                    yield execute.timed(execute.plan(self._session(s["dataset"], s["db"]), self.catalog, s["dataset"], s["db"], s["sql"], self.mode != "read_only"))
+                except Exception:  # a failed run has no time
+                    yield None
+            if late.is_set():
+                return
+
     def _run(self, s: dict[str, Any], at: str) -> dict[str, Any]:
         kind, limit, began = execute.kind_of(s["sql"]), s["timeout_ms"] or self.timeout_ms, time.perf_counter()
         envelope = execute.refused(kind, s["sql"], self.mode)
@@ -152,6 +175,14 @@ class ResultCache:
         return [f.getPath().getName() for f in files.listStatus(place(path))] if files.exists(place(path)) else []
 
 
+def efficiency(pairs: DataFrame, times: DataFrame, sql: str = "sql", truth: str = "truth") -> DataFrame:
+    """The ratio of the ground truth's time to the statement's, for each pair and iteration in which both ran."""
+    both = keyed(keyed(pairs, sql, "__p"), truth, "__g")
+    mine, gold = (times.select(F.col("key").alias(k), "iteration", F.col("seconds").alias(f"{k}_s")) for k in ("__p", "__g"))
+    joined = both.join(mine, "__p").join(gold, ["__g", "iteration"])
+    return joined.withColumn("ratio", F.try_divide("__g_s", "__p_s")).where("ratio IS NOT NULL").drop("__p", "__g", "__p_s", "__g_s")
+
+
 def looked_up(candidates: DataFrame, cache: ResultCache, sql: str = "sql") -> DataFrame:
     """Candidates (dataset, db and SQL) with `hit`, `row_count` and `seconds` of their statement, however it is spelled; only successes count as hits."""
     good = cache.envelopes().where("ok AND NOT timed_out").select(F.col("key").alias("__k"), F.lit(True).alias("hit"), "row_count", "seconds")

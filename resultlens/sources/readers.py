@@ -31,28 +31,48 @@ def json_rows(spark: SparkSession, path: str, schema: T.StructType | None = None
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 0) and value of the lines of text files, which are read in splits. A split's lines are counted first; a line's number is what the splits before it in its file hold, and its place in its own split.
+
+    Both passes read the same splits, as they are made from the same files in the same way. The counts are a row a split."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    counts = lines.groupBy("file", "start").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))  # rows of a split are numbered in a row
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.select("file", "start", "first", ahead.alias("ahead"))
+    return lines.join(before, ["file", "start"]).select("file", (F.col("ahead") + F.col("row") - F.col("first")).alias("line"), "value")
+
+
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """sample_idx, sql, db of exported prediction pairs: JSON arrays of [question, pair], one a line, with their index as `sample_idx`, or an object of index to pair."""
-    rows = spark.read.text(path, wholetext=True)
-    keyed = rows.select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "v"))
+    """sample_idx, sql, db of exported prediction pairs: an object of index to pair, with an entry a line or all on one."""
+    body = F.regexp_replace(F.regexp_replace(F.trim("value"), r"^\{", ""), r"(?<=[\"\]\w])\s*,?\s*\}?$", "")  # without the braces of the object and the comma after an entry
+    entries = F.from_json(F.concat(F.lit("{"), body, F.lit("}")), "map<string,string>")
+    keyed = spark.read.text(path).where(~F.trim("value").isin("{", "}", "")).select(F.explode(entries).alias("k", "v"))
     return keyed.select(F.col("k").cast("long").alias("sample_idx"), parse_pair(F.col("v")).alias("p")).select("sample_idx", "p.*")
 
 
 def gold_lines(spark: SparkSession, path: str) -> DataFrame:
-    """sample_idx, sql, db of a file of `sql TAB db` lines. The index is the line's place in its file, so files are read whole."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n+$", ""), "\n")).alias("sample_idx", "line"))
-    parts = F.split(F.trim("line"), "\t")
-    return lines.select(F.col("sample_idx").cast("long"), F.get(parts, 0).alias("sql"), F.get(parts, 1).alias("db"))
+    """sample_idx, sql, db of a file of `sql TAB db` lines. The index is the line's place in its file."""
+    parts = F.split(F.trim("value"), "\t")
+    return numbered_lines(spark, path).select(F.col("line").alias("sample_idx"), F.get(parts, 0).alias("sql"), F.get(parts, 1).alias("db"))
 
 
 def csv_results(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of gold CSV results with instance_id and variant. `id.csv` wins over its variants `id_a.csv`, `id_b.csv`."""
-    rows = spark.read.option("header", "true").csv(folder).withColumn("__f", F.regexp_extract("_metadata.file_name", r"^(.*)\.csv$", 1))
-    names = rows.select("__f").distinct()
-    plain = names.select(F.col("__f").alias("__p"))
-    variant = F.regexp_extract("__f", r"^(.*)_([a-z])$", 1)
-    marked = names.join(plain, variant == F.col("__p"), "left").where("__p IS NULL").select("__f", F.when(variant == "", F.col("__f")).otherwise(variant).alias("instance_id"), F.nullif(F.regexp_extract("__f", r"^(.*)_([a-z])$", 2), F.lit("")).alias("variant"))
-    return rows.join(marked, "__f").drop("__f")
+    """Rows of gold CSV results as instance_id, variant, pos and cells (an array of name and value), whatever columns a file has. `id.csv` wins over its variants `id_a.csv`, `id_b.csv`.
+
+    All files are read in one scan, as wide as the widest header; a file's first row names its columns. A file is read in one piece, as quoted values may hold line ends."""
+    texts = spark.read.option("pathGlobFilter", "*.csv").text(folder).where(F.col("_metadata.file_block_start") == 0)
+    width = texts.select(F.size(F.split("value", ",")).alias("n")).agg(F.max("n")).first()[0] or 1  # quoted commas only make it wider
+    names = [f"c{k}" for k in range(width)]
+    read = spark.read.schema(", ".join(f"{n} string" for n in names)).option("multiLine", "true").option("pathGlobFilter", "*.csv").csv(folder)
+    rows = read.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), F.array(*names).alias("values"))
+    heads = rows.groupBy("file").agg(F.min_by("values", "row").alias("head"), F.min("row").alias("first"))  # a row a file
+    stem = F.regexp_extract("file", r"([^/]+)\.csv$", 1)
+    marked = heads.select("file", "first", F.filter("head", lambda h: h.isNotNull()).alias("head"), stem.alias("stem"), F.regexp_extract(stem, r"^(.*)_([a-z])$", 1).alias("base"), F.nullif(F.regexp_extract(stem, r"^(.*)_([a-z])$", 2), F.lit("")).alias("letter"))
+    plain = marked.select(F.col("stem").alias("base"), F.lit(True).alias("has_plain"))
+    chosen = marked.join(plain, "base", "left").where("has_plain IS NULL")
+    chosen = chosen.select("file", "first", "head", F.when(F.col("base") == "", F.col("stem")).otherwise(F.col("base")).alias("instance_id"), F.when(F.col("base") != "", F.col("letter")).alias("variant"))
+    cells = F.transform("head", lambda h, k: F.struct(h.alias("name"), F.get("values", k).alias("value")))
+    return rows.join(chosen, "file").where("row > first").select("instance_id", "variant", (F.col("row") - F.col("first") - 1).alias("pos"), cells.alias("cells"))
 
 
 def find(df: DataFrame, where: Column | None = None, columns: Sequence[str] | None = None, limit: int | None = None, order: Sequence[str] = ()) -> DataFrame:

@@ -39,6 +39,17 @@ def write_per_sample(rows: DataFrame, path: str, key: str = "instance_id") -> No
     rows.write.mode("overwrite").partitionBy(key).option("header", "true").csv(path)
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """One result as one CSV file of that name, with its header. A result is capped before (see ``execute``), so one task writes it."""
+    spark, place = rows.sparkSession, rows.sparkSession._jvm.org.apache.hadoop.fs.Path
+    rows.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{path}-parts")
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in files.listStatus(place(f"{path}-parts")) if f.getPath().getName().startswith("part-"))
+    files.delete(place(path), True)
+    files.rename(part, place(path))
+    files.delete(place(f"{path}-parts"), True)
+
+
 def write_cache(fresh: DataFrame, path: str, most: int = 50_000) -> bool:
     """Overwrite the cache at path if the fresh one is larger, and not too large; whether it was written."""
     spark = fresh.sparkSession
