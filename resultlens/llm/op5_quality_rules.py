@@ -4,21 +4,23 @@ Each line with a word is described by levelled features (words, symbols, capital
 content and boilerplate, gives emission and transition scores; Viterbi decoding finds each text's best labelling, and the share
 of words in content lines decides: at least ``SHARE`` stays. Base counts (repeated windows, repeated lines, symbols) fail a text beforehand.
 
-The CRF is fit on the lines of at most ``max_fit`` rated documents with at most ``max_lines`` lines in all (those of lowest hash; a bounded sample), each text as chains of up to ``CHAIN`` lines. Lines of
+The CRF is fit on the lines of at most ``max_fit`` rated documents (those of lowest hash; a bounded sample), each text as chains of up to ``CHAIN`` lines. They give ``max_lines`` lines in all at most: where they have more, the
+longest give their first lines, as many each as fit, so that one very long document displaces no other. Lines of
 documents rated bad are boilerplate; so is a line of a good one that recurs all over the corpus: over all documents it stands in ``CONTEXTS`` contexts (lines before and after) or more, none of which makes up more than
 ``ONE_CONTEXT`` of its places (so copies of a text do not make its lines boilerplate). Other lines of good documents are content. So labels change within a text, and the scores of label pairs
-are learnt from that. Every document is decoded, whole. Without ratings of both kinds every line is content.
+are learnt from that. Every document is decoded, whole. Without ratings of both kinds every line is content; if only the bound leaves lines of one kind, a warning says so.
 
 Null counts as no text: no words, so base_failed. Lines end at \\n; lines without a word are left out. Repeated rows come out repeated; other columns are left alone.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, table
@@ -211,6 +213,18 @@ def recurring(docs: DataFrame, known: np.ndarray) -> np.ndarray:
     return np.sort(known[np.asarray(found["k"].combine_chunks())]) if found.num_rows else known[:0]
 
 
+def level_cut(sizes: list[int], most: int) -> int:
+    """The largest number of lines that each document may give without their sum passing the bound; 0 if not even one each fits."""
+    cut, left = 0, most
+    for k, n in enumerate(sorted(sizes)):
+        rest = len(sizes) - k
+        if (n - cut) * rest > left:
+            return cut + left // rest
+        left -= (n - cut) * rest
+        cut = n
+    return max(cut, 1)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_lines: int = MAX_LINES) -> tuple[np.ndarray, np.ndarray] | None:
     rated = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(F.when(F.col("quality") > 0, 1).otherwise(0)).cast("long").alias("__good"))
     rated = rated.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)  # max_fit rows bound the broadcast
@@ -228,10 +242,14 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_lines:
     rows = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").mapInArrow(part, f"doc_id {kind}, good long, hashes array<long>, level array<short>")
     one = rows.where("size(hashes) > 0").groupBy("doc_id", "good").agg(F.min(F.struct("hashes", "level")).alias("x"))  # one text of a doc_id; max_fit rows at most
     one = settle(one.select("doc_id", "good", "x.*"), "lines")
-    upto = F.sum(F.size("hashes")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over max_fit rows at most
-    fits = one.select("doc_id", upto.alias("upto")).where(F.col("upto") <= max_lines).select("doc_id")
-    rows = one.join(F.broadcast(fits), "doc_id", "left_semi").toArrow().to_pandas().sort_values("doc_id")
+    sizes = [r["n"] for r in one.select(F.size("hashes").alias("n")).collect()]  # max_fit numbers at most
+    most = level_cut(sizes, max_lines)
+    firsts = one if most else one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_lines)
+    firsts = firsts.select("doc_id", "good", F.slice("hashes", 1, max(1, most)).alias("hashes"), F.slice("level", 1, max(1, most) * FEATURES).alias("level"))
+    rows = firsts.toArrow().to_pandas().sort_values("doc_id")
     if rows["good"].nunique() < 2:
+        if one.select("good").distinct().count() > 1:
+            warnings.warn(f"max_lines={max_lines} leaves lines of one kind of rated documents only, so there is no model and all lines count as content", stacklevel=2)
         return None
     hashes = [np.asarray(x, np.int64).view(np.uint64) for x in rows["hashes"]]
     levels = [np.asarray(x, np.int16).reshape(-1, FEATURES) for x in rows["level"]]
