@@ -33,9 +33,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     by = by.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.row_number().over(order) - 1) % len(WEIGHTS) + 1).cast("long"))
     # a source stops at its limit before those of larger limit / weight do
     ahead = Window.orderBy((PASSES * F.col("source_size")).cast("double") / F.col("weight"), F.col("source").asc_nulls_last())
-    level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum(PASSES * F.col("source_size")).over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast(
-        "double"
-    ) / F.sum("weight").over(ahead.rowsBetween(0, Window.unboundedFollowing))
+    total = lambda c: F.sum(c).over(Window.partitionBy())
+    passed = lambda c: F.coalesce(F.sum(c).over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = (total("source_size") - passed(PASSES * F.col("source_size"))).cast("double") / (total("weight") - passed("weight"))  # running sums only, so this is linear in the sources
     by = by.withColumn("level", level)
     limit = (PASSES * F.col("source_size")).cast("double")
     whole = ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
