@@ -1,8 +1,8 @@
 """Operator 9, information-theoretic sanitisation of personal data, in DataFrame operations only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers (fixed patterns below; failing matches are dropped, not retried). Each distinct value is a protected
-entity. A term (a word of ``TERM_LETTERS`` letters or more) anywhere in a document of an entity may reveal it. Over all documents,
-with n documents, df of each term and entity and c of documents that hold both:
+entity. A term (a word of ``TERM_LETTERS`` letters or more) anywhere in a document of an entity may reveal it. Over all distinct texts (copies of a text are no further evidence),
+with n texts, df of each term and entity and c of texts that hold both:
 
   disclosure = log2(c * n / (df_term * df_entity)), at most about IC = log2(n / df_entity), the whole information of the entity.
 
@@ -12,7 +12,7 @@ generalises spans to their kind, and removes terms.
 Entities that stand in the same documents have the same co-occurrences, and so have terms: each such class is counted once, so a list of thousands of addresses, or copies of it, does not
 multiply with the words around it. Every step is linear in a text: patterns begin only where a match can begin, and positions are summed in blocks.
 
-Positions are code points, end exclusive. Null text is empty; no text gives no spans and the hash of the empty string. Repeated rows come out repeated. The document counts are of rows.
+Positions are code points, end exclusive. Null text is empty; no text gives no spans and the hash of the empty string. Repeated rows come out repeated, and count once.
 Terms and entities are matched lower-cased by 64-bit hash. Other columns are left alone.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_unique, settle, table
+from .common import join_unique, perhaps_among, settle, table
 
 # fixed values: the base patterns, in possessive form where backtracking could find nothing else. Where a run of characters can't begin a match, no later place in it can: a match
 # begins at the start of a run, or where the match before ended
@@ -147,22 +147,36 @@ def disclosures(holders: DataFrame, n: int, df_term: DataFrame, alpha: float, le
     return hits.join(t, ["row", "c"]).select("row", "t")
 
 
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+
+
 def found_spans(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST) -> DataFrame:
     """doc_id, base (spans) and every (base and term spans, by start, then kind) for each row."""
     text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("tag"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("tag"), text.alias("text"), _text_key(text).alias("h")).withColumn("base", base_spans(F.col("text")))
     own = F.size("base") > 0
-    rows = rows.select("doc_id", "tag", "base", F.monotonically_increasing_id().alias("row"), F.when(own, F.col("text")).alias("text"), F.when(own, F.array_distinct(F.transform("base", _entity))).alias("entities"))
+    rows = rows.select("doc_id", "tag", "h", "base", F.monotonically_increasing_id().alias("row"), F.when(own, F.col("text")).alias("text"), F.when(own, F.array_distinct(F.transform("base", _entity))).alias("entities"))
     rows = settle(rows, "spans")
+    groups = settle(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).where("n > 1"), "copies")
+    again = groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("rows")).first()
     holders = rows.where("entities IS NOT NULL")
-    df_term = docs.select(F.explode(_terms(text)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df_term"))
-    told = disclosures(settle(holders.select("row", "entities", _terms(F.col("text")).alias("terms")), "holders"), rows.count(), df_term, alpha, least)
+    # of equal texts the first row stands for all
+    of = settle(join_unique(holders.select("row", "h"), groups, ["h"], "n", "left").select("row", F.coalesce("first", "row").alias("rep"), F.coalesce("n", F.lit(1)).alias("n")), "representatives")
+    texts = holders.join(of.where("row = rep").select("row", "n"), "row")
+    counts = docs.select(F.explode(_terms(text)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df_term"))
+    if again["groups"]:  # less the further copies
+        copied = perhaps_among(docs.select(_text_key(text).alias("h"), text.alias("text")), "h", groups.select("h"), again["groups"]).select("h", _terms(F.col("text")).alias("terms"))
+        less = copied.dropDuplicates(["h"]).join(groups, "h").select(F.explode("terms").alias("t"), (1 - F.col("n")).alias("df_term"))
+        counts = counts.unionByName(less).groupBy("t").agg(F.sum("df_term").alias("df_term"))
+    told = disclosures(settle(texts.select("row", "entities", _terms(F.col("text")).alias("terms")), "holders"), rows.count() - again["rows"], counts, alpha, least)
     hits = told.groupBy("row").agg(F.collect_set("t").alias("told"))  # a text's own terms
     more = _matches(F.col("text"), TERM, 4, lambda v: F.array_contains("told", _term(v)))
     more = F.filter(more, lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    more = holders.join(hits, "row").select("row", F.transform(more, lambda t: t.withField("v", F.lit(""))).cast(SPAN).alias("more"))
-    out = rows.select("row", "doc_id", "tag", "base").join(more, "row", "left")
-    return out.select("doc_id", "tag", "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("every"))
+    more = settle(texts.join(hits, "row").select(F.col("row").alias("rep"), "n", F.transform(more, lambda t: t.withField("v", F.lit(""))).cast(SPAN).alias("more")), "terms_of_texts")
+    found = join_unique(holders.select("row", "doc_id", "tag", "base").join(of.drop("n"), "row"), more, ["rep"], "n", "left")
+    every = F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(SPAN))))
+    return found.select("doc_id", "tag", "base", every.alias("every")).unionByName(rows.where("entities IS NULL").select("doc_id", "tag", "base", F.col("base").alias("every")))
 
 
 def joined(spans: Column) -> Column:

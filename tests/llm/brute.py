@@ -103,7 +103,8 @@ def pii(text):
 
 
 def disclosed(texts, alpha, least):
-    """Spans of the disclosing terms by text."""
+    """Spans of the disclosing terms by text; equal texts count once."""
+    everywhere, texts = texts, sorted(set(texts))
     spans = [pii(t) for t in texts]
     terms = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{4,}", t)] for t in texts]
     digits = lambda s: re.sub("[^0-9]", "", s)
@@ -115,4 +116,5 @@ def disclosed(texts, alpha, least):
         df_e.update(e)
         both.update((x, y) for x in e for y in own)
     told = {(x, y) for (x, y), c in both.items() if c >= least and math.log2(c * n / (df_t[y] * df_e[x])) >= alpha * math.log2(n / df_e[x])}
-    return [tuple((s, z) for s, z, y in w if any((x, y) in told for x in e) and not any(p < z and s < q for p, _, q in base)) for e, w, base in zip(entities, terms, spans)]
+    found = {t: tuple((s, z) for s, z, y in w if any((x, y) in told for x in e) and not any(p < z and s < q for p, _, q in base)) for t, e, w, base in zip(texts, entities, terms, spans)}
+    return [found[t] for t in everywhere]

@@ -201,6 +201,14 @@ def test_targets_stop_at_three_times(spark):
     assert got["a"] == 30 and got[None] == 0 and got["b"] == pytest.approx(2 * got["c"]) and sum(got.values()) == pytest.approx(2010)
 
 
+def test_targets_are_linear_in_sources(spark):
+    """A hundred thousand sources of one document each; a frame summed anew for each source would take minutes."""
+    sizes = spark.range(100_000).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"), (F.col("id") % 7 + 1).alias("size"))
+    began = time.perf_counter()
+    got = mixing.targets(sizes).agg(F.sum("target"), F.sum("source_size"), F.max(F.col("target") / F.col("source_size"))).first()
+    assert time.perf_counter() - began < 30 and got[0] == pytest.approx(got[1]) and got[2] <= 3 + 1e-9
+
+
 @pytest.mark.parametrize("k,num,den,whole,rows,tokens", [(4, 85, 100, 512, 4096, 1_000_000), (5, 80, 100, 20, 3, 400), (2, 50, 100, ngram.EXACT, 4096, 600)])
 def test_ngram_join(docs, none, plain, monkeypatch, k, num, den, whole, rows, tokens):
     monkeypatch.setattr(ngram, "BLOCK_ROWS", rows)
@@ -330,6 +338,25 @@ def test_lines_within_a_text_are_told_apart(spark):
     assert rules.train(docs, labels, max_lines=1) is None
 
 
+def test_one_very_long_rated_document_displaces_no_other(spark):
+    rng = random.Random(7)
+    rows = [(k, "\n".join(" ".join(rng.choice(VOCABULARY) for _ in range(12)) + "." for _ in range(8)), 1) for k in range(40)]
+    rows += [(100 + k, "\n".join(f"MENU {rng.randrange(99)} | {rng.randrange(99)} | #{rng.randrange(9)}" for _ in range(30)), 0) for k in range(40)]
+    for huge in ([], [(k, "\n".join(f"A LINK {j} | {j % 7}" for j in range(3000)), 0) for k in range(1000, 1004)]):
+        docs = spark.createDataFrame([r[:2] for r in rows + huge], "doc_id long, text string")
+        labels = spark.createDataFrame([(d, q) for d, _, q in rows + huge], "doc_id long, quality int")
+        model = rules.train(docs, labels, max_lines=2500)
+        kept = {r["doc_id"]: r["kept"] for r in rules.label(docs, model).where("NOT base_failed").collect()}
+        assert model is not None and all(kept[d] == (q == 1) for d, _, q in rows if d in kept) and sum(kept.values()) >= 30
+    with pytest.warns(UserWarning, match="one kind"):
+        assert rules.train(docs, labels, max_lines=1) is None
+
+
+@pytest.mark.parametrize(("sizes", "most", "cut"), [([5, 1, 100], 1000, 100), ([5, 1, 100], 20, 14), ([5, 1, 100], 8, 3), ([9, 9], 9, 4), ([3, 3, 3], 2, 0), ([], 5, 1)])
+def test_lines_are_cut_level(sizes, most, cut):
+    assert rules.level_cut(sizes, most) == cut and (not cut or sum(min(n, cut) for n in sizes) <= most)
+
+
 def test_chat_collapse(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", "ab"), (5, 0, None, None), (5, 0, None, None), (None, None, "user", "hi"), (None, 1, "user", "x")]
     logs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"hash": F.lit(1), "turns": F.lit(2)})
@@ -498,6 +525,23 @@ def test_disclosures_against_brute_force(spark, monkeypatch, hot):
     assert counted((r["doc_id"], tuple((x["s"], x["e"]) for x in r["every"] if x["k"] == 4)) for r in got) == counted((d, s) for (d, _), s in zip(rows, want))
 
 
+def test_copies_are_no_evidence(spark, monkeypatch):
+    """Any number of copies of a text with an address change nothing, whether they meet by broadcast or not."""
+    rows = [(k, f"plain words here {k}") for k in range(40)] + [(100, "ask Zorbax about a@b.co"), (101, "rarely quoted passage of c@d.co"), (102, "Zorbax wrote to a@b.co today")]
+    once = {r["doc_id"]: joined_spans(r) for r in pii.found_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for _, _, k in once[100]] == [4, 0] and [k for _, _, k in once[101]] == [0]
+    copies = rows + [(200 + k, rows[k % 3 + 40][1]) for k in range(30)] + [(300 + k, rows[3][1]) for k in range(9)]
+    for hot in (2, 2000):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        out = pii.found_spans(spark.createDataFrame(copies, "doc_id long, text string").repartition(3)).collect()
+        assert len(out) == len(copies)
+        assert all(joined_spans(r) == (once[r["doc_id"]] if r["doc_id"] < 200 else once[100 + (r["doc_id"] - 200) % 3] if r["doc_id"] < 300 else []) for r in out)
+
+
+def joined_spans(r):
+    return [(x["s"], x["e"], x["k"]) for x in r["every"]]
+
+
 LONG = {"letters": "x@ " + "a" * 1_000_000, "digits": "1." + "1" * 1_000_000, "addresses": " ".join(f"user{k}@host{k}.org" for k in range(45_000)), "phone": "+1" + " " * 1_000_000, "ips": "1." * 500_000, "cards": "4111 1111 1111 1111, " * 48_000}
 
 
