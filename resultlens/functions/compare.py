@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from .text import strip
 
 MODES = ("positional", "agnostic", "named", "raw", "graded")
+#: Rows from which a result is ranked by ranges, and into how many.
+LARGE_RESULT, RANGES = 1_000_000, 64
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -131,6 +133,30 @@ def signatures(results: DataFrame, cells: DataFrame, columns: Sequence[str], res
     return results.join(sets, result, "left").withColumn("signature", F.when(F.col("ok"), value).otherwise(F.concat(F.lit("ERROR: "), error))).drop("__v")
 
 
+def ranked_rows(keyed: DataFrame, result: str, order: str) -> DataFrame:
+    """The rows (result, order, key) with `nth`, the place among rows of the same key, and `rank`, the place in the result, both by `order`.
+
+    A result of more than ``LARGE_RESULT`` rows is dealt to ranges of `order`: ranges are counted, and rows numbered within theirs, so no task sorts a whole result. Results that small need no counts."""
+    place = lambda *by: F.row_number().over(Window.partitionBy(result, *by).orderBy(order))
+    sizes = keyed.groupBy(result).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(order, F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), F.lit(20 * RANGES)).alias("bounds"))
+    large = keyed.groupBy(result).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_RESULT).select(result)
+    whole = lambda rows: rows.select(result, "key", place("key").alias("nth"), place().alias("rank"))
+    if large.isEmpty():
+        return whole(keyed)
+    bounds = F.broadcast(sizes.join(large, result, "left_semi").select(result, "bounds"))  # fewer than one row in LARGE_RESULT
+    dealt = keyed.join(bounds, result).withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col(order)))).drop("bounds")
+
+    def ahead(*by: str) -> DataFrame:
+        """How many rows the ranges before each range have."""
+        counts = dealt.groupBy(result, *by, "range").agg(F.count(F.lit(1)).alias("__n"))
+        return counts.withColumn("__n", F.sum("__n").over(Window.partitionBy(result, *by).orderBy("range")) - F.col("__n"))
+
+    inside = dealt.withColumns({"__nth": place("key", "range"), "__rank": place("range")})
+    numbered = inside.join(ahead("key").withColumnRenamed("__n", "__k"), [result, "key", "range"]).join(ahead().withColumnRenamed("__n", "__r"), [result, "range"])
+    numbered = numbered.select(result, "key", (F.col("__nth") + F.col("__k")).alias("nth"), (F.col("__rank") + F.col("__r")).alias("rank"))
+    return whole(keyed.join(F.broadcast(large), result, "left_anti")).unionByName(numbered)
+
+
 def graded(pairs: DataFrame, cells: DataFrame, columns: Sequence[str], order: str, mode: str = "rankcorr", alpha: float = 0.5, gamma: float = 1.2, left: str = "pred_id", right: str = "gold_id", result: str = "result_id") -> DataFrame:
     """The pairs with coverage, order_score and score in [0, 1].
 
@@ -139,11 +165,7 @@ def graded(pairs: DataFrame, cells: DataFrame, columns: Sequence[str], order: st
     if mode not in ("rankcorr", "footrule"):
         raise ValueError(f"no such mode: {mode}")
     keyed = cells.select(result, order, row_key(cells, columns, "graded").alias("key"))
-    ranked = keyed.select(
-        result, "key",
-        F.row_number().over(Window.partitionBy(result, "key").orderBy(order)).alias("nth"),
-        F.row_number().over(Window.partitionBy(result).orderBy(order)).alias("rank"),
-    )
+    ranked = ranked_rows(keyed, result, order)
     size = ranked.groupBy(result).agg(F.count(F.lit(1)).alias("n"))
     pred = pairs.select(left, right).distinct()
     common = (

@@ -266,26 +266,37 @@ def _(spark, d):
     return metrics.time_ratio(b.t(spark, d, "events").withColumnRenamed("event_type", "sql_idx"), "sql_idx", "value", "user_id").withColumn("ratio", F.round("ratio", 6))
 
 
-@query("pair_quality", f"""WITH {b.CAND}, {b.GT_CACHE}, n AS (SELECT l_orderkey AS result_id, count(*) AS n FROM lineitem GROUP BY ALL), g AS (SELECT sample_id, result_id AS gold_id, ok AS gold_ok FROM cand WHERE idx = 0)
-SELECT c.result_id, c.ok AND coalesce(gold_ok, false) AND c.result_id = gold_id AS execution_correct, CASE WHEN c.ok THEN '' ELSE error END AS pred_error, CASE WHEN c.ok THEN coalesce(p.n, 0) ELSE 0 END AS pred_rows, CASE WHEN gold_ok THEN coalesce(q.n, 0) ELSE 0 END AS gold_rows
-FROM cand c JOIN g USING (sample_id) LEFT JOIN n p ON p.result_id = c.result_id LEFT JOIN n q ON q.result_id = gold_id""")
-def _(spark, d):
+_SETS = """sets AS (SELECT result_id, count(*) AS n, string_agg(DISTINCT c1 || ':' || c2 || ':' || c3, ';' ORDER BY c1 || ':' || c2 || ':' || c3) AS v FROM cells GROUP BY result_id)"""
+
+
+def _compared(spark, d):
+    """Candidates with the sample's ground truth, whether it ran, and whether both results are equal sets of rows."""
     c = b.cand(spark, d)
+    g = c.where("idx = 0").select("sample_id", F.col("result_id").alias("gold_id"), F.col("ok").alias("gold_ok"), F.col("sql_text").alias("gold_sql"))
+    rows = c.join(g, "sample_id")
+    same = compare.compare_sets(rows.select(F.col("result_id").alias("pred_id"), "gold_id"), b.bag(spark, d), ["c1", "c2", "c3"], "positional")
+    return rows.join(same.withColumnRenamed("pred_id", "result_id"), ["result_id", "gold_id"]).withColumns({"pred_ok": F.col("ok"), "pred_error": F.col("error")})
+
+
+@query("pair_quality", f"""WITH {b.CAND}, {b.CELLS}, {_SETS}, g AS (SELECT sample_id, result_id AS gold_id, ok AS gold_ok FROM cand WHERE idx = 0)
+SELECT c.result_id, c.ok AND coalesce(gold_ok, false) AND p.v IS NOT DISTINCT FROM q.v AS execution_correct, CASE WHEN c.ok THEN '' ELSE error END AS pred_error, CASE WHEN c.ok THEN coalesce(p.n, 0) ELSE 0 END AS pred_rows, CASE WHEN gold_ok THEN coalesce(q.n, 0) ELSE 0 END AS gold_rows
+FROM cand c JOIN g USING (sample_id) LEFT JOIN sets p ON p.result_id = c.result_id LEFT JOIN sets q ON q.result_id = gold_id""")
+def _(spark, d):
     n = b.bag(spark, d).groupBy("result_id").agg(F.count(F.lit(1)).alias("n"))
-    g = c.where("idx = 0").select("sample_id", F.col("result_id").alias("gold_id"), F.col("ok").alias("gold_ok"))
-    rows = c.join(g, "sample_id").join(n.withColumnRenamed("n", "pred_rows"), "result_id", "left").join(n.select(F.col("result_id").alias("gold_id"), F.col("n").alias("gold_rows")), "gold_id", "left")
-    rows = rows.withColumns({"pred_ok": F.col("ok"), "pred_error": F.col("error"), "equal": F.col("result_id") == F.col("gold_id")})
+    rows = _compared(spark, d).join(n.withColumnRenamed("n", "pred_rows"), "result_id", "left").join(n.select(F.col("result_id").alias("gold_id"), F.col("n").alias("gold_rows")), "gold_id", "left")
     return metrics.pair_quality(rows).select("result_id", "execution_correct", "pred_error", "pred_rows", "gold_rows")
 
 
-@query("verdict_chain", f"""WITH {b.CAND}, {b.GT_CACHE} SELECT c.result_id, CASE WHEN c.result_id % 13 = 0 THEN 'missing dataset or db' WHEN c.result_id % 17 = 0 THEN 'missing predicted sql' WHEN status IS NULL THEN 'missing ground truth' WHEN NOT ok THEN 'prediction failed'
-WHEN status <> 'rows' THEN 'ground truth failed' WHEN n_rows % 2 = 1 THEN 'results differ' ELSE '' END AS reason, reason = '' AS verdict_ok FROM cand c LEFT JOIN gt_cache g USING (result_id)""")
+@query("verdict_chain", f"""WITH {b.CAND}, {b.CELLS}, {_SETS}, {b.GT_CACHE}, g AS (SELECT sample_id, result_id AS gold_id, ok AS gold_ok FROM cand WHERE idx = 0)
+SELECT c.result_id, CASE WHEN c_custkey IS NULL THEN 'missing dataset or db' WHEN sample_id IS NULL THEN 'missing predicted sql' WHEN status IS NULL THEN 'missing ground truth' WHEN NOT ok THEN 'prediction failed'
+WHEN NOT (gold_ok AND status = 'rows') THEN 'ground truth failed' WHEN p.v IS DISTINCT FROM q.v THEN 'results differ' ELSE '' END AS reason, reason = '' AS verdict_ok
+FROM cand c JOIN g USING (sample_id) LEFT JOIN sets p ON p.result_id = c.result_id LEFT JOIN sets q ON q.result_id = gold_id LEFT JOIN gt_cache t ON t.result_id = gold_id LEFT JOIN customer ON c_custkey = sample_id AND c_acctbal >= 0""")
 def _(spark, d):
-    rows = b.cand(spark, d).join(b.gt_cache(spark, d), "result_id", "left")
-    rows = rows.withColumns({
-        "db_id": F.when(F.col("result_id") % 13 != 0, "db"), "pred_sql": F.when(F.col("result_id") % 17 != 0, F.col("sql_text")), "gold_sql": F.when(F.col("status").isNotNull(), "x"),
-        "pred_ok": F.col("ok"), "gold_ok": F.col("status") == "rows", "equal": F.col("n_rows") % 2 == 0,
-    })
+    """The database of a sample is that of its customer, where the account is not overdrawn; its ground truth is that of the cache."""
+    known = b.gt_cache(spark, d).select(F.col("result_id").alias("gold_id"), "status")
+    dbs = b.t(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("sample_id"), F.lit("db").alias("db_id"))
+    rows = _compared(spark, d).join(known, "gold_id", "left").join(dbs, "sample_id", "left")
+    rows = rows.withColumns({"pred_sql": F.col("sql_text"), "gold_sql": F.when(F.col("status").isNotNull(), F.col("gold_sql")), "gold_ok": F.col("gold_ok") & (F.col("status") == "rows")})
     return metrics.verdict(rows).select("result_id", "reason", "verdict_ok")
 
 

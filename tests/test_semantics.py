@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -140,16 +143,37 @@ def test_completions(spark):
     assert df.select(text.normalize_sql(F.lit("\tselect\n  1 ;; "))).first()[0] == "select 1"
 
 
-def test_decomposer_on_nested_sql():
-    sql = """WITH busy AS (SELECT f.pilot_no, COUNT(f.leg_no) n FROM flights f WHERE f.delayed = 0 GROUP BY f.pilot_no HAVING COUNT(f.leg_no) >= 12)
-    SELECT DISTINCT p.surname, b.n AS legs FROM busy b LEFT JOIN pilots p ON b.pilot_no = p.no
-    WHERE p.base IN ('OSL', 'BGO') AND EXISTS (SELECT 2 FROM ratings r WHERE r.pilot = p.no) ORDER BY p.surname LIMIT 8"""
+def test_decomposer_on_joins_of_derived_tables():
+    """Terms of a conjunction come in the order of their text; arithmetic keeps the statement's own."""
+    sql = """SELECT h.city, MAX(q.total) - 1 AS top FROM (SELECT o.hotel, SUM(o.price) AS total FROM orders o WHERE o.price > 0 GROUP BY o.hotel) q
+    RIGHT JOIN hotels h ON q.hotel = h.code AND h.stars < 3 WHERE h.city LIKE 'A%' GROUP BY h.city ORDER BY top DESC"""
     assert sql_ops(sql) == [
-        "WITH_CTE(busy)", "ENTER_SUBQUERY(CTE)", "FROM(flights as T1)", "SELECT_COL(pilot_no)", "SELECT_AGG(COUNT, leg_no)", "ALIAS(COLUMN, COUNT(leg_no), n)", "WHERE_PRED(EQ, delayed, VALUE(0))", "GROUP_BY(pilot_no)",
-        "HAVING_PRED(GTE, COUNT(leg_no), VALUE(12))", "EXIT_SUBQUERY", "FROM(busy as T1)", "JOIN(pilots, LEFT)", "ON_EQ(T1.pilot_no, T2.no)", "SELECT_COL(surname)", "SELECT_COL(n)", "ALIAS(COLUMN, n, legs)",
-        "DISTINCT", "ENTER_SUBQUERY(WHERE_EXISTS)", "FROM(ratings as T1)", "SELECT_EXPR(VALUE(2))", "WHERE_PRED(EQ, pilot, no)", "EXIT_SUBQUERY", "WHERE_PRED(EXISTS_SUBQ, TRUE, SUBQ_LAST)",
-        "WHERE_PRED(IN, base, [VALUE('OSL'), VALUE('BGO')])", "ORDER_BY(surname, ASC)", "LIMIT(8)",
+        "ENTER_SUBQUERY(FROM)", "FROM(orders as T1)", "SELECT_COL(hotel)", "SELECT_AGG(SUM, price)", "ALIAS(COLUMN, SUM(price), total)", "WHERE_PRED(GT, price, VALUE(0))", "GROUP_BY(hotel)", "EXIT_SUBQUERY",
+        "FROM(SUBQUERY as T1)", "JOIN(hotels, RIGHT)", "ON_PRED(LT, T2.stars, VALUE(3))", "ON_EQ(T1.hotel, T2.code)", "SELECT_COL(city)", "SELECT_EXPR(MAX(q.total) - 1)", "ALIAS(COLUMN, MAX(q.total) - 1, top)",
+        "WHERE_PRED(LIKE, city, VALUE('A%'))", "GROUP_BY(city)", "ORDER_BY(top, DESC)",
+    ]
+
+
+def test_decomposer_on_set_operations_and_windows():
+    assert sql_ops("SELECT team FROM wins EXCEPT SELECT team FROM bans WHERE season BETWEEN 3 AND 9") == [
+        "FROM(wins as T1)", "SELECT_COL(team)", "EXCEPT", "ENTER_SUBQUERY(SET_RIGHT)", "FROM(bans as T1)", "SELECT_COL(team)", "WHERE_PRED(BETWEEN, season, [VALUE(3), VALUE(9)])", "EXIT_SUBQUERY",
     ]
+    assert sql_ops("SELECT player, SUM(score) OVER (ORDER BY played) AS so_far FROM games g CROSS JOIN seasons s LIMIT 2") == [
+        "FROM(games as T1)", "JOIN(seasons, CROSS)", "SELECT_COL(player)", "WINDOW(order_by=[played ASC])", "SELECT_WIN(SUM, score)", "ALIAS(COLUMN, SUM(score), so_far)", "LIMIT(2)",
+    ]
+
+
+@pytest.mark.parametrize("mode", ["rankcorr", "footrule"])
+def test_results_ranked_by_ranges(spark, monkeypatch, mode):
+    """Large results are dealt to ranges and score as in one piece; repeated rows are in all ranges."""
+    rng = random.Random(3)
+    cells = spark.createDataFrame([(r, k, rng.choice("abc"), float(rng.randint(0, 9 if r < 3 else 1))) for r, n in ((1, 300), (2, 280), (3, 12), (4, 0), (5, 90)) for k in range(n)], "result_id int, pos int, c1 string, c2 double")
+    pairs = spark.createDataFrame([(p, g) for p in (1, 2, 3, 4, 5, None) for g in (1, 2, 3, 4)], "pred_id int, gold_id int")
+    show = lambda: sorted(map(str, (tuple(r) for r in compare.graded(pairs, cells, ["c1", "c2"], "pos", mode).collect())))
+    want = show()
+    monkeypatch.setattr(compare, "LARGE_RESULT", 50)
+    ranked = compare.ranked_rows(cells.withColumn("key", F.col("c1")), "result_id", "pos")
+    assert show() == want and ranked.where("result_id = 1").agg(F.count_distinct("rank"), F.max("rank")).first() == (300, 300)
 
 
 def test_decomposer_forms():
