@@ -87,6 +87,13 @@ def error_taxonomy(error: Column, sql: Column) -> Column:
     return F.when(strip(F.coalesce(sql, F.lit(""))) == "", "empty").when(error.isNull(), "none").when(F.lower(error).rlike("|".join((*INFRA, "connection"))), "infrastructure").otherwise("syntax")
 
 
+def result_taxonomy(sql: Column, cached: Column, envelope: Column) -> Column:
+    """What became of a candidate by its envelope (JSON): empty, no result where the cache has none, bad format where it is none, success, infrastructure or syntax."""
+    parsed = F.from_json(envelope, "ok boolean, error string")
+    failed = F.when(F.lower(F.coalesce(parsed["error"], F.lit(""))).rlike("|".join((*INFRA, "connection"))), "infrastructure").otherwise("syntax")
+    return F.when(strip(F.coalesce(sql, F.lit(""))) == "", "empty").when(~F.coalesce(cached, F.lit(False)), "no result").when(parsed["ok"].isNull(), "bad format").when(parsed["ok"], "success").otherwise(failed)
+
+
 def infra_tag(error: Column) -> Column:
     """First match of timeout, aborted connection, other infrastructure."""
     e = F.lower(error)

@@ -25,7 +25,7 @@ def test_no_python_where_built_ins_do(spark, sf):
     import io
 
     for name, query in QUERIES.items():
-        if name.startswith("ops_"):
+        if name.startswith("ops_") or name == "reward_from_parts":  # they parse statements
             continue
         out = io.StringIO()
         with contextlib.redirect_stdout(out):
