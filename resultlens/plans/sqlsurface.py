@@ -49,6 +49,13 @@ SPELLED = {
     "exec_glob": ("SELECT p_partkey FROM part WHERE p_brand GLOB 'Brand#[12]?' AND NOT p_name GLOB '*z*'", "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#[12].') AND NOT contains(p_name, 'z')"),
     "exec_dates": ("SELECT o_orderkey, date(o_orderdate) AS day, julianday(o_orderdate) - julianday('1992-01-01') AS days, strftime('%Y-%m', o_orderdate) AS month FROM orders",
         "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, epoch(o_orderdate - TIMESTAMP '1992-01-01') / 86400 AS days, strftime(o_orderdate, '%Y-%m') AS month FROM orders"),
+    "exec_date_modifiers": ("SELECT o_orderkey, date(o_orderdate, 'start of month', '+1 month', '-1 day') AS last_day, date(o_orderdate, '+1 month') AS month_on, datetime(o_orderdate, '-90 minutes') AS before, strftime('%w', o_orderdate, '+36 hours') AS weekday, date(o_orderdate, 'weekday 0') AS sunday FROM orders",
+        """SELECT o_orderkey, strftime(last_day(o_orderdate), '%Y-%m-%d') AS last_day, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH + to_days(CAST(day(o_orderdate) - 1 AS INTEGER)), '%Y-%m-%d') AS month_on, strftime(o_orderdate - INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS before,
+        CAST(dayofweek(o_orderdate + INTERVAL 36 HOUR) AS VARCHAR) AS weekday, strftime(o_orderdate + to_days(CAST((7 - dayofweek(o_orderdate)) % 7 AS INTEGER)), '%Y-%m-%d') AS sunday FROM orders"""),
+    "exec_printf": ("SELECT o_orderkey, printf('%08d|%s', o_orderkey, o_orderstatus) AS code, printf('%d%%', o_totalprice) AS whole, instr(o_orderpriority, '-') AS at FROM orders",
+        "SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || '|' || o_orderstatus AS code, CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) || '%' AS whole, CAST(instr(o_orderpriority, '-') AS INTEGER) AS at FROM orders"),
+    "exec_text_numbers": ("SELECT o_orderkey, o_orderpriority + 0 AS urgency, o_orderstatus * 1 AS none, '12abc' + o_orderkey AS more FROM orders",
+        "SELECT o_orderkey, CAST(coalesce(nullif(regexp_extract(o_orderpriority, '^[0-9]+'), ''), '0') AS DOUBLE) AS urgency, CAST(0 AS DOUBLE) AS none, 12 + o_orderkey AS more FROM orders"),
     "exec_group_concat": ("SELECT n_regionkey, count(*) AS n, group_concat(DISTINCT n_regionkey) AS keys, total(n_nationkey) AS t, iif(n_regionkey > 2, 'high', 'low') AS half FROM nation GROUP BY n_regionkey",
         "SELECT n_regionkey, count(*) AS n, CAST(n_regionkey AS VARCHAR) AS keys, CAST(sum(n_nationkey) AS BIGINT) AS t, CASE WHEN n_regionkey > 2 THEN 'high' ELSE 'low' END AS half FROM nation GROUP BY n_regionkey"),
     "exec_null_order": ("SELECT k FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 3 UNION ALL SELECT NULL) t ORDER BY k LIMIT 2", "SELECT k FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 3 UNION ALL SELECT NULL) t ORDER BY k NULLS FIRST LIMIT 2"),

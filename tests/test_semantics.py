@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from resultlens.functions import compare, text
 from resultlens.operators import etl, metrics, sqlops, vote
-from resultlens.operators.dialect import to_spark
+from resultlens.operators.dialect import SETTINGS, to_spark
 from resultlens.operators.sqlops import sql_ops
 
 
@@ -219,3 +219,35 @@ def test_pending_knows_every_model(spark):
     done = spark.createDataFrame([("m0", 1, True), ("m1499", 2, True), ("m7", 1, False)], "model_name string, sample_id int, ok boolean")
     assert etl.pending(samples, models, done).count() == 2997
     assert etl.pending(samples, models, done, retry_failed=True).count() == 2998
+
+
+SPELLINGS = (
+    "date(d, '+1 month')", "date(d, '-1 year')", "datetime(d, 'start of month', '+1 month', '-1 day')", "date(d, 'weekday 0')", "strftime('%w|%j|%H:%M', d, '+36 hours')", "strftime('%s', d)", "julianday(d, '+1.5 days')",
+    "time(d, '-90 seconds')", "datetime(id * 86400, 'unixepoch')", "strftime('%Y-%m-%dT%H:%M:%SZ', d)", "strftime('%Y%%', d)", "printf('%.2f', x)", "printf('%05d|%s|%d%%', id, s, x)", "printf('%d', s)", "format('%-6s|%6.1f', s, s)",
+    "printf('%s-%s', id)", "instr(s, 'a')", "s + 0", "0 + id", "s * 1 + id", "'12abc' + id", "id - '2x'", "id * 2 + 0", "s + 0 + s * 1.0", "-id + 0", "id + 0 * 2", "count(*) OVER () + 0", "(id + 1) / 2 + 0", "id || '' + 0", "'a-b' || id",
+)
+
+
+@pytest.mark.parametrize("expression", SPELLINGS)
+def test_spellings_against_sqlite(spark, expression):
+    import sqlite3
+
+    rows = [(1, "2020-01-31 10:20:30", "12abc", 1.5), (2, "2024-02-29", "x", -2.25), (3, "1999-12-31 23:59:59", "-3.5e1z", 0.125), (4, None, None, None), (5, "2021-08-01", " 7", 1e3)]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE TABLE t(id INT, d TEXT, s TEXT, x REAL)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", rows)
+    session = spark.newSession()
+    for name, value in SETTINGS.items():
+        session.conf.set(name, value)
+    session.conf.set("spark.sql.session.timeZone", "UTC")
+    session.createDataFrame(rows, "id int, d string, s string, x double").createOrReplaceTempView("t")
+    sql = f"SELECT {expression} AS r FROM t ORDER BY id"
+    want, got = [r for (r,) in con.execute(sql)], [r for (r,) in session.sql(to_spark(sql)).collect()]
+    if any(isinstance(r, str) for r in got) and not any(isinstance(r, str) for r in want):
+        got = [float(r) for r in got]
+    assert got == pytest.approx(want) if not any(isinstance(r, str) for r in want) else got == want
+
+
+def test_spellings_beyond_the_dialect_stay():
+    for sql in ("SELECT date(d, m) FROM t", "SELECT date(d, '+1.5 months') FROM t", "SELECT printf(f, a) FROM t", "SELECT a - b, * FROM t", "SELECT count(*) FROM t"):
+        assert to_spark(sql) == sql
