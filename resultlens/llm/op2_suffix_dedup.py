@@ -162,8 +162,9 @@ def shard(pieces: list[tuple[int, int, int, np.ndarray]], known: list[tuple[np.n
 
 
 def _sharded(found: DataFrame, ranges: int, size: int, gram: int) -> DataFrame:
-    total = found.groupBy("cluster").agg(F.ceil(F.sum(F.col("windows") + size) / (4 * SHARD)).alias("pieces"))
-    dealt = found.join(total, "cluster").withColumn("deal", F.pmod(F.xxhash64("h1"), "pieces"))
+    total = found.groupBy("cluster").agg(F.ceil(F.sum(F.col("windows") + size) / (4 * SHARD)).alias("pieces"), F.count(F.lit(1)).alias("n"))
+    large = settle(total.where("pieces > 1"), "clusters")  # dealt before their texts move
+    dealt = join_unique(found, large, ["cluster"], "n", "left").withColumn("deal", F.pmod(F.xxhash64("h1"), F.coalesce("pieces", F.lit(1))))
     dealt = dealt.repartition("cluster", "deal").sortWithinPartitions("cluster", "deal", "h1", "h2").select("h1", "h2", "text", "low", "high", "anchors", "counts")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
