@@ -101,19 +101,37 @@ def bloom_words(keys: DataFrame, bits: int) -> DataFrame:
     return keys.select(word.alias("word"), bloom_mask(*places).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("set"))
 
 
-def bloom_tested(rows: DataFrame, key: str, words: DataFrame, bits: int) -> DataFrame:
-    """The rows with a boolean column `maybe`: false where the key surely is not in the filter. Up to SENT_WORDS words are broadcast, more are joined by shuffling the rows."""
+def bloom_tested(rows: DataFrame, key: str, words: DataFrame, bits: int, slices: int = 1) -> DataFrame:
+    """The rows with a boolean column `maybe`: false where the key surely is not in the filter. The words, or those of one of so many slices, are broadcast; more than SENT_WORDS of them are joined by shuffling the rows."""
     word, *places = bloom_place(F.col(key), bits)
     found = rows.withColumns({"__word": word, "__mask": bloom_mask(*places)})
     words = words.select(F.col("word").alias("__word"), F.col("set").alias("__set"))
-    found = found.join(F.broadcast(words) if bits // 64 <= SENT_WORDS else words, "__word", "left")
+    found = found.join(F.broadcast(words) if bits // 64 <= slices * SENT_WORDS else words, "__word", "left")
     return found.withColumn("maybe", F.coalesce(F.col("__set").bitwiseAND(F.col("__mask")) == F.col("__mask"), F.lit(False))).drop("__word", "__mask", "__set")
 
 
+def bloom_slices(rows: DataFrame, key: str, words: DataFrame, bits: int) -> list[DataFrame]:
+    """`bloom_tested` of settled rows for a filter of any size, one frame a slice of the filter: up to SENT_WORDS words, broadcast, and the rows that fall there. No row moves. Rows and words are written in the order of their
+    slices within each partition, so a slice reads its own pages only."""
+    slices = -(-(bits // 64) // SENT_WORDS)
+    of = F.pmod(bloom_place(F.col(key), bits)[0], F.lit(slices))
+    sliced = settle(rows.withColumn("__slice", of).sortWithinPartitions("__slice"), "sliced_rows")
+    words = settle(words.withColumn("__slice", F.pmod("word", F.lit(slices))).sortWithinPartitions("__slice"), "sliced_words")
+    return [bloom_tested(sliced.where(F.col("__slice") == k).drop("__slice"), key, words.where(F.col("__slice") == k), bits, slices) for k in range(slices)]
+
+
+def settle_all(parts: list[DataFrame], name: str) -> DataFrame:
+    """The parts, of one schema, written one after another, as one table in the shared folder. What a part broadcasts is let go before the next."""
+    path, spark = f"{scratch(parts[0].sparkSession)}/{name}-{uuid.uuid4().hex}", parts[0].sparkSession
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(parts[0].schema).parquet(path)
+
+
 def perhaps_among(rows: DataFrame, key: str, keys: DataFrame, n: int) -> DataFrame:
-    """The rows whose key may be among the n keys (one column), by a broadcast Bloom filter of up to SENT_WORDS words; for more keys, all rows. A join decides afterwards."""
-    bits = bloom_bits(n)
-    return bloom_tested(rows, key, bloom_words(keys, bits), bits).where("maybe").drop("maybe") if bits // 64 <= SENT_WORDS else rows
+    """The rows whose key may be among the n keys (one column), by a broadcast Bloom filter of up to SENT_WORDS words; beyond 16 bits a key in as many words, it lets more of the others through. A join decides afterwards."""
+    bits = min(bloom_bits(n), 64 * SENT_WORDS)
+    return bloom_tested(rows, key, bloom_words(keys, bits), bits).where("maybe").drop("maybe") if bits else rows
 
 
 def partitions(df: DataFrame, rows: int, per: int) -> int:

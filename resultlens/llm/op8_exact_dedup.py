@@ -6,9 +6,10 @@ against that filter: where not both bits were set twice, the text is surely uniq
 only the possibly repeated hashes shuffle, whole SHA-256, which decides. What Bloom errors let through is found
 unique there, so the result is exact.
 
-The filter has 16 bits a row or more at every size. Up to ``SENT_WORDS`` words (4 million rows) it is broadcast; a larger one meets the hashes by shuffling those, never the texts. Where texts are to be
-returned (``drop_copies``), a second filter of the hashes that truly repeat lets the rows of all others pass where they are; beyond its bound texts move once. A hash of very many rows is no task's
-burden: it meets its group by broadcast (see ``join_unique``).
+The filter has 16 bits a row or more at every size. Up to ``SENT_WORDS`` words (4 million rows) it is broadcast at once; a larger one is broadcast slice by slice, each to the settled hashes that fall
+in it, so that unique rows do not move at any size. Where texts are to be returned (``drop_copies``), a second filter of the hashes that truly repeat lets the rows of all others pass where they are; it
+stays within ``SENT_WORDS`` words, so from 4 million repeated texts on it lets more rows through to the join (about a fifth of them at 16 million). A hash of very many rows is no task's burden: it meets
+its group by broadcast (see ``join_unique``).
 
 Null text counts as empty. Texts are equal when identical after lower-casing A-Z. Of equal texts the row with the
 largest doc_id stays; of rows that also share that doc_id, one. A null doc_id is the smallest. Empty tables give
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import bloom_bits, bloom_mask, bloom_place, bloom_tested, bloom_words, join_unique, lower_ascii, settle, table
+from .common import bloom_bits, bloom_mask, bloom_place, bloom_slices, bloom_tested, bloom_words, join_unique, lower_ascii, settle, settle_all, table
 
 
 def text_key(text: Column) -> Column:
@@ -36,6 +37,8 @@ def possibly_repeated(hashed: DataFrame) -> DataFrame:
     ones = hashed.select(word.alias("word"), F.explode(F.array_distinct(F.array(*places))).alias("place"))
     twice = ones.groupBy("word", "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     words = twice.groupBy("word").agg(F.bit_or(bloom_mask(F.col("place"))).alias("set"))
+    if 0 < common.SENT_WORDS < bits // 64:
+        return settle_all(bloom_slices(hashed, "sha", words, bits), "tested")
     return bloom_tested(hashed, "sha", settle(words, "filter"), bits)
 
 
@@ -57,8 +60,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     per_id = possibly_repeated(hashed).where("maybe").groupBy("sha", "id").agg(F.count(F.lit(1)).alias("n"))
     groups = per_id.groupBy("sha").agg(F.max(F.struct("id", "n")).alias("top"), F.sum("n").alias("size")).where("size > 1")
     groups = settle(groups.select("sha", F.col("top.id").alias("keep_id"), F.col("top.n").alias("n_top"), "size"), "groups")
-    bits = bloom_bits(groups.count())
-    if bits // 64 <= common.SENT_WORDS:
+    bits = min(bloom_bits(groups.count()), 64 * common.SENT_WORDS)
+    if bits:
         tested = bloom_tested(added, "sha", bloom_words(groups.select("sha"), bits), bits)
     else:
         tested = added.withColumn("maybe", F.lit(True))

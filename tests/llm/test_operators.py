@@ -478,6 +478,37 @@ def test_exact_dedup(docs, none, plain, monkeypatch):
     assert exact.decide(none).count() == 0 and exact.drop_copies(none).count() == 0
 
 
+def test_exact_dedup_by_slices_of_the_filter(spark, docs, none, monkeypatch):
+    whole, left = counted(exact.decide(docs).collect()), exact.drop_copies(docs).count()
+    monkeypatch.setattr(common, "MIN_BITS", 1 << 10)
+    for sent in (4, 1):  # 4 and 16 slices of at least 16 words; the second filter lets more through
+        monkeypatch.setattr(common, "SENT_WORDS", sent)
+        assert counted(exact.decide(docs).collect()) == whole and exact.drop_copies(docs).count() == left
+        assert exact.decide(none).count() == 0 and exact.drop_copies(none).count() == 0
+
+
+def test_slices_hold_each_row_once_and_move_none(spark, monkeypatch):
+    monkeypatch.setattr(common, "SENT_WORDS", 64)
+    monkeypatch.setattr(common, "MIN_BITS", 1 << 10)
+    keys = spark.range(0, 1000, 2).select(F.col("id").cast("string").alias("key"))
+    rows = common.settle(spark.range(1000).select(F.col("id").cast("string").alias("key")).repartition(3), "rows")
+    bits = common.bloom_bits(1000)
+    slices = common.bloom_slices(rows, "key", common.bloom_words(keys, bits), bits)
+    assert len(slices) == bits // 64 // 64 == 4
+    for one in slices:
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    found = {r["key"]: r["maybe"] for r in common.settle_all(slices, "found").collect()}
+    assert len(found) == 1000 and all(found[str(k)] for k in range(0, 1000, 2)) and sum(found.values()) < 560
+
+
+def test_filter_of_bounded_size_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(common, "SENT_WORDS", 8)
+    rows, keys = spark.range(2000).select(F.col("id").alias("key")), spark.range(300).select(F.col("id").alias("key"))
+    found = {r["key"] for r in common.perhaps_among(rows, "key", keys, 300).collect()}
+    assert set(range(300)) <= found and len(found) < 2000
+
+
 def test_pii(spark, sf, docs, none, plain, monkeypatch):
     for source, rows in ((docs, plain), (spark.read.parquet(f"{sf}/documents.parquet"), None)):
         rows = rows or [(r["doc_id"], r["text"]) for r in source.collect()]
@@ -637,3 +668,24 @@ def test_pipeline(spark, sf):
     assert Counter(d for d, _ in rows[4]) == Counter({d: n for d, n in taken.items() if n})
     assert kept[5].agg(F.sum("piece_tokens")).first()[0] == sum(len(brute.words(t)) for _, t in rows[4])
     assert counted(pipeline.run(spark, sf).groupBy("doc_id").agg(F.sum("piece_tokens")).collect()) == counted(kept[5].groupBy("doc_id").agg(F.sum("piece_tokens")).collect())
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, sf, docs, tmp_path):
+    """Nulls in any column, repeated rows, ids that repeat, clashing columns, then no documents at all: rows stay of documents, whole and once a taking."""
+    import corpus_pipeline as pipeline
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    for name, rows in (("odd", docs), ("empty", docs.limit(0))):
+        d = str(tmp_path / name)
+        rows.write.parquet(f"{d}/documents.parquet")
+        labels.write.parquet(f"{d}/labels.parquet")
+        kept = spark.read.parquet(f"{d}/documents.parquet")
+        for stage, function in pipeline.STAGES:
+            after = common.settle(function(spark, kept, d), stage)
+            if stage != "packing":
+                assert after.columns == docs.columns
+                assert after.select("doc_id", "text").distinct().exceptAll(rows.select("doc_id", "text").distinct()).count() == 0
+                kept = after
+        tokens = kept.agg(F.coalesce(F.sum(common.word_count(F.col("text"))), F.lit(0))).first()[0]
+        assert after.agg(F.coalesce(F.sum("piece_tokens"), F.lit(0))).first()[0] == tokens
+        assert (tokens > 0) == (name == "odd") and (pipeline.run(spark, d).count() > 0) == (name == "odd")
