@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +114,28 @@ def word_count(s: Column) -> Column:
     return F.size(tokens(s)).cast("long")
 
 
+def token_counter(vocabulary: str | None = None) -> Callable[[Column], Column]:
+    """What counts a text's tokens: by the tokenizer whose JSON file is named, special tokens taken as plain text, or words where none is named. Null has no count (by a tokenizer) or that of words.
+
+    The driver reads the file and sends it with the job, so executors need no copy of it; each Python worker builds the tokenizer once."""
+    if vocabulary is None:
+        return word_count
+    definition, built = Path(vocabulary).read_text(), []
+
+    @F.pandas_udf("long")
+    def counts(texts: pd.Series) -> pd.Series:
+        if not built:
+            from tokenizers import Tokenizer
+
+            built.append(Tokenizer.from_str(definition))
+            built[0].encode_special_tokens = True
+        held = texts[texts.notna()]
+        found = built[0].encode_batch(list(held), add_special_tokens=False)
+        return pd.Series([len(x.ids) for x in found], index=held.index, dtype="Int64").reindex(texts.index)
+
+    return counts
+
+
 def prompt_columns(prompt: Column) -> Column:
     """Distinct lower-cased column names of `table.column :` mentions."""
     return F.array_distinct(F.transform(F.regexp_extract_all(prompt, F.lit(r"\b([A-Za-z0-9_]+)\.([A-Za-z0-9_]+)\s*:"), F.lit(2)), F.lower))

@@ -12,6 +12,8 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.text import append_answer, normalize_sql
 
+#: Names of models that are broadcast.
+MAX_MODELS = 100_000
 
 def union_all(*frames: DataFrame) -> DataFrame:
     """Union by name; columns that a frame lacks are null."""
@@ -188,9 +190,13 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def pending(samples: DataFrame, models: DataFrame, done: DataFrame, retry_failed: bool = False) -> DataFrame:
-    """(model_name, sample_id) pairs still to be generated. With retry_failed, pairs that are done but not ok count as pending. The distinct models are broadcast."""
+    """(model_name, sample_id) pairs still to be generated. With retry_failed, pairs that are done but not ok count as pending.
+
+    Every sample meets every model, as the pairs are the answer. Up to MAX_MODELS distinct models are broadcast; more are left to the planner."""
     finished = done.where("ok") if retry_failed else done
-    pairs = samples.select("sample_id").distinct().crossJoin(F.broadcast(models.select("model_name").distinct()))
+    names = models.select("model_name").distinct()
+    few = names.limit(MAX_MODELS + 1).count() <= MAX_MODELS
+    pairs = samples.select("sample_id").distinct().crossJoin(F.broadcast(names) if few else names)
     return pairs.join(finished.select("model_name", "sample_id"), ["model_name", "sample_id"], "left_anti")
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import compare, text
-from ..operators import etl, metrics, vote
+from ..operators import etl, execute, metrics, vote
 from . import bindings as b
 from .catalogue import query
+from .sqlsurface import database
 
 #: The text row of a result: its values sorted, joined.
 ROWSTR = "array_to_string(list_sort([c1, c2, CAST(c3 AS VARCHAR)]), '|')"
@@ -36,8 +37,8 @@ def gold(s: DataFrame) -> DataFrame:
 
 @query("scan_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
 def _(spark, d):
-    b.t(spark, d, "orders").createOrReplaceTempView("scan_limit_orders")
-    return spark.sql("SELECT o_orderkey, o_totalprice FROM scan_limit_orders ORDER BY o_orderkey LIMIT 100")
+    catalog, db = database(d)
+    return execute.plan(spark.newSession(), catalog, "set", db, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
 
 
 @query("classify_statement", f"WITH {b.CAND} SELECT result_id, upper(string_split_regex(trim(sql_text), '\\s+')[1]) AS kind, regexp_matches(lower(ltrim(sql_text)), '^(select|with|explain)') AS is_select, 'read_only' AS mode FROM cand")

@@ -12,7 +12,7 @@ from . import bindings as b
 from .catalogue import query
 from .memory_text import _COS
 from .roundtrip import folder
-from .sqlsurface import _database
+from .sqlsurface import database
 
 #: Ways to ask for a segment's customers by nation; # is the segment. The first is the ground truth, the next two say the same, then columns swapped, no filter, a wrong column, and a write.
 FORMS = (
@@ -34,13 +34,13 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
 
 def statements(spark: SparkSession, d: str) -> DataFrame:
     """segment, form, dataset, db, sql of all forms for all segments."""
-    _, db = _database(d)
+    _, db = database(d)
     forms = F.posexplode(F.array(*map(F.lit, FORMS))).alias("form", "template")
     return segments(spark, d).select("segment", forms).select("segment", "form", F.lit("set").alias("dataset"), F.lit(db).alias("db"), F.replace("template", F.lit("#"), F.col("segment")).alias("sql"))
 
 
 def cache(spark: SparkSession, d: str, **more) -> ResultCache:
-    return ResultCache(spark, _database(d)[0], f"{folder(spark)}/cache", **more)
+    return ResultCache(spark, database(d)[0], f"{folder(spark)}/cache", **more)
 
 
 def _sql_text(s: str) -> str:

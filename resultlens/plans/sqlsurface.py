@@ -76,7 +76,7 @@ ENVELOPES = (
 )
 
 
-def _database(d: str) -> tuple[Catalog, str]:
+def database(d: str) -> tuple[Catalog, str]:
     """The tables below d as a database of a catalogue."""
     root, name = d.rstrip("/").rsplit("/", 1)
     top, folder = root.rsplit("/", 1)
@@ -86,7 +86,7 @@ def _database(d: str) -> tuple[Catalog, str]:
 def _register(name: str, sql: str, other: str | None = None, sandbox: bool = False) -> None:
     @query(name, other or sql.rstrip(";"))
     def _(spark, d):
-        catalog, db = _database(d)
+        catalog, db = database(d)
         return execute.plan(spark.newSession(), catalog, "set", db, sql, sandbox)
 
 
@@ -100,7 +100,7 @@ for _name, (_sql, _other) in SANDBOX.items():
 
 @query("exec_envelopes", "SELECT * FROM (VALUES " + ", ".join(f"('{name}', {held})" for name, _, _, held in ENVELOPES) + ") t(name, ok, kind, row_count, has_notice, has_error)")
 def _(spark, d):
-    catalog, db = _database(d)
+    catalog, db = database(d)
     found = [(name, execute.execute(spark, catalog, execute.Request("set", db, sql, mode, max_rows=10))) for name, sql, mode, _ in ENVELOPES]
     rows = [(name, e.ok, e.statement_type, e.row_count, e.notice is not None, e.error is not None) for name, e in found]
     return spark.createDataFrame(rows, "name string, ok boolean, kind string, row_count long, has_notice boolean, has_error boolean")

@@ -16,12 +16,12 @@ SAMPLE = T.StructType([T.StructField("sample_id", T.StringType()), T.StructField
 
 
 def datasets(spark: SparkSession, paths: Sequence[str], split: str = "train", fmt: str = "parquet") -> DataFrame:
-    """The datasets at the paths, by name; where a dataset has splits (folders named for them), the preferred one."""
+    """The datasets at the paths, by name; where a dataset has splits (folders named for them), the preferred one. Files are listed, not scanned, to find out which."""
     frames = []
     for path in paths:
-        df = spark.read.format(fmt).option("recursiveFileLookup", "true").load(path).withColumn("__file", F.col("_metadata.file_path"))
-        preferred = df.where(F.contains("__file", F.lit(f"/{split}/")))
-        frames.append((df if preferred.isEmpty() else preferred).drop("__file"))
+        df = spark.read.format(fmt).option("recursiveFileLookup", "true").load(path)
+        preferred = any(f"/{split}/" in f for f in df.inputFiles())
+        frames.append(df.where(F.contains("_metadata.file_path", F.lit(f"/{split}/"))) if preferred else df)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -251,3 +251,24 @@ def test_spellings_against_sqlite(spark, expression):
 def test_spellings_beyond_the_dialect_stay():
     for sql in ("SELECT date(d, m) FROM t", "SELECT date(d, '+1.5 months') FROM t", "SELECT printf(f, a) FROM t", "SELECT a - b, * FROM t", "SELECT count(*) FROM t"):
         assert to_spark(sql) == sql
+
+
+def test_tokens_by_a_tokenizer(spark, tmp_path):
+    import json
+
+    vocabulary = {"<unk>": 0, "select": 1, "from": 2, "t": 3, "a": 4, "b": 5, "ab": 6}
+    model = {"type": "BPE", "vocab": vocabulary, "merges": [["a", "b"]], "unk_token": "<unk>"}
+    (tmp_path / "own.json").write_text(json.dumps({"version": "1.0", "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}, "model": model}))
+    texts = ["ab ab a", "", None, "abb"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    count = lambda f: [r[0] for r in rows.orderBy("k").select(f(F.col("t"))).collect()]
+    assert count(text.token_counter(str(tmp_path / "own.json"))) == [3, 0, None, 2]
+    assert count(text.token_counter()) == count(text.word_count)
+
+
+def test_pending_with_more_models_than_are_broadcast(spark, monkeypatch):
+    samples, models = spark.range(20).select(F.col("id").alias("sample_id")), spark.range(7).select(F.col("id").cast("string").alias("model_name"))
+    done = spark.createDataFrame([(3, "1", True), (4, "2", False)], "sample_id long, model_name string, ok boolean")
+    for most in (2, 100):
+        monkeypatch.setattr(etl, "MAX_MODELS", most)
+        assert etl.pending(samples, models, done).count() == 138 and etl.pending(samples, models, done, True).count() == 139
