@@ -11,11 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2_squared
-from .vectors import SCOPES, nearest
+from .vectors import MAX_PROBES, SCOPES, nearest, nearest_of_blocks
 
 SAMPLE, MOST_LISTS, LIST_ROWS, ROUNDS = 50_000, 4096, 20_000, 12
 
@@ -95,10 +94,10 @@ def search(spark: SparkSession, path: str, probes: DataFrame, k: int, lists: int
     asked = p.mapInArrow(look, kinds + ", lists array<int>").select("probe_id", "probe_db", "probe", F.explode("lists").alias("list"))
     chunks = F.broadcast(spark.read.parquet(f"{path}/lists").select("list", "chunks"))
     asked = asked.join(chunks, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    cond = {"other": F.col("db_id") != F.col("probe_db"), "same": F.col("db_id") == F.col("probe_db"), "any": F.lit(True)}[scope]
-    one = memory.join(asked, ["list", "chunk"]).where(cond).select("probe_id", "id", l2_squared(F.col("embedding"), F.col("probe")).alias("distance"))
-    place = F.row_number().over(Window.partitionBy("probe_id").orderBy("distance", "id"))
-    found = one.withColumn("place", place.cast("long")).where(F.col("place") <= k)
+    parts = max(1, -(-p.count() // MAX_PROBES))  # many probes may ask for a list
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("probe_id"), F.lit(parts)).cast("int"))
+    held = memory.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    found = nearest_of_blocks(asked, held, ["list", "chunk", "part"], k, scope).select("probe_id", "id", "distance", "place")
     if take == len(known):
         return found
     full = found.groupBy("probe_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= k).select(F.col("probe_id").alias("id"))

@@ -1,16 +1,21 @@
 """Vector memory: filtered nearest neighbours, centroids, contrastive and intrinsic scores, gated inserts.
 
-Neighbour search is exact. Probes (few) meet the memory through a nested-loop join whose probe side is broadcast only up to ``MAX_PROBES`` rows, checked; beyond that blocks of probes and of
-memory meet in pairs, in one plan. Top-k is taken per probe with a window whose limit Spark pushes into both sides of the shuffle."""
+Neighbour search is exact. Blocks of at most about ``MAX_PROBES`` probes and ``MEMORY_BLOCK`` rows of memory meet in pairs, in one plan; a task gets one block of each, multiplies them as matrices and returns the k nearest
+of each probe, evaluated exactly. Of these a window takes the k nearest of all blocks. Every pair is looked at, so work grows with the product of both sides."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vector_blocks
 from ..functions.vectors import cosine, l2_squared
 
-MAX_PROBES, MEMORY_BLOCK = 10_000, 100_000
+MAX_PROBES, MEMORY_BLOCK = 20_000, 25_000
 SCOPES = ("other", "same", "any")
 
 
@@ -21,25 +26,40 @@ def nearest(probes: DataFrame, memory: DataFrame, k: int, scope: str = "any", dr
     if scope not in SCOPES:
         raise ValueError(f"no such scope: {scope}")
     p = probes.select(F.col("id").alias("probe_id"), F.col("db_id").alias("probe_db"), F.col("embedding").alias("probe"))
-    # theta join: the memory against a bounded block of probes, or blocks of both sides dealt in pairs, where a task gets one block of each
-    cond = {"other": F.col("db_id") != F.col("probe_db"), "same": F.col("db_id") == F.col("probe_db"), "any": F.lit(True)}[scope]
-    n = p.count()
-    if n <= MAX_PROBES:
-        one = memory.join(F.broadcast(p), cond)
-    else:
-        a, b = -(-n // MAX_PROBES), max(1, -(-memory.count() // MEMORY_BLOCK))
-        each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-        mine = p.withColumn("__a", F.pmod(F.xxhash64("probe_id"), F.lit(a)).cast("int")).withColumn("__b", each(b))
-        other = memory.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int")).withColumn("__a", each(a))
-        one = other.join(mine, ["__a", "__b"]).where(cond)
-    one = one.select("probe_id", "probe_db", "id", "db_id", l2_squared(F.col("embedding"), F.col("probe")).alias("distance"))
-    place = F.row_number().over(Window.partitionBy("probe_id").orderBy("distance", "id"))
-    found = one.withColumn("place", place.cast("long")).where(F.col("place") <= k)
+    mine, other = in_blocks(p, memory.select("id", "db_id", "embedding"))
+    found = nearest_of_blocks(mine, other, ["__a", "__b"], k, scope)
     if drop_same_after:
         found = found.where("db_id != probe_db")
     return found.select("probe_id", "id", "distance", "place")
 
 
+def in_blocks(probes: DataFrame, memory: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the numbers __a and __b of their blocks: each block of probes (probe_id) and each block of the memory (id) have one pair in common."""
+    a, b = (max(1, -(-df.count() // most)) for df, most in ((probes, MAX_PROBES), (memory, MEMORY_BLOCK)))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    mine = probes.withColumn("__a", F.pmod(F.xxhash64("probe_id"), F.lit(a)).cast("int")).withColumn("__b", each(b))
+    return mine, memory.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int")).withColumn("__a", each(a))
+
+
+def nearest_of_blocks(mine: DataFrame, other: DataFrame, keys: list[str], k: int, scope: str) -> DataFrame:
+    """probe_id, probe_db, id, db_id, distance and place of the k nearest of each probe (probe_id, probe_db, probe) among the rows (id, db_id, embedding) that share its keys; rows without a distance come last."""
+    kinds = {n: f"{df.schema[n].dataType.simpleString()}" for df, names in ((mine, ("probe_id", "probe_db")), (other, ("id", "db_id"))) for n in names}
+    one = mine.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInArrow(_nearest_in(k, scope), ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", distance double")
+    place = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.asc_nulls_last("distance"), "id"))
+    return one.withColumn("place", place.cast("long")).where(F.col("place") <= k)
+
+
+def _nearest_in(k: int, scope: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def best(p: pa.Table, m: pa.Table) -> pa.Table:
+        m = m.take(pc.sort_indices(m["id"], null_placement="at_start"))
+        probe_kinds, kinds = vector_blocks.codes(p["probe_db"], m["db_id"])
+        i, j, distance, none = vector_blocks.nearest_rows(p["probe"], probe_kinds, m["embedding"], kinds, k, scope)
+        pairs = {"probe_id": p["probe_id"].take(pa.array(i)), "probe_db": p["probe_db"].take(pa.array(i)), "id": m["id"].take(pa.array(j)), "db_id": m["db_id"].take(pa.array(j))}
+        return pa.table(pairs | {"distance": pa.array(distance, pa.float64(), mask=none)})
+
+    return best
+
+
 def centroid(rows: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
     """keys and the element-wise mean, as an array of double. Means are taken per position, so no vectors of a group meet in one task."""
     flat = rows.select(*keys, F.posexplode(vector).alias("pos", "x"))
@@ -75,18 +95,16 @@ def intrinsic(score: Column, beta_s: float = 0.5, beta_e: float = 0.5, explorati
 
 
 def greatest_cosine(probes: DataFrame, memory: DataFrame) -> DataFrame:
-    """probe_id and similarity, the greatest cosine with any vector of the memory. Pairs never leave their task: each keeps its greatest value by probe."""
-    p = probes.select(F.col("id").alias("probe_id"), F.col("embedding").alias("probe"))
-    n = p.count()
-    vectors = memory.select("id", "embedding")
-    if n <= MAX_PROBES:
-        pairs = vectors.join(F.broadcast(p))
-    else:
-        a, b = -(-n // MAX_PROBES), max(1, -(-vectors.count() // MEMORY_BLOCK))
-        each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-        mine = p.withColumn("__a", F.pmod(F.xxhash64("probe_id"), F.lit(a)).cast("int")).withColumn("__b", each(b))
-        pairs = vectors.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int")).withColumn("__a", each(a)).join(mine, ["__a", "__b"])
-    return pairs.groupBy("probe_id").agg(F.max(cosine(F.col("embedding"), F.col("probe"))).alias("similarity"))
+    """probe_id and similarity, the greatest cosine with any vector of the memory. Pairs never leave their task: a block returns one value a probe."""
+    mine, other = in_blocks(probes.select(F.col("id").alias("probe_id"), F.col("embedding").alias("probe")), memory.select("id", "embedding"))
+
+    def best(p: pa.Table, m: pa.Table) -> pa.Table:
+        values = vector_blocks.greatest_cosines(p["probe"], m["embedding"]) if len(m) else []
+        return pa.table({"probe_id": p["probe_id"].slice(0, len(values)), "similarity": pa.array(values, pa.float64())})
+
+    kind = mine.schema["probe_id"].dataType.simpleString()
+    pairs = mine.groupBy("__a", "__b").cogroup(other.groupBy("__a", "__b")).applyInArrow(best, f"probe_id {kind}, similarity double")
+    return pairs.groupBy("probe_id").agg(F.max("similarity").alias("similarity"))
 
 
 def exploit_explore(probes: DataFrame, memory: DataFrame) -> DataFrame:
