@@ -36,11 +36,13 @@ SELECT doc_id AS arrival, id, collection FROM o WHERE k IN (SELECT unnest(kept)
 def _(spark, d):
     """Thoughts that arrive in four parts, and enter a memory that is empty at first."""
     at, rows = folder(spark), thoughts(spark, d)
+    rows.write.parquet(f"{at}/rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{at}/rows")
     last = rows.agg(F.max("arrival")).first()[0] or 0
-    for k in range(4):  # one after another, so the files' order is that of arrival
-        rows.where((F.col("arrival") * 4 >= k * (last + 1)) & (F.col("arrival") * 4 < (k + 1) * (last + 1))).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    memory.grow_thoughts(stream, f"{at}/memory", f"{at}/state", block=100, **GATE).awaitTermination()
+    for k in range(4):  # each part is taken in before the next arrives, by a stream that goes on where it stopped
+        rows.where((F.col("arrival") * 4 >= k * (last + 1)) & (F.col("arrival") * 4 < (k + 1) * (last + 1))).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+        memory.grow_thoughts(stream, f"{at}/memory", f"{at}/state", block=100, **GATE).awaitTermination()
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/memory").select("arrival", "id", "collection")
 
 

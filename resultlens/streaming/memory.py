@@ -17,8 +17,8 @@ from ..functions import text
 from ..operators.result_cache import ResultCache
 from ..operators.vector_index import squared_distances
 
-#: Rows of a micro-batch that are settled at a time.
-BLOCK = 4096
+#: Rows of a micro-batch that are settled at a time, and that meet the memory in one job.
+BLOCK = FETCH = 4096
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -30,35 +30,70 @@ def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x @ y.T) / np.maximum(np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1), 1e-8)
 
 
-def _nearest_of(x: np.ndarray, kinds: list, memory: DataFrame) -> dict[int, tuple[float, str, float]]:
-    """For each row of x that has any: distance, id and cosine of its nearest in the memory of its collection. A task returns one candidate a row."""
+Near = tuple[float, str, float]
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of x: distance, place and cosine of the nearest of y, ties to the smallest id."""
+    order = np.argsort(ids, kind="stable")
+    d = np.round(squared_distances(x, y[order]), 9)
+    j = order[d.argmin(1)]
+    lengths = np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(y[j], axis=1), 1e-8)
+    return d.min(1), j, np.einsum("ij,ij->i", x, y[j]) / lengths
+
+
+def _against(x: np.ndarray, ids: list[str], kinds: list, memory: DataFrame) -> tuple[dict[int, Near], set[int]]:
+    """In one job, for each row of x that has any: distance, id and cosine of its nearest in the memory of its collection; and the rows whose id is in it. A task returns one candidate a row."""
     places: dict[Any, np.ndarray] = {c: np.array([k for k, kind in enumerate(kinds) if kind == c]) for c in set(kinds)}
+    named: dict[tuple[Any, str], list[int]] = {}
+    for k, key in enumerate(zip(kinds, ids, strict=True)):
+        named.setdefault(key, []).append(k)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[float, str, float]] = {}
+        held: dict[int, Near] = {}
+        known: set[int] = set()
         for b in batches:
-            own, ids, vectors = np.array(b.column("collection").to_pylist(), object), b.column("id").to_pylist(), _vectors(b.column("embedding"))
+            own, theirs, vectors = b.column("collection").to_pylist(), b.column("id").to_pylist(), _vectors(b.column("embedding"))
+            known.update(k for key in zip(own, theirs, strict=True) if key in named for k in named[key])
+            names, of = np.array(theirs, object), np.array(own, object)
             for c, at in places.items():
-                rows = np.flatnonzero(own == c)
+                rows = np.flatnonzero(of == c)
                 for k in range(0, len(rows), 2048):
                     some = rows[k : k + 2048]
-                    d = np.round(squared_distances(x[at], vectors[some]), 9)
-                    low = d.min(1)
-                    for n, i in enumerate(at):
-                        tied = some[np.flatnonzero(d[n] == low[n])]
-                        j = min(tied, key=lambda t: ids[t])
-                        found = (float(low[n]), ids[j], float(_cosines(x[i : i + 1], vectors[j : j + 1])[0, 0]))
-                        if i not in held or found[:2] < held[i][:2]:
-                            held[int(i)] = found
-        if held:
-            yield pa.RecordBatch.from_pydict({"row": pa.array(list(held), pa.int32()), "distance": [h[0] for h in held.values()], "id": [h[1] for h in held.values()], "cosine": [h[2] for h in held.values()]})
-
-    found = memory.select("id", "collection", "embedding").mapInArrow(best, "row int, distance double, id string, cosine double")
-    least = found.groupBy("row").agg(F.min(F.struct("distance", "id", "cosine")).alias("m")).collect()  # a row for each of x
-    return {r["row"]: tuple(r["m"]) for r in least}
-
-
-def _entering(x: np.ndarray, ids: list[str], kinds: list, before: dict[int, tuple[float, str, float]], known: set[tuple[Any, str]], threshold: float) -> list[int]:
+                    low, j, cosine = _nearest(x[at], vectors[some], names[some])
+                    for i, *found in zip(at.tolist(), low.tolist(), names[some[j]], cosine.tolist(), strict=True):
+                        if i not in held or (found[0], found[1]) < held[i][:2]:
+                            held[i] = tuple(found)
+        if held:  # a row whose id is known has a nearest
+            columns = {n: [h[k] for h in held.values()] for k, n in enumerate(("distance", "id", "cosine"))}
+            yield pa.RecordBatch.from_pydict({"row": pa.array(list(held), pa.int32()), **columns, "known": [k in known for k in held]})
+
+    found = memory.select("id", "collection", "embedding").mapInArrow(best, "row int, distance double, id string, cosine double, known boolean")
+    least = found.groupBy("row").agg(F.min(F.struct("distance", "id", "cosine")).alias("m"), F.bool_or("known").alias("known")).collect()  # a row for each of x
+    return {r["row"]: tuple(r["m"]) for r in least}, {r["row"] for r in least if r["known"]}
+
+
+def _settled(x: np.ndarray, ids: list[str], kinds: list, before: dict[int, Near], known: set[tuple[Any, str]], threshold: float, block: int) -> list[int]:
+    """Which rows enter: block by block, each after the nearest of the blocks before it that entered is known."""
+    enter: dict[Any, list[int]] = {}
+    known = set(known)
+    for at in range(0, len(ids), block):
+        rows, near = range(at, min(at + block, len(ids))), {}
+        for c in {kinds[k] for k in rows}:
+            own, inside = [k for k in rows if kinds[k] == c], enter.get(c, [])
+            found = zip(*_nearest(x[own], x[inside], np.array([ids[k] for k in inside], object)), strict=True) if inside else ((np.inf, 0, 0.0) for _ in own)
+            for k, (d, j, cosine) in zip(own, found, strict=True):
+                here = [(float(d), ids[inside[j]], float(cosine))] if inside else []
+                if least := min([*here, *([before[k]] if k in before else [])], default=None):
+                    near[k - at] = least
+        some = [at + k for k in _entering(x[at : rows.stop], ids[at : rows.stop], kinds[at : rows.stop], near, known, threshold)]
+        for k in some:
+            enter.setdefault(kinds[k], []).append(k)
+            known.add((kinds[k], ids[k]))
+    return sorted(k for rows in enter.values() for k in rows)
+
+
+def _entering(x: np.ndarray, ids: list[str], kinds: list, before: dict[int, Near], known: set[tuple[Any, str]], threshold: float) -> list[int]:
     """Which rows of a block enter, one after another: the nearest of all that is in by then must be less alike than the threshold, and the id not be in. known: ids that were in before."""
     kept: dict[Any, list[int]] = {}
     known = set(known)
@@ -80,27 +115,30 @@ def admit(batch: DataFrame, memory: DataFrame, path: str, threshold: float = 0.9
     """The rows of the batch (id, collection, embedding and an order) that enter the memory, written to the path: one enters unless the nearest of its collection in the memory, earlier rows that entered among
     them, is as alike as the threshold. So the result doesn't depend on how a stream is cut in batches.
 
-    What is in by then depends on every row before, so rows are taken in order, in blocks of about `block`: a block's vectors travel to the memory's partitions, each of which returns one nearest candidate a row, and
-    the block itself is settled row by row. A block is all that the driver holds, whatever the sizes of batch, collections and memory. An id enters a collection once; rows of a null vector don't enter."""
-    spark, rows = batch.sparkSession, batch.where("embedding IS NOT NULL")
-    at = f"{path.rstrip('/')}/_blocks"
-    rows.repartitionByRange(max(1, -(-rows.count() // block)), order, "id").sortWithinPartitions(order, "id").write.mode("overwrite").parquet(at)
-    files = sorted(spark.read.schema(batch.schema).parquet(at).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_name").alias("n")).distinct().collect(), key=lambda r: int(re.search(r"part-(\d+)", r["n"])[1]))
+    What is in by then depends on every row before, so rows are taken in order. About ``FETCH`` of them (`block`, if that is more) meet the memory in one job: their vectors travel to its partitions, each of which returns one
+    nearest candidate a row. They are settled in blocks of `block`, a block row by row. These rows are all that the driver holds, whatever the sizes of batch, collections and memory. The batch is computed once. An id
+    enters a collection once; rows of a null vector don't enter."""
+    spark, schema = batch.sparkSession, batch.schema
+    at = path.rstrip("/")
+    batch.where("embedding IS NOT NULL").write.mode("overwrite").parquet(f"{at}/_rows")
+    rows = spark.read.schema(schema).parquet(f"{at}/_rows")
+    rows.repartitionByRange(max(1, -(-rows.count() // max(block, FETCH))), order, "id").sortWithinPartitions(order, "id").write.mode("overwrite").parquet(f"{at}/_blocks")
+    files = sorted(spark.read.schema(schema).parquet(f"{at}/_blocks").select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_name").alias("n")).distinct().collect(), key=lambda r: int(re.search(r"part-(\d+)", r["n"])[1]))
     done: list[str] = []
     for k, f in enumerate(files):
-        block_rows = spark.read.schema(batch.schema).parquet(f["f"]).orderBy(order, "id")
-        held = block_rows.select("id", "collection", order, "embedding").toArrow()
+        block_rows = spark.read.schema(schema).parquet(f["f"])
+        held = block_rows.select("id", "collection", order, "embedding").orderBy(order, "id").toArrow()
         ids, kinds, orders, x = held["id"].to_pylist(), held["collection"].to_pylist(), held[order].to_pylist(), _vectors(held["embedding"].combine_chunks())
         so_far = memory.select("id", "collection", "embedding")
         if done:
-            so_far = so_far.unionByName(spark.read.schema(batch.schema).parquet(*done).select("id", "collection", "embedding"))
-        named = so_far.select("id", "collection").join(F.broadcast(block_rows.select("id", "collection").distinct()), ["id", "collection"], "left_semi").distinct()
-        enter = _entering(x, ids, kinds, _nearest_of(x, kinds, so_far), {(r["collection"], r["id"]) for r in named.collect()}, threshold)
+            so_far = so_far.unionByName(spark.read.schema(schema).parquet(*done).select("id", "collection", "embedding"))
+        before, known = _against(x, ids, kinds, so_far)
+        enter = _settled(x, ids, kinds, before, {(kinds[i], ids[i]) for i in known}, threshold, block)
         if enter:
             names = spark.createDataFrame([(ids[i], kinds[i], orders[i]) for i in enter], block_rows.select("id", "collection", order).schema)
-            block_rows.join(F.broadcast(names), ["id", "collection", order], "left_semi").dropDuplicates(["id", "collection"]).write.mode("overwrite").parquet(f"{path.rstrip('/')}/block={k}")
-            done.append(f"{path.rstrip('/')}/block={k}")
-    return spark.read.schema(batch.schema).parquet(*done) if done else batch.limit(0)
+            block_rows.join(F.broadcast(names), ["id", "collection", order], "left_semi").dropDuplicates(["id", "collection"]).write.mode("overwrite").parquet(f"{at}/block={k}")
+            done.append(f"{at}/block={k}")
+    return spark.read.schema(schema).parquet(*done) if done else batch.limit(0)
 
 
 def remembered(batch: DataFrame, **gate: float) -> DataFrame:
@@ -117,7 +155,8 @@ def grow_thoughts(stream: DataFrame, path: str, checkpoint: str, threshold: floa
 
     def step(batch: DataFrame, batch_id: int) -> None:
         memory = _earlier(batch.sparkSession, path, batch_id, schema)
-        _insert(remembered(batch, **gate), memory, _part(path, batch_id), threshold, block)
+        dealt = batch.repartition(batch.sparkSession.sparkContext.defaultParallelism)  # a batch may be one file, and the gate is dear
+        _insert(remembered(dealt, **gate), memory, _part(path, batch_id), threshold, block)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

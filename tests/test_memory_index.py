@@ -76,3 +76,29 @@ def test_index_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "id long, db_id int, embedding array<float>")
     vector_index.build(none, str(tmp_path / "i"))
     assert vector_index.search(spark, str(tmp_path / "i"), none, 5, 3).count() == 0
+
+
+@pytest.mark.parametrize(("fetch", "block"), [(30, 7), (50, 1000), (4096, 20)])
+def test_several_blocks_meet_the_memory_in_one_job(spark, tmp_path, monkeypatch, fetch, block):
+    """As one row after another, also where rows of some fetches are in the memory before; the jobs follow the fetches, not the blocks."""
+    monkeypatch.setattr(memory, "FETCH", fetch)
+    met, real = [], memory._against
+    monkeypatch.setattr(memory, "_against", lambda x, *a: met.append(len(x)) or real(x, *a))
+    rows = clustered(150, 4)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = memory.admit(df, df.limit(0), str(tmp_path / "m"), 0.9, block=block)
+    assert sorted(r["arrival"] for r in out.collect()) == plain_entering(rows, 0.9)
+    assert sum(met) == 153 and len(met) <= 153 // max(fetch, block) + 2
+
+
+def test_a_batch_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(clustered(60, 5), SCHEMA)
+    memory.admit(df.mapInArrow(count, SCHEMA), df.limit(0), str(tmp_path / "m"), 0.9, block=20)
+    assert seen.value == 64
