@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from resultlens.operators import result_cache
+from resultlens.operators import result_cache, reward
 from resultlens.operators.result_cache import ResultCache
 from resultlens.plans.executed import ENDLESS
 from resultlens.sources.catalog import Catalog
@@ -84,3 +84,23 @@ def test_a_stream_fills_the_cache(spark, known, tmp_path):
         stream = spark.readStream.schema("dataset string, db string, sql string").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
         memory.run_into_cache(stream, cache, f"file://{tmp_path}/state{again}").awaitTermination()
         assert cache.envelopes().count() == 4 and cache.rows().count() == 20
+
+
+def test_texts_of_a_reward_are_read_once(spark, known):
+    cache, db = known
+    truth = "SELECT r_name FROM region"
+    asked_of = [truth, "SELECT r_regionkey FROM region", "SELECT nothing FROM region"]
+    cache.fill(asked(spark, db, *asked_of))
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(k, "set", db, k % 2, truth, f"<think>{'so ' * 50}</think>{asked_of[k % 3]}", [1.0, float(k)]) for k in range(12)]
+    kind = "doc_id long, dataset string, db string, db_id int, truth string, completion string, embedding array<double>"
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    memory_of = spark.createDataFrame([(100, 0, [1.0, 0.0]), (101, 1, [0.0, 1.0])], "id long, db_id int, embedding array<double>")
+    out = reward.rewarded(spark.createDataFrame(rows, kind).mapInArrow(count, kind), cache, memory_of).collect()
+    assert seen.value == 12 and len(out) == 12
+    assert {(r["doc_id"] % 3, r["correct"], r["ran"]) for r in out} == {(0, True, True), (1, False, True), (2, False, False)} and all(r["reward"] == 4 for r in out if r["correct"])
