@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 
 from .vectors import TINY
 
-#: Products at a time, and pairs evaluated at a time.
-CELLS, PAIRS = 4_000_000, 65_536
+#: Products at a time, pairs evaluated at a time, and columns of which one minimum is taken.
+CELLS, PAIRS, GROUP = 4_000_000, 65_536, 64
 
 
 def by_length(column: Any) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -82,7 +82,7 @@ def nearest_rows(probes: Any, probe_kinds: np.ndarray, vectors: Any, kinds: np.n
         few = _firsts(_alike(y, kinds[m_at]), k)  # no more than k copies of a vector in a database can be among the nearest
         m_at, y = m_at[few], y[few]
         for s in _slices(x, y):
-            i, j, d = _least(x[s], y, _allowed(scope, probe_kinds[p_at[s]], kinds[m_at]), k)
+            i, j, d = _least(x[s], y, None if scope == "any" else _allowed(scope, probe_kinds[p_at[s]], kinds[m_at]), k)
             n_found[p_at[s]] = np.bincount(i, minlength=len(x[s]))
             out.append((p_at[s][i], m_at[j], d))
     # rows without a distance, where others are too few
@@ -102,20 +102,30 @@ def nearest_rows(probes: Any, probe_kinds: np.ndarray, vectors: Any, kinds: np.n
     return i, j, np.concatenate([*(o[2] for o in out), np.zeros(none)]), np.arange(len(i)) >= len(i) - none
 
 
+def _at_least_kth(rough: np.ndarray, k: int) -> np.ndarray:
+    """A bound of each row that k of its values do not exceed: the k-th of the minima of groups of columns, so a row is passed over once and only the minima are ordered. Values that are no numbers count last."""
+    wide = rough.shape[1] // GROUP
+    if wide >= k:
+        rough = np.fmin.reduce(rough[:, : wide * GROUP].reshape(len(rough), GROUP, wide), axis=1)
+    return np.partition(rough, k - 1, axis=1)[:, k - 1]
+
+
 @np.errstate(all="ignore")
-def _least(x: np.ndarray, y: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _least(x: np.ndarray, y: np.ndarray, allowed: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """allowed: which pairs count; None: all."""
     if len(y) > k:
         own, other = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
         rough = x @ y.T
         rough *= -2
         rough += other
         rough += own[:, None]
-        rough[~allowed] = np.inf
+        if allowed is not None:
+            rough[~allowed] = np.inf
         error = 4 * (x.shape[1] + 8) * np.finfo(float).eps * (own + other[np.isfinite(other)].max(initial=0))
-        bound = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * error
-        i, j = np.nonzero(allowed & ~(rough > bound[:, None]))  # where there is no number, the pair is evaluated
+        near = ~(rough > (_at_least_kth(rough, k) + 2 * error)[:, None])  # where there is no number, the pair is evaluated
+        i, j = np.nonzero(near if allowed is None else near & allowed)
     else:
-        i, j = np.nonzero(allowed)
+        i, j = np.nonzero(np.ones((len(x), len(y)), bool) if allowed is None else allowed)
     d = np.zeros(len(i))
     for at in range(0, len(i), PAIRS):
         gap = x[i[at : at + PAIRS]] - y[j[at : at + PAIRS]]

@@ -1,9 +1,11 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from resultlens.functions import vector_blocks
 from resultlens.functions.vectors import cosine, l2_squared
 from resultlens.operators import vector_index, vectors
 
@@ -67,3 +69,31 @@ def test_pairs_are_multiplied_in_blocks(spark, tmp_path, capsys):
         found.explain()
         plan = capsys.readouterr().out
         assert "NestedLoop" not in plan and "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
+
+
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_a_bound_of_the_kth_least_lets_few_pairs_through(k):
+    """Never under the k-th least value, hardly over it, and no number counts last, as in an ordering of whole rows."""
+    rough = np.random.default_rng(2).normal(size=(30, 6_403))
+    rough[:, 5::7], rough[:, ::50] = np.inf, np.nan
+    rough[7], rough[8, 3:] = np.nan, np.inf
+    bound, exact = vector_blocks._at_least_kth(rough, k), np.partition(rough, k - 1, axis=1)[:, k - 1]
+    assert np.array_equal(bound, exact, equal_nan=True) if k == 1 else not (bound < exact).any()
+    assert (np.isnan(bound) >= np.isnan(exact)).all() and (rough <= bound[:, None])[:7].sum() <= 7 * 2 * k
+
+
+@pytest.mark.parametrize("scope", vectors.SCOPES)
+def test_wide_blocks_give_the_nearest(scope):
+    """Blocks of so many vectors that minima of groups decide, with copies and odd vectors among them."""
+    rng = np.random.default_rng(4)
+    y, x = np.round(rng.normal(size=(3_000, 3)), 1), np.round(rng.normal(size=(20, 3)), 1)
+    y[::97], y[5::301] = x[0], np.nan
+    kinds, own = rng.integers(-1, 4, 3_000), rng.integers(-1, 4, 20)
+    i, j, d, none = vector_blocks.nearest_rows(pa.array(x.tolist()), own, pa.array(y.tolist()), kinds, 5, scope)
+    for p in range(20):
+        may = np.arange(3_000)
+        if scope != "any":
+            may = may[(kinds >= 0) & (own[p] >= 0) & ((kinds == own[p]) == (scope == "same"))]
+        all_of = ((x[p] - y[may]) ** 2).cumsum(1)[:, -1]
+        first = may[np.lexsort((may, all_of))][:5]
+        assert j[(i == p) & ~none].tolist() == first.tolist()
