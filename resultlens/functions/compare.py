@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import log10
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,8 @@ from .text import strip
 MODES = ("positional", "agnostic", "named", "raw", "graded")
 #: Rows from which a result is ranked by ranges, and into how many.
 LARGE_RESULT, RANGES = 1_000_000, 64
+#: Rows that a task tells apart at a time, and the most tasks for which rows are dealt (up to which Spark's shuffle writes them as they come and holds none).
+TASK_ROWS, MOST_TASKS = 250_000, 200
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -82,15 +85,28 @@ def row_key(df: DataFrame, columns: Sequence[str], mode: str) -> Column:
 
 
 def result_digests(cells: DataFrame, result: str, columns: Sequence[str], mode: str) -> DataFrame:
-    """One row a result: n_rows (distinct rows), and the sum and the exclusive or of 64-bit hashes of its distinct row keys (192 bits that equal sets share). Rows are counted map-side; no task holds a whole result."""
+    """One row a result: n_rows (distinct rows), and the sum and the exclusive or of 64-bit hashes of its distinct row keys (192 bits that equal sets share). Rows are dealt by their hashes; no task holds a whole result."""
     return key_digests(cells.select(result, row_key(cells, columns, mode).alias("key")), result)
 
 
+def once_a_batch(rows: DataFrame) -> DataFrame:
+    """Rows without their repeats in an Arrow batch, so of a very common row few copies are moved; memory is that of a batch."""
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from pa.Table.from_batches([b]).group_by(b.schema.names, use_threads=False).aggregate([]).to_batches()
+
+    return rows.mapInArrow(firsts, rows.schema)
+
+
 def key_digests(keyed: DataFrame, result: str) -> DataFrame:
     """The digests of results whose row keys (`key`) are at hand."""
-    keyed = keyed.select(result, "key").distinct()
     half = lambda k: F.conv(F.substring(F.sha2("key", 256), 1 + 15 * k, 15), 16, 10).cast("long")
-    return keyed.groupBy(result).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(half(0).cast("decimal(38,0)")).alias("d1"), F.bit_xor(half(1)).alias("d2"), F.bit_xor(half(2)).alias("d3"))
+    names = ["__h0", "__h1", "__h2"]
+    hashed = keyed.select(result, *(half(k).alias(n) for k, n in enumerate(names)))
+    tasks = min(MOST_TASKS, max(1, -(-keyed.count() // TASK_ROWS)))
+    rows = once_a_batch(hashed).repartition(tasks, result, *names).distinct()  # dealt first: what is read is not gathered, however much of it one task reads
+    return rows.groupBy(result).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("__h0").cast("decimal(38,0)")).alias("d1"), F.bit_xor("__h1").alias("d2"), F.bit_xor("__h2").alias("d3"))
 
 
 def compare_sets(pairs: DataFrame, cells: DataFrame, columns: Sequence[str], mode: str, left: str = "pred_id", right: str = "gold_id", result: str = "result_id") -> DataFrame:

@@ -272,3 +272,19 @@ def test_pending_with_more_models_than_are_broadcast(spark, monkeypatch):
     for most in (2, 100):
         monkeypatch.setattr(etl, "MAX_MODELS", most)
         assert etl.pending(samples, models, done).count() == 138 and etl.pending(samples, models, done, True).count() == 139
+
+
+def test_rows_are_dealt_before_they_are_told_apart(spark, capsys, monkeypatch):
+    """No task gathers the distinct rows of all that it reads: nothing is aggregated before the rows are dealt, to as many tasks as they ask for. Of equal rows in a batch one is dealt."""
+    monkeypatch.setattr(compare, "TASK_ROWS", 100)
+    cells = spark.range(3_000).select((F.col("id") % 7).alias("result_id"), F.when(F.col("id") % 2 == 0, F.lit("x")).otherwise((F.col("id") % 50).cast("string")).alias("a"))
+    digests = compare.result_digests(cells, "result_id", ["a"], "positional")
+    digests.explain("formatted")
+    steps = [line.strip(" :+-*").split("(")[0].strip() for line in capsys.readouterr().out.split("\n\n")[0].splitlines()]
+    read = [x for x in steps if x.startswith(("HashAggregate", "Exchange", "MapInArrow"))][::-1]
+    assert read[:2] == ["MapInArrow", "Exchange"]
+    text = digests._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in text and ", 30)" in text
+    want = {k: len({"x" if i % 2 == 0 else str(i % 50) for i in range(k, 3_000, 7)}) for k in range(7)}
+    assert {r["result_id"]: r["n_rows"] for r in digests.collect()} == want
+    assert compare.once_a_batch(spark.range(900).select((F.col("id") % 3).alias("a")).coalesce(1)).count() == 3
